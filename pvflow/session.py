@@ -30,6 +30,7 @@ def local_session(app: str = "pvflow", cores: str | int = 8, **conf: str) -> Spa
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

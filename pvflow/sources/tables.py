@@ -103,3 +103,45 @@ def dense_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("event_id").alias("trigger_seq"),
         )
     )
+
+
+# The commands of the sample: one JSON text per order. Plain SQL that Spark and the checks share;
+# k picks the kind, m the defect.
+COMMAND_SQL = """SELECT cmd_seq, ts_us, CASE WHEN k = 10 THEN
+  CASE m % 3 WHEN 0 THEN 'plain text' WHEN 1 THEN '[1, 2]' ELSE '{"command":' END
+ELSE '{"command":' || CASE WHEN m = 9 AND c % 5 = 0 THEN '12' ELSE '"' || CASE k
+    WHEN 0 THEN 'monitor' WHEN 1 THEN 'multi-monitor' WHEN 2 THEN 'get' WHEN 3 THEN 'put' WHEN 4 THEN 'info'
+    WHEN 5 THEN 'snapshot' WHEN 6 THEN 'repeating_snapshot' WHEN 7 THEN 'repeating_snapshot_stop'
+    WHEN 8 THEN 'repeating_snapshot_trigger' ELSE 'strange' END || '"' END
+  || CASE m % 4 WHEN 0 THEN ',"serialization":"JSON"' WHEN 1 THEN ',"serialization":"msgpack"'
+       WHEN 2 THEN ',"serialization":7' ELSE '' END
+  || CASE m WHEN 3 THEN '' ELSE ',"reply_topic":"topic_' || CAST(c % 7 AS STRING) || '"' END
+  || CASE m WHEN 4 THEN '' WHEN 5 THEN ',"reply_id":12' ELSE ',"reply_id":"rep_' || CAST(cmd_seq AS STRING) || '"' END
+  || CASE m WHEN 6 THEN ',"pv_name":["pva://user:1"]' WHEN 7 THEN ',"pv_name":"pva://channel::a"' WHEN 8 THEN ''
+       ELSE ',"pv_name":"pva://user:' || CAST(c % 200 AS STRING) || '"' END
+  || CASE m WHEN 6 THEN ',"pv_name_list":[]' WHEN 8 THEN ',"pv_name_list":"pva://user:1"'
+       WHEN 7 THEN ',"pv_name_list":["pva://user:1",5,"pva://user:2","pva://user:1","bad uri"]'
+       ELSE ',"pv_name_list":["pva://user:' || CAST(c % 150 AS STRING) || '","ca://user:' || CAST((c + 1) % 150 AS STRING) || '.HIHI"]' END
+  || CASE m WHEN 0 THEN '' WHEN 1 THEN ',"time_window_msec":"500"' WHEN 2 THEN ',"time_window_msec":1500.5'
+       WHEN 4 THEN ',"time_window_msec":-5' ELSE ',"time_window_msec":' || CAST(1000 * (c % 9) AS STRING) END
+  || CASE WHEN c % 13 = 0 THEN ',"repeat_delay_msec":-1' ELSE ',"repeat_delay_msec":20' END
+  || CASE WHEN c % 17 = 0 THEN '' WHEN c % 17 = 1 THEN ',"snapshot_name":""'
+       ELSE ',"snapshot_name":"Snap ' || CAST(c % 23 AS STRING) || '"' END
+  || CASE WHEN c % 3 = 0 THEN ',"triggered":true' WHEN c % 3 = 1 THEN ',"triggered":"yes"' ELSE '' END
+  || CASE c % 5 WHEN 0 THEN ',"type":"TimedBuffered"' WHEN 1 THEN ',"type":"NORMAL"' WHEN 2 THEN ',"type":"odd"' ELSE '' END
+  || CASE c % 4 WHEN 0 THEN ',"sub_push_delay_msec":250' ELSE '' END
+  || CASE c % 6 WHEN 0 THEN ',"pv_field_filter_list":["value","alarm",3,"value"]' WHEN 1 THEN ',"pv_field_filter_list":"value"' ELSE '' END
+  || CASE c % 7 WHEN 0 THEN ',"tags":{"shot":"' || CAST(c AS STRING) || '","n":4}' WHEN 1 THEN ',"tags":[1]' ELSE '' END
+  || CASE c % 8 WHEN 0 THEN ',"monitor_dest_topic":"dest_' || CAST(c % 5 AS STRING) || '"' WHEN 1 THEN ',"monitor_dest_topic":""' ELSE '' END
+  || CASE c % 9 WHEN 0 THEN ',"value":"not base64!"' WHEN 1 THEN ',"value":"gQ=="' WHEN 2 THEN ',"value":"aGVsbG8="'
+       WHEN 3 THEN ',"value":5' WHEN 4 THEN ',"value":""' ELSE ',"value":"gaV2YWx1ZQw="' END
+  || '}' END AS value
+FROM (SELECT o_orderkey AS cmd_seq, o_custkey AS c, o_orderkey % 11 AS k,
+  CAST(FLOOR(o_orderkey / 11) AS BIGINT) % 10 AS m,
+  1704067200000000 + (o_orderkey * 7919 % 2592000) * 1000000 AS ts_us FROM orders)"""
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control messages: cmd_seq, ts_us, value (JSON text)."""
+    return spark.sql(COMMAND_SQL.replace("FROM orders", "FROM {orders}").replace("{", "{{").replace("}", "}}").replace("{{orders}}", "{orders}"),
+                     orders=table(spark, sf_dir, "orders"))
