@@ -1,4 +1,4 @@
 """Imports every plan module so that the catalogue is complete."""
 
-from pvflow.plans import commands, snapshots  # noqa: F401
+from pvflow.plans import commands, latest, metrics, registry, snapshots  # noqa: F401
 from pvflow.plans.catalogue import ORACLE, QUERIES  # noqa: F401

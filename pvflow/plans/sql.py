@@ -54,3 +54,10 @@ TRIGGERS = f"""trg AS (SELECT queue_name, w_ms, epoch_us(ts) AS trigger_us, even
 
 ASSIGNED = """assigned AS (SELECT routed.* EXCLUDE (iter_index), trg.iter_index, trg.trigger_us
   FROM routed ASOF JOIN trg ON routed.queue_name = trg.queue_name AND routed.ts_us <= trg.trigger_us)"""
+
+SUBS = """sub AS (SELECT c_custkey AS id, 'user:' || (c_custkey % 150) AS pv_name, c_mktsegment AS channel_destination,
+  CAST(1 + 2 * (c_nationkey % 2) AS INTEGER) AS event_serialization, c_custkey % 3 = 0 AS processed,
+  1704067200000000 + (c_custkey * 1009 % 2592000) * 1000000 AS ts_us FROM customer)"""
+
+CONSUMERS = """member AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' ELSE 'HOUSEHOLD' END AS topic,
+  'group-' || s_nationkey AS group_name, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS member_id FROM supplier)"""

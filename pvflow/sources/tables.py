@@ -145,3 +145,26 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control messages: cmd_seq, ts_us, value (JSON text)."""
     return spark.sql(COMMAND_SQL.replace("FROM orders", "FROM {orders}").replace("{", "{{").replace("}", "}}").replace("{{orders}}", "{orders}"),
                      orders=table(spark, sf_dir, "orders"))
+
+
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One subscription request per customer, in customer order."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.concat(F.lit("user:"), F.col("c_custkey") % 150).alias("pv_name"),
+        F.col("c_mktsegment").alias("channel_destination"),
+        (1 + 2 * (F.col("c_nationkey") % 2)).cast("int").alias("event_serialization"),
+        (F.col("c_custkey") % 3 == 0).alias("processed"),
+        F.lit(-1).cast("bigint").alias("start_purge_ts"),
+        (START_US + (F.col("c_custkey") * 1009 % 2_592_000) * 1_000_000).alias("ts_us"),
+    )
+
+
+def consumer_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of consumer groups per topic out of the suppliers; some groups have none."""
+    topics = F.array(*[F.lit(t) for t in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
+    return table(spark, sf_dir, "supplier").select(
+        F.get(topics, (F.col("s_suppkey") % 4).cast("int")).alias("topic"),
+        F.concat(F.lit("group-"), F.col("s_nationkey")).alias("group_name"),
+        F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("member_id"),
+    )
