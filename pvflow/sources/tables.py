@@ -168,3 +168,49 @@ def consumer_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("group-"), F.col("s_nationkey")).alias("group_name"),
         F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("member_id"),
     )
+
+
+def nt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse data events with the full standard record as ``data``."""
+    from pvflow.functions.nested import alarm_severity
+
+    ev = sparse_events(spark, sf_dir)
+    value, seq = F.col("value"), F.col("seq")
+    limits = [F.lit(x) for x in (2.0, 10.0, 60.0, 90.0)]
+    severity = alarm_severity(value, *limits)
+    i = lambda c: c.cast("int")
+    data = F.struct(
+        value.alias("value"),
+        F.struct(
+            severity.alias("severity"),
+            i(seq % 3).alias("status"),
+            F.when(severity == 2, "MAJOR").when(severity == 1, "MINOR").otherwise("").alias("message"),
+        ).alias("alarm"),
+        F.struct(
+            F.expr("ts_us div 1000000").alias("secondsPastEpoch"),
+            i(F.col("ts_us") % 1_000_000 * 1000).alias("nanoseconds"),
+            i(seq % 5).alias("userTag"),
+        ).alias("timeStamp"),
+        F.struct(
+            F.lit(0.0).alias("limitLow"),
+            F.lit(100.0).alias("limitHigh"),
+            F.col("source").alias("description"),
+            F.lit("mm").alias("units"),
+            F.lit(2).alias("precision"),
+            F.struct(i(seq % 4).alias("index")).alias("form"),
+        ).alias("display"),
+        F.struct(F.lit(0.0).alias("limitLow"), F.lit(100.0).alias("limitHigh"), F.lit(0.5).alias("minStep")).alias("control"),
+        F.struct(
+            F.lit(1).alias("active"),
+            *[x.alias(n) for x, n in zip(limits, ("lowAlarmLimit", "lowWarningLimit", "highWarningLimit", "highAlarmLimit"))],
+            *[
+                F.lit(s).alias(n)
+                for s, n in zip(
+                    (2, 1, 1, 2),
+                    ("lowAlarmSeverity", "lowWarningSeverity", "highWarningSeverity", "highAlarmSeverity"),
+                )
+            ],
+            F.lit(0.0).alias("hysteresis"),
+        ).alias("valueAlarm"),
+    )
+    return ev.where("event_type = 'Data'").select("pv_name", "ts_us", "seq", "source", data.alias("data"))
