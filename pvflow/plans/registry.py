@@ -40,10 +40,7 @@ _DOCS = """SELECT n_regionkey AS node, '{"pv_monitor_map":[{"key":"' || n_name |
   SELECT n_regionkey AS node, n_name AS k, 'topic_' || n_nationkey AS d, CAST(1 + n_nationkey % 3 AS INTEGER) AS s FROM nation
   UNION ALL SELECT n_regionkey, n_name || ':2', 'all', 1 FROM nation)""")
 def registry_load(spark, sf):
-    documents = spark.sql(
-        _DOCS.replace("FROM nation", "FROM {nation}").replace("{", "{{").replace("}", "}}").replace("{{nation}}", "{nation}"),
-        nation=T.table(spark, sf, "nation"),
-    )
+    documents = T.select_from(_DOCS, "nation", T.table(spark, sf, "nation"))
     return R.load_documents(documents)
 
 

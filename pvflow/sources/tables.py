@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvflow.functions.names import snapshot_topic
+from pvflow.sources.readers import file_stream
 
 DAY_US = 86_400_000_000
 START_US = 1_704_067_200_000_000  # 2024-01-01
@@ -16,21 +17,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream, with ``ts`` as an instant."""
+    schema = table(spark, sf_dir, name).schema
+    return file_stream(spark, sf_dir, schema, f"{name}.parquet")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return timed(table(spark, sf_dir, "events"))
+
+
+def timed(events: DataFrame) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    return events.withColumn("ts", ts).withColumn("ts_us", F.unix_micros(ts))
 
 
 def sparse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_sparse(_events(spark, sf_dir)).drop("ts")
+
+
+def as_sparse(events: DataFrame) -> DataFrame:
     """Many PVs (one per user) with data, fail and disconnect events."""
     kind = (
         F.when(F.col("event_type") == "error", "Fail")
         .when(F.col("event_type") == "signup", "Disconnec")
         .otherwise("Data")
     )
-    return _events(spark, sf_dir).select(
+    return events.select(
         F.concat(F.lit("user:"), F.col("user_id")).alias("pv_name"),
         kind.alias("event_type"),
         F.col("event_type").alias("source"),
+        "ts",
         "ts_us",
         F.col("event_id").alias("seq"),
         "value",
@@ -38,9 +55,14 @@ def sparse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_dense(_events(spark, sf_dir)).drop("ts")
+
+
+def as_dense(events: DataFrame) -> DataFrame:
     """Five busy PVs, data only."""
-    return _events(spark, sf_dir).select(
+    return events.select(
         F.concat(F.lit("ev:"), F.col("event_type")).alias("pv_name"),
+        "ts",
         "ts_us",
         F.col("event_id").alias("seq"),
         "value",
@@ -143,8 +165,17 @@ FROM (SELECT o_orderkey AS cmd_seq, o_custkey AS c, o_orderkey % 11 AS k,
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control messages: cmd_seq, ts_us, value (JSON text)."""
-    return spark.sql(COMMAND_SQL.replace("FROM orders", "FROM {orders}").replace("{", "{{").replace("}", "}}").replace("{{orders}}", "{orders}"),
-                     orders=table(spark, sf_dir, "orders"))
+    return as_commands(table(spark, sf_dir, "orders"))
+
+
+def as_commands(orders: DataFrame) -> DataFrame:
+    return select_from(COMMAND_SQL, "orders", orders)
+
+
+def select_from(text: str, name: str, frame: DataFrame) -> DataFrame:
+    """Run SQL over a frame that the text calls ``name``; braces stand for themselves."""
+    text = text.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", f"FROM {{{name}}}")
+    return frame.sparkSession.sql(text, **{name: frame})
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
