@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvflow.operators.ordered import carry
+from pvflow.operators.ordered import carry, slice_width
 
 
 def asof_join(
@@ -26,8 +26,11 @@ def asof_join(
 
     Both sides travel in one shuffle on the key, and a running last value picks
     the match: no range condition, no row multiplication. At equal times the
-    right row counts as earlier.
+    right row counts as earlier. ``width`` None measures both sides first.
     """
+    if width is None:
+        times = left.select(F.col(left_at).alias("t")).unionAll(right.select(F.col(right_at).alias("t")))
+        width = slice_width(times, "t")
     null_left = F.lit(None).cast(_struct_type(left))
     null_right = F.lit(None).cast(_struct_type(right))
     events = left.select(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvflow.operators.asof import asof_join
-from pvflow.operators.ordered import slice_width
 
 BROKEN = ["Fail", "Cancel"]
 
@@ -32,15 +31,11 @@ def merge_additional(principal: DataFrame, additional: DataFrame, *, width: int
 
     Principal events without an additional value yet are held back.
     """
-    if width is None:
-        width = slice_width(principal.select("ts_us").unionAll(additional.select("ts_us")), "ts_us")
     return asof_join(principal, additional, ["pv_name"], width=width)
 
 
 def subscribe_initial(subscriptions: DataFrame, events: DataFrame, *, width: int | None = None) -> DataFrame:
     """The value a new or repeated subscription gets at once: the last one before it."""
-    if width is None:
-        width = slice_width(subscriptions.select("ts_us").unionAll(events.select("ts_us")), "ts_us")
     return asof_join(subscriptions, events, ["pv_name"], width=width)
 
 

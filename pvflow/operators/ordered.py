@@ -14,14 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TARGET_ROWS = 4_000_000
+TARGET_ROWS = 2_000_000
 _CELL_US = 60_000_000
 
 _SLICE, _HEAD, _VAL = "_slice", "_head", "_val"
 
 
-def slice_width(df: DataFrame, at: str, target_rows: int = TARGET_ROWS, cell: int = _CELL_US) -> int | None:
-    """Width of a slice of the integer column ``at``, or None when one slice is enough.
+def slice_width(df: DataFrame, at: str, target_rows: int = TARGET_ROWS, cell: int = _CELL_US) -> int:
+    """Width of a slice of the integer column ``at``, or 0 when one slice is enough.
 
     The busiest cell bounds the row count of a slice even if all its rows share
     one key. The job reads only ``at`` and combines on the map side.
@@ -29,7 +29,7 @@ def slice_width(df: DataFrame, at: str, target_rows: int = TARGET_ROWS, cell: in
     cells = df.groupBy(F.floor(F.col(at) / F.lit(cell)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     row = cells.agg(F.sum("n").alias("total"), F.max("n").alias("peak")).first()
     if row.total is None or row.total <= target_rows:
-        return None
+        return 0
     return max(1, cell * target_rows // row.peak)
 
 
@@ -58,17 +58,17 @@ def carry(
     value: Column,
     out: str,
     *,
-    width: int | None = None,
+    width: int,
     strict: bool = False,
     backward: bool = False,
 ) -> DataFrame:
     """Add ``out``: the last non-null ``value`` of the key up to this row.
 
-    ``strict`` leaves out the row itself; ``backward`` looks at later rows and
+    ``width`` is that of ``slice_width``; ``strict`` leaves out the row itself; ``backward`` looks at later rows and
     takes the nearest. ``(at, *order)`` must order the rows of a key totally.
     """
     end = -1 if strict else 0
-    if width is None:
+    if width == 0:
         w = _window(keys, at, order, backward, head=False).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
@@ -98,11 +98,11 @@ def running_sum(
     amount: Column,
     out: str,
     *,
-    width: int | None = None,
+    width: int,
     backward: bool = False,
 ) -> DataFrame:
     """Add ``out``: the sum of ``amount`` over the key up to and including this row."""
-    if width is None:
+    if width == 0:
         w = _window(keys, at, order, backward, head=False).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(amount).over(w))
 
@@ -132,10 +132,10 @@ def running_low(
     total: str,
     low: str,
     *,
-    width: int | None = None,
+    width: int,
 ) -> DataFrame:
     """Add the running sum ``total`` and the lowest running sum so far ``low``."""
-    if width is None:
+    if width == 0:
         w = _window(keys, at, order, False, head=False).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(total, F.sum(amount).over(w)).withColumn(low, F.min(total).over(w))
 

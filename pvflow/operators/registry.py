@@ -140,7 +140,7 @@ def process_batch(subscriptions: DataFrame, limit: int | None = None) -> DataFra
     A limit is applied per task before the shuffle.
     """
     open_rows = subscriptions.where("NOT processed")
-    width = slice_width(open_rows, "id", cell=1000) if limit is None else None
+    width = slice_width(open_rows, "id", cell=1000) if limit is None else 0
     if limit is not None:
         rank = F.row_number().over(Window.partitionBy("pv_name").orderBy("id"))
         return open_rows.withColumn("idx", rank).where(F.col("idx") <= limit).withColumn("idx", F.col("idx") - 1)

@@ -12,6 +12,8 @@ start_us and numbered from 1; the last one ends at stop_us.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,8 @@ def window_us() -> Column:
 
 
 def iteration(ts_us: str = "ts_us") -> Column:
-    return (F.floor((F.col(ts_us) - F.col("start_us")) / window_us()) + 1).cast("bigint")
+    """Window number of a routed event (never before the start)."""
+    return F.call_function("div", F.col(ts_us) - F.col("start_us"), window_us()) + 1
 
 
 def iteration_count() -> Column:
@@ -60,16 +63,38 @@ def runs(members: DataFrame) -> DataFrame:
     return members.drop("pv_name").dropDuplicates(RUN)
 
 
-def route(events: DataFrame, members: DataFrame) -> DataFrame:
-    """Copy each event to every running snapshot that holds its PV."""
-    routed = lookup_join(events, members, ["pv_name"])
+class Span(NamedTuple):
+    """What one pass over a members table tells: its size, time range and longest run."""
+
+    rows: int
+    from_us: int
+    to_us: int
+    peak: int
+
+
+def span(members: DataFrame) -> Span:
+    row = members.agg(
+        F.count(F.lit(1)), F.min("start_us"), F.max("stop_us"), F.max(iteration_count())
+    ).first()
+    return Span(row[0], row[1] or 0, row[2] or 0, row[3] or 0)
+
+
+def route(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
+    """Copy each event to every running snapshot that holds its PV.
+
+    The time range of all runs reaches the scan of the events as a literal.
+    """
+    known = known or span(members)
+    live = events.where(F.col("ts_us").between(known.from_us, known.to_us))
+    routed = lookup_join(live, members, ["pv_name"], rows=known.rows)
     return routed.where("ts_us >= start_us AND ts_us < stop_us")
 
 
 def buffered(events: DataFrame, members: DataFrame) -> DataFrame:
     """Every event of every window, each once, with its iteration and sub-window push."""
-    sub = F.floor((F.col("ts_us") - window_start()) / F.greatest(push_delay_msec() * 1000, F.lit(1))).cast("bigint")
-    return route(events, members).withColumn("iter_index", iteration()).withColumn("sub_index", sub)
+    push_us = F.greatest(push_delay_msec() * 1000, F.lit(1))
+    rows = route(events, members).withColumn("iter_index", iteration())
+    return rows.withColumn("sub_index", F.call_function("div", F.col("ts_us") - window_start(), push_us))
 
 
 def _latest(routed: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
@@ -77,12 +102,19 @@ def _latest(routed: DataFrame, keys: list[str], payload: list[str]) -> DataFrame
     return routed.groupBy(*keys).agg(best).select(*keys, "latest.*")
 
 
-def _iteration_slice(members: DataFrame) -> int | None:
-    peak = members.agg(F.max(iteration_count()).alias("n")).first().n
-    return TARGET_ROWS if peak is not None and peak > TARGET_ROWS else None
+def _latest_per_window(events: DataFrame, members: DataFrame, known: Span) -> DataFrame:
+    """Last event per (run, PV, window) with the run's columns, grouped on the short key only."""
+    routed = route(events, members, known).withColumn("iter_index", iteration())
+    latest = _latest(routed, [*RUN, "pv_name", "iter_index"], ["ts_us", "seq", "value"])
+    about = runs(members).select(*RUN, "snapshot_name", "stop_us", "time_window_msec")
+    return lookup_join(latest, about, RUN, rows=known.rows)
+
 
+def _iteration_slice(known: Span) -> int:
+    return TARGET_ROWS if known.peak > TARGET_ROWS else 0
 
-def _fill(latest: DataFrame, keys: list[str], last_iter: Column, width: int | None) -> DataFrame:
+
+def _fill(latest: DataFrame, keys: list[str], last_iter: Column, width: int) -> DataFrame:
     """Repeat each row until the iteration before the key's next one."""
     following = carry(
         latest, keys, "iter_index", [], F.col("iter_index"), "next_iter", width=width, strict=True, backward=True
@@ -98,10 +130,9 @@ def normal(events: DataFrame, members: DataFrame) -> DataFrame:
     Only the last event per (PV, window) is shuffled; the dense result is
     written from it without a grid join. ``carried`` marks repeated values.
     """
-    keys = [*RUN, "snapshot_name", "stop_us", "time_window_msec", "pv_name"]
-    routed = route(events, members).withColumn("iter_index", iteration())
-    latest = _latest(routed, [*keys, "iter_index"], ["ts_us", "seq", "value"])
-    filled = _fill(latest, keys, iteration_count(), _iteration_slice(members))
+    known = span(members)
+    latest = _latest_per_window(events, members, known)
+    filled = _fill(latest, [*RUN, "pv_name"], iteration_count(), _iteration_slice(known))
     return filled.withColumn("carried", F.col("iter_index") > F.col("from_iter")).drop("from_iter")
 
 
@@ -110,19 +141,19 @@ def silent(events: DataFrame, members: DataFrame) -> DataFrame:
 
     ``gap_index`` counts the silent windows since the last event from 1.
     """
-    keys = [*RUN, "snapshot_name", "stop_us", "time_window_msec", "pv_name"]
-    routed = route(events, members).withColumn("iter_index", iteration())
-    latest = _latest(routed, [*keys, "iter_index"], ["ts_us", "seq", "value"])
-    origin = members.select(*keys).distinct().withColumn("iter_index", F.lit(0).cast("bigint"))
+    known = span(members)
+    latest = _latest_per_window(events, members, known)
+    about = [*RUN, "snapshot_name", "stop_us", "time_window_msec", "pv_name"]
+    origin = members.select(*about).distinct().withColumn("iter_index", F.lit(0).cast("bigint"))
     marks = latest.unionByName(origin, allowMissingColumns=True)
     following = carry(
         marks,
-        keys,
+        [*RUN, "pv_name"],
         "iter_index",
         [],
         F.col("iter_index"),
         "next_iter",
-        width=_iteration_slice(members),
+        width=_iteration_slice(known),
         strict=True,
         backward=True,
     ).withColumnRenamed("iter_index", "from_iter")
@@ -146,28 +177,40 @@ def forced(events: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def number_triggers(triggers: DataFrame, members: DataFrame, width: int | None, flush_on_stop: bool) -> DataFrame:
+class Plan(NamedTuple):
+    """Sizes measured once for a triggered snapshot."""
+
+    members: Span
+    triggers: int
+    width: int
+
+
+def plan_triggers(events: DataFrame, members: DataFrame, triggers: DataFrame, target_rows: int = TARGET_ROWS) -> Plan:
+    known = span(members)
+    times = events.select("ts_us").unionAll(triggers.select(F.col("trigger_us").alias("ts_us")))
+    return Plan(known, triggers.count() + known.rows, slice_width(times, "ts_us", target_rows))
+
+
+def number_triggers(triggers: DataFrame, members: DataFrame, plan: Plan, flush_on_stop: bool) -> DataFrame:
     """Triggers of each run, numbered from 1; a stop counts as a last trigger."""
     live = runs(members).select(*RUN, "stop_us")
-    fired = lookup_join(triggers, live, ["queue_name"]).where("trigger_us >= start_us AND trigger_us < stop_us")
+    fired = lookup_join(triggers, live, ["queue_name"], rows=plan.members.rows)
+    fired = fired.where("trigger_us >= start_us AND trigger_us < stop_us")
     fired = fired.select(*RUN, "trigger_us", F.col("trigger_seq").alias("_seq"))
     if flush_on_stop:
         stops = live.select(*RUN, F.col("stop_us").alias("trigger_us"), F.lit(2**62).alias("_seq"))
         fired = fired.unionByName(stops)
-    return running_sum(fired, RUN, "trigger_us", ["_seq"], F.lit(1).cast("bigint"), "iter_index", width=width)
-
-
-def trigger_slices(events: DataFrame, triggers: DataFrame) -> int | None:
-    return slice_width(events.select("ts_us").unionAll(triggers.select(F.col("trigger_us").alias("ts_us"))), "ts_us")
+    one = F.lit(1).cast("bigint")
+    return running_sum(fired, RUN, "trigger_us", ["_seq"], one, "iter_index", width=plan.width)
 
 
-def assign_triggers(events: DataFrame, members: DataFrame, fired: DataFrame, *, width: int | None = None) -> DataFrame:
+def assign_triggers(events: DataFrame, members: DataFrame, fired: DataFrame, plan: Plan) -> DataFrame:
     """Each routed event with the next trigger of its run; events after the last one are left out.
 
     ``newest_us`` is the time of the last event before that trigger.
     """
     keep = [*RUN, "snapshot_name", "stop_us", "time_window_msec", "pv_name", "ts_us", "seq", "value"]
-    routed = route(events, members).select(*keep, F.lit(0).alias("_side"))
+    routed = route(events, members, plan.members).select(*keep, F.lit(0).alias("_side"))
     marks = fired.select(
         *RUN,
         F.col("trigger_us").alias("ts_us"),
@@ -178,7 +221,7 @@ def assign_triggers(events: DataFrame, members: DataFrame, fired: DataFrame, *,
     rows = routed.unionByName(marks, allowMissingColumns=True)
     order = ["_side", "seq"]
     event_at = F.when(F.col("_side") == 0, F.col("ts_us"))
-    rows = carry(rows, RUN, "ts_us", order, event_at, "_newest", width=width)
+    rows = carry(rows, RUN, "ts_us", order, event_at, "_newest", width=plan.width)
     trigger = F.when(
         F.col("_side") == 1,
         F.struct(
@@ -187,35 +230,34 @@ def assign_triggers(events: DataFrame, members: DataFrame, fired: DataFrame, *,
             F.col("_newest").alias("newest_us"),
         ),
     )
-    rows = carry(rows, RUN, "ts_us", order, trigger, "_next", width=width, backward=True)
+    rows = carry(rows, RUN, "ts_us", order, trigger, "_next", width=plan.width, backward=True)
     return rows.where("_side = 0 AND _next IS NOT NULL").select(*keep, "_next.*")
 
 
 def triggered_buffered(
-    events: DataFrame, members: DataFrame, triggers: DataFrame, *, width: int | None = None, flush_on_stop: bool = True
+    events: DataFrame, members: DataFrame, triggers: DataFrame, *, plan: Plan | None = None, flush_on_stop: bool = True
 ) -> DataFrame:
     """Events since the previous trigger, no older than the window before the last of them."""
-    width = width or trigger_slices(events, triggers)
-    fired = number_triggers(triggers, members, width, flush_on_stop)
-    assigned = assign_triggers(events, members, fired, width=width)
+    plan = plan or plan_triggers(events, members, triggers)
+    fired = number_triggers(triggers, members, plan, flush_on_stop)
+    assigned = assign_triggers(events, members, fired, plan)
     return assigned.where(F.col("ts_us") >= F.col("newest_us") - window_us()).drop("newest_us")
 
 
 def triggered_normal(
-    events: DataFrame, members: DataFrame, triggers: DataFrame, *, width: int | None = None, flush_on_stop: bool = True
+    events: DataFrame, members: DataFrame, triggers: DataFrame, *, plan: Plan | None = None, flush_on_stop: bool = True
 ) -> DataFrame:
     """At each trigger the last value of every PV seen so far."""
-    width = width or trigger_slices(events, triggers)
-    fired = number_triggers(triggers, members, width, flush_on_stop)
-    keys = [*RUN, "snapshot_name", "pv_name"]
-    assigned = assign_triggers(events, members, fired, width=width)
-    latest = _latest(assigned, [*keys, "iter_index"], ["ts_us", "seq", "value"])
+    plan = plan or plan_triggers(events, members, triggers)
+    fired = number_triggers(triggers, members, plan, flush_on_stop)
+    assigned = assign_triggers(events, members, fired, plan)
+    latest = _latest(assigned, [*RUN, "snapshot_name", "pv_name", "iter_index"], ["ts_us", "seq", "value"])
     counts = fired.groupBy(*RUN).agg(F.max("iter_index").alias("last_iter"))
-    n_triggers = fired.count()
-    latest = lookup_join(latest, counts, RUN, rows=n_triggers)
-    filled = _fill(latest, [*keys, "last_iter"], F.col("last_iter"), TARGET_ROWS if width else None)
+    latest = lookup_join(latest, counts, RUN, rows=plan.members.rows)
+    width = TARGET_ROWS if plan.triggers > TARGET_ROWS else 0
+    filled = _fill(latest, [*RUN, "pv_name"], F.col("last_iter"), width)
     stamps = fired.select(*RUN, "iter_index", "trigger_us")
-    return lookup_join(filled, stamps, [*RUN, "iter_index"], rows=n_triggers).drop("from_iter", "last_iter")
+    return lookup_join(filled, stamps, [*RUN, "iter_index"], rows=plan.triggers).drop("from_iter", "last_iter")
 
 
 def windows(members: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pvflow.functions import names as N
 from pvflow.functions import variants as V
 from pvflow.operators import commands as C
 from pvflow.operators import snapshots as snap
+from pvflow.operators.ordered import slice_width
 from pvflow.plans import sql as S
 from pvflow.plans.catalogue import query, with_ctes
 from pvflow.sources import tables as T
@@ -68,6 +69,11 @@ def _joined(column: str):
     return F.array_join(F.array_sort(column), ",")
 
 
+def _asof_width(spark, sf):
+    times = T.commands(spark, sf).select("ts_us").unionAll(T.sparse_events(spark, sf).select("ts_us"))
+    return slice_width(times, "ts_us")
+
+
 def _valid(spark, sf, kind):
     return decoded(spark, sf).where((F.col("status") == "valid") & (F.col("kind") == kind))
 
@@ -237,13 +243,16 @@ life AS (SELECT queue_name, ts_us, seq, op,
 
 
 def _life(spark, sf):
-    return snap.lifecycle(C.snapshot_commands(decoded(spark, sf)))
+    # measured on the raw messages: fewer columns, and no second decoding
+    width = slice_width(T.commands(spark, sf), "ts_us")
+    return snap.lifecycle(C.snapshot_commands(decoded(spark, sf)), width=width), width
 
 
 @query("snap_lifecycle", with_ctes(*DECODED, _VALIDATED, _LIFE, body="""
 SELECT queue_name, ts_us, seq, op AS kind, error, outcome FROM life"""))
 def snap_lifecycle(spark, sf):
-    return _life(spark, sf).select("queue_name", "ts_us", "seq", "kind", "error", "outcome")
+    replies, _ = _life(spark, sf)
+    return replies.select("queue_name", "ts_us", "seq", "kind", "error", "outcome")
 
 
 @query("snap_runs", with_ctes(*DECODED, _VALIDATED, _LIFE, """
@@ -251,7 +260,8 @@ edge AS (SELECT *, lead(ts_us) OVER (PARTITION BY queue_name ORDER BY ts_us, seq
   WHERE outcome IN ('started', 'stopped'))""", body="""
 SELECT queue_name, ts_us AS start_us, seq, coalesce(stop_us, -1) AS stop_us FROM edge WHERE outcome = 'started'"""))
 def snap_runs(spark, sf):
-    runs = snap.run_intervals(_life(spark, sf))
+    replies, width = _life(spark, sf)
+    runs = snap.run_intervals(replies, width=width)
     return runs.select("queue_name", "start_us", "seq", F.coalesce("stop_us", F.lit(-1)).alias("stop_us"))
 
 
@@ -276,7 +286,8 @@ SELECT put.cmd_seq, CASE WHEN error <> 0 THEN error WHEN pv.event_type IS NULL T
 FROM put ASOF LEFT JOIN pv ON put.name = pv.pv_name AND put.ts_us >= pv.ts_us"""))
 def put_reply(spark, sf):
     puts = _valid(spark, sf, "put").select("cmd_seq", "ts_us", "pv_name", "put_value")
-    return C.put_replies(puts, T.sparse_events(spark, sf)).select("cmd_seq", "error")
+    out = C.put_replies(puts, T.sparse_events(spark, sf), width=_asof_width(spark, sf))
+    return out.select("cmd_seq", "error")
 
 
 @query("get_reply", with_ctes(*DECODED, S.SPARSE, """
@@ -291,7 +302,7 @@ SELECT cmd_seq, error, CASE error WHEN -1 THEN 'PV name malformed' WHEN -2 THEN
   CASE WHEN error = 0 THEN value END AS value, CASE WHEN error = 0 THEN seq ELSE -1 END AS seq FROM got"""))
 def get_reply(spark, sf):
     gets = _valid(spark, sf, "get").select("cmd_seq", "ts_us", "pv_name")
-    out = C.get_replies(gets, T.sparse_events(spark, sf))
+    out = C.get_replies(gets, T.sparse_events(spark, sf), width=_asof_width(spark, sf))
     return out.select("cmd_seq", "error", "message", "value", F.coalesce("seq", F.lit(-1)).alias("seq"))
 
 
