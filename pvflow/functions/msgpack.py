@@ -24,10 +24,6 @@ _MAPS = {0xDE: ">H", 0xDF: ">I"}
 _CONST = {0xC0: None, 0xC2: False, 0xC3: True}
 
 
-class Float32(float):
-    """A float to be written with 32 bits."""
-
-
 def _sized(size: int, small: int, small_limit: int, codes: dict[int, str]) -> bytes:
     if size < small_limit:
         return bytes([small | size])
@@ -37,6 +33,14 @@ def _sized(size: int, small: int, small_limit: int, codes: dict[int, str]) -> by
     raise ValueError("too long for MsgPack")
 
 
+def map_head(size: int) -> bytes:
+    return _sized(size, _SMALL_MAP, 16, _MAPS)
+
+
+def array_head(size: int) -> bytes:
+    return _sized(size, _SMALL_ARRAY, 16, _ARRAYS)
+
+
 def pack(value) -> bytes:
     if value is None:
         return b"\xc0"
@@ -50,8 +54,6 @@ def pack(value) -> bytes:
             if size < limit:
                 return bytes([code]) + struct.pack(fmt, value)
         raise ValueError("integer out of range")
-    if isinstance(value, Float32):
-        return b"\xca" + struct.pack(">f", value)
     if isinstance(value, float):
         return b"\xcb" + struct.pack(">d", value)
     if isinstance(value, str):
@@ -61,58 +63,86 @@ def pack(value) -> bytes:
         return _sized(len(value), 0, 0, _BLOBS) + bytes(value)
     if isinstance(value, dict):
         body = b"".join(pack(k) + pack(v) for k, v in value.items())
-        return _sized(len(value), _SMALL_MAP, 16, _MAPS) + body
-    return _sized(len(value), _SMALL_ARRAY, 16, _ARRAYS) + b"".join(pack(v) for v in value)
+        return map_head(len(value)) + body
+    return array_head(len(value)) + b"".join(pack(v) for v in value)
 
 
-def _take(buf: bytes, pos: int, fmt: str):
-    return struct.unpack_from(fmt, buf, pos)[0], pos + struct.calcsize(fmt)
+def _constant(value):
+    return lambda buf, pos: (value, pos)
 
 
-def _slice(buf: bytes, pos: int, size: int) -> tuple[bytes, int]:
-    if pos + size > len(buf):
+def _number(fmt: str):
+    packed = struct.Struct(fmt)
+    return lambda buf, pos: (packed.unpack_from(buf, pos)[0], pos + packed.size)
+
+
+def _blob(buf: bytes, pos: int, size: int):
+    end = pos + size
+    if end > len(buf):
         raise ValueError("cut short")
-    return buf[pos : pos + size], pos + size
+    return buf[pos:end], end
+
+
+def _text(buf: bytes, pos: int, size: int):
+    raw, pos = _blob(buf, pos, size)
+    return raw.decode(), pos
+
+
+def _items(buf: bytes, pos: int, size: int):
+    items = []
+    for _ in range(size):
+        item, pos = unpack_from(buf, pos)
+        items.append(item)
+    return items, pos
+
+
+def _pairs(buf: bytes, pos: int, size: int):
+    out = {}
+    for _ in range(size):
+        key, pos = unpack_from(buf, pos)
+        out[key], pos = unpack_from(buf, pos)
+    return out, pos
+
+
+def _counted(body, size: int):
+    return lambda buf, pos: body(buf, pos, size)
+
+
+def _prefixed(body, fmt: str):
+    number = _number(fmt)
+
+    def read(buf, pos):
+        size, pos = number(buf, pos)
+        return body(buf, pos, size)
+
+    return read
+
+
+# The reader of each first byte.
+_READERS: dict[int, object] = {
+    **{c: _constant(c) for c in range(0x80)},
+    **{_SMALL_MAP | n: _counted(_pairs, n) for n in range(16)},
+    **{_SMALL_ARRAY | n: _counted(_items, n) for n in range(16)},
+    **{_SMALL_TEXT | n: _counted(_text, n) for n in range(32)},
+    **{c: _constant(v) for c, v in _CONST.items()},
+    **{c: _number(fmt) for c, fmt, _ in (*_UINTS, *_INTS)},
+    **{c: _number(fmt) for c, fmt in _FLOATS.items()},
+    **{c: _prefixed(_blob, fmt) for c, fmt in _BLOBS.items()},
+    **{c: _prefixed(_text, fmt) for c, fmt in _TEXTS.items()},
+    **{c: _prefixed(_items, fmt) for c, fmt in _ARRAYS.items()},
+    **{c: _prefixed(_pairs, fmt) for c, fmt in _MAPS.items()},
+    **{c: _constant(c - 256) for c in range(0xE0, 0x100)},
+}
 
 
 def unpack_from(buf: bytes, pos: int = 0):
     """(value, next position); raises ``ValueError`` or ``struct.error`` on bad input."""
     if pos >= len(buf):
         raise ValueError("cut short")
-    code, pos = buf[pos], pos + 1
-    if code < 0x80:
-        return code, pos
-    if code >= 0xE0:
-        return code - 256, pos
-    if code in _CONST:
-        return _CONST[code], pos
-    for c, fmt, _ in (*_UINTS, *_INTS):
-        if code == c:
-            return _take(buf, pos, fmt)
-    if code in _FLOATS:
-        return _take(buf, pos, _FLOATS[code])
-    if code in _BLOBS:
-        size, pos = _take(buf, pos, _BLOBS[code])
-        return _slice(buf, pos, size)
-    if code in _TEXTS or 0xA0 <= code < 0xC0:
-        size, pos = _take(buf, pos, _TEXTS[code]) if code in _TEXTS else (code & 0x1F, pos)
-        raw, pos = _slice(buf, pos, size)
-        return raw.decode(), pos
-    if code in _ARRAYS or 0x90 <= code < 0xA0:
-        size, pos = _take(buf, pos, _ARRAYS[code]) if code in _ARRAYS else (code & 0x0F, pos)
-        items = []
-        for _ in range(size):
-            item, pos = unpack_from(buf, pos)
-            items.append(item)
-        return items, pos
-    if code in _MAPS or code < 0x90:
-        size, pos = _take(buf, pos, _MAPS[code]) if code in _MAPS else (code & 0x0F, pos)
-        out = {}
-        for _ in range(size):
-            key, pos = unpack_from(buf, pos)
-            out[key], pos = unpack_from(buf, pos)
-        return out, pos
-    raise ValueError(f"unknown code {code}")
+    reader = _READERS.get(buf[pos])
+    if reader is None:
+        raise ValueError(f"unknown code {buf[pos]}")
+    return reader(buf, pos + 1)
 
 
 def unpack(buf: bytes):

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pvflow.functions.msgpack import Float32, pack, unpack
+from pvflow.functions.msgpack import array_head, map_head, pack, unpack
 
 SER_JSON, SER_MSGPACK, SER_COMPACT = 1, 2, 3  # fixed values: serialization codes
 
@@ -42,32 +44,53 @@ def frame_json(value: Column) -> Column:
     return F.when(kind == 0, header).when(kind == 1, data).otherwise(tail)
 
 
-def _plain(value, kind: pa.DataType):
-    """Arrow value -> what ``pack`` takes; 32-bit floats stay 32 bits wide."""
-    if value is None:
-        return None
-    if pa.types.is_float32(kind):
-        return Float32(value)
+def _cells(column: pa.Array) -> list[bytes]:
+    """The MsgPack bytes of every value of an Arrow column, built child by child."""
+    kind, size = column.type, len(column)
     if pa.types.is_struct(kind):
-        return {f.name: _plain(value[f.name], f.type) for f in kind}
-    if pa.types.is_list(kind):
-        return [_plain(v, kind.value_type) for v in value]
-    if pa.types.is_map(kind):
-        return {k: _plain(v, kind.item_type) for k, v in value}
-    if pa.types.is_decimal(kind):
-        return int(value)
-    return value
+        parts: list = [repeat(map_head(kind.num_fields))]
+        for i, f in enumerate(kind):
+            parts += [repeat(pack(f.name)), _cells(column.field(i))]
+        cells = [b"".join(p) for p in zip(*parts)] if kind.num_fields else [map_head(0)] * size
+    elif pa.types.is_float64(kind) or pa.types.is_float32(kind):
+        code, width = (b"\xcb", 8) if pa.types.is_float64(kind) else (b"\xca", 4)
+        raw = np.asarray(column.fill_null(0)).astype(f">f{width}").tobytes()
+        cells = [code + raw[i : i + width] for i in range(0, size * width, width)]
+    elif pa.types.is_list(kind):
+        items = _cells(column.flatten())
+        counts = column.value_lengths().fill_null(0).to_pylist()
+        cells, at = [], 0
+        for n in counts:
+            cells.append(array_head(n) + b"".join(items[at : at + n]))
+            at += n
+    elif pa.types.is_map(kind):
+        cells = [pack(None if v is None else dict(v)) for v in column.to_pylist()]
+    elif pa.types.is_decimal(kind):
+        cells = [pack(None if v is None else int(v)) for v in column.to_pylist()]
+    else:
+        cells = [pack(v) for v in column.to_pylist()]
+    if column.null_count:
+        nil = pack(None)
+        cells = [nil if null else c for c, null in zip(cells, column.is_null().to_pylist())]
+    return cells
 
 
-def _leaves(value, kind: pa.DataType) -> Iterator:
+def _leaf_cells(column: pa.Array) -> list[list[bytes]]:
+    """Per row the cells of its leaves, depth first through structs and struct arrays."""
+    kind, size = column.type, len(column)
     if pa.types.is_struct(kind):
-        for f in kind:
-            yield from _leaves(None if value is None else value[f.name], f.type)
-    elif pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
-        for item in value or []:
-            yield from _leaves(item, kind.value_type)
-    else:
-        yield _plain(value, kind)
+        rows: list[list[bytes]] = [[] for _ in range(size)]
+        for child in column.flatten():
+            for row, cells in zip(rows, _leaf_cells(child)):
+                row += cells
+        return rows
+    if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
+        items, rows, at = _leaf_cells(column.flatten()), [], 0
+        for n in column.value_lengths().fill_null(0).to_pylist():
+            rows.append([c for item in items[at : at + n] for c in item])
+            at += n
+        return rows
+    return [[c] for c in _cells(column)]
 
 
 def encode_msgpack(df: DataFrame, data: str = "data", *, compact: bool = False, reply_id: str | None = None) -> DataFrame:
@@ -81,16 +104,19 @@ def encode_msgpack(df: DataFrame, data: str = "data", *, compact: bool = False,
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.schema.field(data).type
-            names = batch.column("pv_name").to_pylist()
-            values = batch.column(data).to_pylist()
+            column = batch.column(data)
+            names = [pack(n) for n in batch.column("pv_name").to_pylist()]
             replies = batch.column(reply_id).to_pylist() if reply_id else [None] * len(names)
             out = []
-            for name, value, reply in zip(names, values, replies):
-                if compact:
-                    out.append(pack([*([reply] if reply else []), name, *_leaves(value, kind)]))
-                else:
-                    out.append(pack({**({"reply_id": reply} if reply else {}), name: _plain(value, kind)}))
+            if compact:
+                for name, reply, cells in zip(names, replies, _leaf_cells(column)):
+                    head = [pack(reply)] if reply else []
+                    out.append(b"".join([array_head(len(head) + 1 + len(cells)), *head, name, *cells]))
+            else:
+                key = pack("reply_id")
+                for name, reply, cell in zip(names, replies, _cells(column)):
+                    head = [map_head(2), key, pack(reply)] if reply else [map_head(1)]
+                    out.append(b"".join([*head, name, cell]))
             kept = [batch.column(f.name) for f in keep]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(out, pa.binary())], names=[*[f.name for f in keep], "value"]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 TARGET_ROWS = 2_000_000
 _CELL_US = 60_000_000
 
-_SLICE, _HEAD, _VAL = "_slice", "_head", "_val"
+_SLICE, _HEAD, _VAL, _FLOOR = "_slice", "_head", "_val", "_floor"
 
 
 def slice_width(df: DataFrame, at: str, target_rows: int = TARGET_ROWS, cell: int = _CELL_US) -> int:
@@ -145,18 +145,18 @@ def running_low(
     chain = _chain(keys, False)
     heads = (
         local.groupBy(*keys, _SLICE)
-        .agg(F.sum(_VAL).alias("_sum"), F.min("_s").alias("_low"))
+        .agg(F.sum(_VAL).alias("_sum"), F.min("_s").alias(_FLOOR))
         .withColumn("_before", F.sum("_sum").over(chain))
-        .withColumn("_low", F.min(F.coalesce("_before", F.lit(0)) + F.col("_low")).over(chain))
+        .withColumn(_FLOOR, F.min(F.coalesce("_before", F.lit(0)) + F.col(_FLOOR)).over(chain))
         .where(F.col("_before").isNotNull())
-        .select(*keys, _SLICE, F.lit(0).alias(_HEAD), F.col("_before").alias(_VAL), "_low")
+        .select(*keys, _SLICE, F.lit(0).alias(_HEAD), F.col("_before").alias(_VAL), _FLOOR)
     )
     return (
         rows.unionByName(heads, allowMissingColumns=True)
         .withColumn(total, F.sum(_VAL).over(w))
-        .withColumn(low, F.min(F.coalesce("_low", total)).over(w))
+        .withColumn(low, F.min(F.coalesce(_FLOOR, total)).over(w))
         .where(F.col(_HEAD) == 1)
-        .drop(_SLICE, _HEAD, _VAL, "_low")
+        .drop(_SLICE, _HEAD, _VAL, _FLOOR)
     )
 
 

@@ -363,3 +363,56 @@ SELECT p_partkey, array_to_string(list_filter(string_split(regexp_replace(regexp
 def field_request(spark, sf):
     df = T.table(spark, sf, "part").select("p_partkey", F.expr(_REQUESTS).alias("request"))
     return df.select("p_partkey", F.array_join(N.requested_fields(F.col("request")), "|").alias("fields"))
+
+
+_ONCE = """ask AS (SELECT cmd_seq AS request_id, reply_topic, reply_id, ts_us AS t0,
+  greatest(CAST(time_window_msec AS BIGINT) * 3600, 1) * 1000 AS w, list_reverse_sort(pvs) AS l FROM dec
+  WHERE status = 'valid' AND kind = 'snapshot'),
+item AS (SELECT * EXCLUDE (l), unnest(l) AS uri, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM ask),
+chk AS (SELECT *, regexp_full_match(uri, '(pva?|ca)://[a-zA-Z0-9_-]+(:[a-zA-Z0-9_-]+)*([.][a-zA-Z0-9_-]+([.][a-zA-Z0-9_]+)*)?') AS good FROM item),
+cut AS (SELECT *, min(CASE WHEN NOT good THEN pos END) OVER (PARTITION BY request_id) AS bad_at FROM chk),
+want AS (SELECT *, regexp_extract(uri, '://([a-zA-Z0-9_:-]+)', 1) AS pv_name FROM cut WHERE bad_at IS NULL OR pos < bad_at),
+d AS (SELECT * FROM pv WHERE event_type = 'Data'),
+aft AS (SELECT want.*, d.ts_us AS a_ts, d.seq AS a_seq, d.value AS a_value FROM want ASOF LEFT JOIN d ON want.pv_name = d.pv_name AND want.t0 <= d.ts_us),
+two AS (SELECT aft.*, d.ts_us AS b_ts, d.seq AS b_seq, d.value AS b_value FROM aft ASOF LEFT JOIN d ON aft.pv_name = d.pv_name AND aft.t0 > d.ts_us),
+pick AS (SELECT *, coalesce(a_ts <= t0 + w, false) AS inside FROM two),
+answer AS (SELECT request_id, reply_id, pos, pv_name, CASE WHEN inside THEN a_ts ELSE b_ts END AS ts_us,
+  CASE WHEN inside THEN a_seq ELSE b_seq END AS seq, CASE WHEN inside THEN a_value ELSE b_value END AS value FROM pick
+  WHERE inside OR b_ts IS NOT NULL)"""
+
+
+def _once(spark, sf):
+    requests = _valid(spark, sf, "snapshot").select(
+        F.col("cmd_seq").alias("request_id"),
+        "reply_topic",
+        "reply_id",
+        F.col("ts_us").alias("request_us"),
+        (F.col("time_window_msec").cast("bigint") * 3600).alias("time_window_msec"),
+        F.reverse(F.array_sort("pv_name_list")).alias("pv_name_list"),
+    )
+    events = T.sparse_events(spark, sf).where("event_type = 'Data'")
+    return snap.once(events, requests, width=_asof_width(spark, sf))
+
+
+@query("snap_once", with_ctes(*DECODED, S.SPARSE, _ONCE, body="""
+SELECT request_id, reply_id, 0 AS error, pos AS element_number, pv_name, ts_us, seq, value FROM answer
+UNION ALL SELECT request_id, reply_id, 1, -1, NULL, -1, -1, NULL FROM ask"""))
+def snap_once(spark, sf):
+    out = _once(spark, sf).where("error >= 0").fillna(-1, ["element_number", "ts_us", "seq"])
+    return out.select("request_id", "reply_id", "error", "element_number", "pv_name", "ts_us", "seq", "value")
+
+
+@query("snap_once_bad", with_ctes(*DECODED, S.SPARSE, _ONCE, body="""
+SELECT request_id, CAST(bad_at AS INTEGER) AS element_number, 'PV ''' || uri || '''name malformed' AS message,
+  (SELECT count(*) FROM answer a WHERE a.request_id = cut.request_id) AS n_answers FROM cut WHERE pos = bad_at"""))
+def snap_once_bad(spark, sf):
+    out = _once(spark, sf)
+    return (
+        out.groupBy("request_id")
+        .agg(
+            F.max(F.when(F.col("error") == -1, F.col("element_number"))).alias("element_number"),
+            F.max("message").alias("message"),
+            F.count_if(F.col("error") == 0).alias("n_answers"),
+        )
+        .where("message IS NOT NULL")
+    )
