@@ -42,7 +42,7 @@ def _window(keys: Sequence[str], at: str, order: Sequence[str], backward: bool,
 
 
 def _sliced(df: DataFrame, at: str, width: int) -> DataFrame:
-    return df.withColumn(_SLICE, F.floor(F.col(at) / F.lit(width))).withColumn(_HEAD, F.lit(1))
+    return df.withColumn(_SLICE, slice_of(at, width)).withColumn(_HEAD, F.lit(1))
 
 
 def _chain(keys: Sequence[str], backward: bool):
@@ -64,8 +64,9 @@ def carry(
 ) -> DataFrame:
     """Add ``out``: the last non-null ``value`` of the key up to this row.
 
-    ``width`` is that of ``slice_width``; ``strict`` leaves out the row itself; ``backward`` looks at later rows and
-    takes the nearest. ``(at, *order)`` must order the rows of a key totally.
+    ``width`` is that of ``slice_width``; ``strict`` leaves out the row itself;
+    ``backward`` looks at later rows and takes the nearest. ``(at, *order)`` must
+    order the rows of a key totally.
     """
     end = -1 if strict else 0
     if width == 0:
@@ -77,11 +78,11 @@ def carry(
     rank = F.when(F.col(_VAL).isNotNull(), F.struct(at, *order))
     summary = rows.groupBy(*keys, _SLICE).agg(pick(F.col(_VAL), rank).alias(_VAL))
     heads = (
-        summary.withColumn(_VAL, F.last(_VAL, ignorenulls=True).over(_chain(keys, backward)))
+        summary.withColumn(_VAL, entering(_VAL, keys, backward))
         .where(F.col(_VAL).isNotNull())
         .withColumn(_HEAD, F.lit(0))
     )
-    w = _window(keys, at, order, backward, head=True).rowsBetween(Window.unboundedPreceding, end)
+    w = slice_window(keys, at, order, backward).rowsBetween(Window.unboundedPreceding, end)
     return (
         rows.unionByName(heads, allowMissingColumns=True)
         .withColumn(out, F.last(_VAL, ignorenulls=True).over(w))
@@ -90,6 +91,20 @@ def carry(
     )
 
 
+def slice_of(at: str, width: int) -> Column:
+    return F.floor(F.col(at) / F.lit(width))
+
+
+def slice_window(keys: Sequence[str], at: str, order: Sequence[str], backward: bool):
+    """Rows of one (key, slice), its head row first."""
+    return _window(keys, at, order, backward, head=True)
+
+
+def entering(value: str, keys: Sequence[str], backward: bool = False) -> Column:
+    """Over one row per (key, slice): the last non-null value of the slices before (or after) this one."""
+    return F.last(value, ignorenulls=True).over(_chain(keys, backward))
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],

@@ -14,12 +14,21 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvflow.functions.names import is_pv_uri, pv_parts
 from pvflow.operators.joins import lookup_join
-from pvflow.operators.ordered import TARGET_ROWS, carry, explode_range, running_sum, slice_width
+from pvflow.operators.ordered import (
+    TARGET_ROWS,
+    carry,
+    entering,
+    explode_range,
+    running_sum,
+    slice_of,
+    slice_width,
+    slice_window,
+)
 
 RUN = ["queue_name", "start_us"]
 DEFAULT_PUSH_MSEC = 1000  # fixed value: sub-window push when none is asked for
@@ -207,10 +216,11 @@ def number_triggers(triggers: DataFrame, members: DataFrame, plan: Plan, flush_o
 def assign_triggers(events: DataFrame, members: DataFrame, fired: DataFrame, plan: Plan) -> DataFrame:
     """Each routed event with the next trigger of its run; events after the last one are left out.
 
-    ``newest_us`` is the time of the last event before that trigger.
+    ``newest_us`` is the time of the last event before that trigger. Events and
+    triggers of a (run, time slice) meet in one shuffle and two scans of it: one
+    forward for the newest event, one backward for the next trigger.
     """
-    keep = [*RUN, "snapshot_name", "stop_us", "time_window_msec", "pv_name", "ts_us", "seq", "value"]
-    routed = route(events, members, plan.members).select(*keep, F.lit(0).alias("_side"))
+    routed = route(events, members, plan.members).select(*RUN, "pv_name", "ts_us", "seq", "value", F.lit(0).alias("_side"))
     marks = fired.select(
         *RUN,
         F.col("trigger_us").alias("ts_us"),
@@ -221,7 +231,6 @@ def assign_triggers(events: DataFrame, members: DataFrame, fired: DataFrame, pla
     rows = routed.unionByName(marks, allowMissingColumns=True)
     order = ["_side", "seq"]
     event_at = F.when(F.col("_side") == 0, F.col("ts_us"))
-    rows = carry(rows, RUN, "ts_us", order, event_at, "_newest", width=plan.width)
     trigger = F.when(
         F.col("_side") == 1,
         F.struct(
@@ -230,8 +239,55 @@ def assign_triggers(events: DataFrame, members: DataFrame, fired: DataFrame, pla
             F.col("_newest").alias("newest_us"),
         ),
     )
-    rows = carry(rows, RUN, "ts_us", order, trigger, "_next", width=plan.width, backward=True)
-    return rows.where("_side = 0 AND _next IS NOT NULL").select(*keep, "_next.*")
+    if plan.width == 0:
+        rows = carry(rows, RUN, "ts_us", order, event_at, "_newest", width=0)
+        rows = carry(rows, RUN, "ts_us", order, trigger, "_next", width=0, backward=True)
+    else:
+        heads = _trigger_heads(routed, marks, plan)
+        rows = rows.withColumn("_slice", slice_of("ts_us", plan.width)).withColumn("_head", F.lit(1))
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+        ahead = slice_window(RUN, "ts_us", order, False).rowsBetween(Window.unboundedPreceding, 0)
+        back = slice_window(RUN, "ts_us", order, True).rowsBetween(Window.unboundedPreceding, 0)
+        known = F.coalesce("_entry_newest", event_at)
+        rows = rows.withColumn("_newest", F.last(known, ignorenulls=True).over(ahead))
+        rows = rows.withColumn("_next", F.last(F.coalesce("_entry_next", trigger), ignorenulls=True).over(back))
+        rows = rows.where("_head = 1")
+    assigned = rows.where("_side = 0 AND _next IS NOT NULL").select(*RUN, "pv_name", "ts_us", "seq", "value", "_next.*")
+    about = runs(members).select(*RUN, "snapshot_name", "stop_us", "time_window_msec")
+    return lookup_join(assigned, about, RUN, rows=plan.members.rows)
+
+
+def _trigger_heads(routed: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame:
+    """One row per (run, slice): the newest event before the slice and the next trigger after it.
+
+    Needs per slice only its first trigger, its newest event and its newest
+    event up to that trigger: a plain aggregation, combined before the shuffle.
+    """
+    cell = [*RUN, "_slice"]
+    part = slice_of("ts_us", plan.width).alias("_slice")
+    rank = F.struct("ts_us", "seq")
+    firsts = (
+        marks.select(*RUN, "ts_us", "seq", "_iter", part)
+        .groupBy(*cell)
+        .agg(F.min_by(F.struct(F.col("ts_us").alias("at"), F.col("_iter").alias("iter")), rank).alias("_first"))
+    )
+    slices = plan.members.rows * ((plan.members.to_us - plan.members.from_us) // plan.width + 2)
+    newest = (
+        lookup_join(routed.select(*RUN, "ts_us", part), firsts, cell, "left", rows=min(slices, plan.triggers))
+        .groupBy(*cell)
+        .agg(F.max("ts_us").alias("_all"), F.max(F.when(F.col("ts_us") <= F.col("_first.at"), F.col("ts_us"))).alias("_pre"))
+    )
+    cells = newest.join(firsts, cell, "full_outer").withColumn("_entry_newest", entering("_all", RUN))
+    following = F.when(
+        F.col("_first").isNotNull(),
+        F.struct(
+            F.col("_first.at").alias("trigger_us"),
+            F.col("_first.iter").alias("iter_index"),
+            F.coalesce("_pre", "_entry_newest").alias("newest_us"),
+        ),
+    )
+    cells = cells.withColumn("_following", following).withColumn("_entry_next", entering("_following", RUN, backward=True))
+    return cells.select(*cell, F.lit(0).alias("_head"), "_entry_newest", "_entry_next")
 
 
 def triggered_buffered(
