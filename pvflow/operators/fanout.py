@@ -21,13 +21,14 @@ def encode_once(events: DataFrame, subscriptions: DataFrame, encoders: dict[int,
     subscriber of that serialization.
     """
     subs = subscriptions.select("pv_name", "channel_destination", "event_serialization").distinct()
+    n_subs = subs.count()
     flags = subs.groupBy("pv_name").agg(
         *[F.max(F.col("event_serialization") == s).alias(f"_wants_{s}") for s in encoders]
     )
-    data = lookup_join(events.where("event_type = 'Data'"), flags, ["pv_name"])
+    data = lookup_join(events.where("event_type = 'Data'"), flags, ["pv_name"], rows=n_subs)
     for s, encoder in encoders.items():
         data = data.withColumn(f"_payload_{s}", F.when(F.col(f"_wants_{s}"), encoder))
-    sent = lookup_join(data, subs, ["pv_name"])
+    sent = lookup_join(data, subs, ["pv_name"], rows=n_subs)
     payload = F.coalesce(
         *[F.when(F.col("event_serialization") == s, F.col(f"_payload_{s}")) for s in encoders]
     )

@@ -14,6 +14,7 @@ from pvflow.operators.ordered import carry, running_low, running_sum, slice_widt
 
 ENTRY = ["pv_name", "channel_destination", "event_serialization"]
 DOCUMENT = "pv_monitor_map array<struct<key:string,dest:string,ser:int>>"
+ENTRIES_PER_DOCUMENT = 50_000
 PURGE_TIMEOUT_US = 3600 * 1_000_000  # fixed value: default time without consumers
 
 
@@ -24,13 +25,15 @@ def load_documents(documents: DataFrame, text: str = "document") -> DataFrame:
     ).withColumnsRenamed({"key": "pv_name", "dest": "channel_destination", "ser": "event_serialization"})
 
 
-def dump_documents(subscriptions: DataFrame, by: list[str], parts: int = 1) -> DataFrame:
-    """Subscription rows -> one registry document per node and part, entries in order.
+def dump_documents(subscriptions: DataFrame, by: list[str], max_entries: int = ENTRIES_PER_DOCUMENT) -> DataFrame:
+    """Subscription rows -> registry documents per node, entries in order.
 
-    With ``parts`` > 1 the entries of a node spread over that many documents, so
-    that no document has to fit into one task; loading all of them is the same.
+    Entries spread by hash over as many ``part`` documents as keep each near
+    ``max_entries``, whatever one node or PV holds; loading all parts gives the
+    same rows.
     """
-    part = F.pmod(F.xxhash64("pv_name"), F.lit(parts)).cast("int").alias("part")
+    parts = max(1, -(-subscriptions.count() // max_entries))
+    part = F.pmod(F.xxhash64(*ENTRY), F.lit(parts)).cast("int").alias("part")
     entry = F.struct(
         F.col("pv_name").alias("key"),
         F.col("channel_destination").alias("dest"),

@@ -41,7 +41,7 @@ SELECT channel_destination AS topic, pv_name AS key, event_serialization AS ser,
 FROM pv JOIN d USING (pv_name) WHERE event_type = 'Data' GROUP BY ALL"""))
 def topic_sink(spark, sf):
     payload = {1: F.to_json(F.struct("seq", "value")), 3: F.to_json(F.struct("seq"))}
-    sent = O.encode_once(T.sparse_events(spark, sf), T.subscriptions(spark, sf), payload)
+    sent = O.encode_once(T.data_events(spark, sf), T.subscriptions(spark, sf), payload)
     rows = sinks.out_messages(sent, F.col("topic"), F.col("key"), F.col("value"), F.col("event_serialization"))
     path = work_dir(spark, "topics")
     sinks.write_topics(rows, path)
@@ -54,7 +54,7 @@ def topic_sink(spark, sf):
 SELECT pv_name AS pv, value, 'double' AS type, ts_us, seq, 'monitor' AS source, CAST(CAST(make_timestamp(ts_us) AS DATE) AS VARCHAR) AS date
 FROM pv WHERE event_type = 'Data'"""))
 def archive_pv_values(spark, sf):
-    values = A.pv_values(T.sparse_events(spark, sf).where("event_type = 'Data'"), "monitor")
+    values = A.pv_values(T.data_events(spark, sf), "monitor")
     path = work_dir(spark, "pv_values")
     sinks.write_pv_values(values, path)
     stored = spark.read.schema(values.schema).parquet(path)
@@ -62,7 +62,7 @@ def archive_pv_values(spark, sf):
 
 
 def _blobs(spark, sf):
-    events = T.sparse_events(spark, sf).where("event_type = 'Data'").drop("event_type", "source")
+    events = T.data_events(spark, sf).drop("event_type", "source")
     rows = snap.normal(events, T.sparse_members(spark, sf)).withColumn("snapshot_us", snap.window_end())
     return rows.select(
         A.snapshot_id(F.col("queue_name"), F.col("iter_index")).alias("snapshot_id"),

@@ -390,7 +390,7 @@ def _once(spark, sf):
         (F.col("time_window_msec").cast("bigint") * 3600).alias("time_window_msec"),
         F.reverse(F.array_sort("pv_name_list")).alias("pv_name_list"),
     )
-    events = T.sparse_events(spark, sf).where("event_type = 'Data'")
+    events = T.data_events(spark, sf)
     return snap.once(events, requests, width=_asof_width(spark, sf))
 
 

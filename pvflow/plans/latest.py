@@ -14,7 +14,7 @@ from pvflow.sources import tables as T
 SELECT pv_name, ts_us, seq, value FROM pv WHERE event_type = 'Data'
 QUALIFY row_number() OVER (PARTITION BY pv_name ORDER BY ts_us DESC, seq DESC) = 1"""))
 def last_value(spark, sf):
-    return L.last_value(T.sparse_events(spark, sf).where("event_type = 'Data'"))
+    return L.last_value(T.data_events(spark, sf))
 
 
 @query("pv_active", with_ctes(S.SPARSE, body="""
@@ -59,7 +59,7 @@ SELECT sub.id, sub.pv_name, channel_destination, sub.ts_us AS asked_us, d.ts_us,
 FROM sub ASOF JOIN d ON sub.pv_name = d.pv_name AND sub.ts_us >= d.ts_us"""))
 def subscribe_initial(spark, sf):
     subs = T.subscriptions(spark, sf).withColumn("seq", F.col("id"))
-    events = T.sparse_events(spark, sf).where("event_type = 'Data'")
+    events = T.data_events(spark, sf)
     out = L.subscribe_initial(subs, events)
     return out.select(
         "id", "pv_name", "channel_destination", F.col("ts_us").alias("asked_us"), "matched.ts_us", "matched.seq",

@@ -19,7 +19,7 @@ def events_by_type(spark, sf):
 SELECT ts_us // 21600000000 * 21600000000 AS window_us, count(*) AS n_events, count(*) * 3600 // 21600 AS rate
 FROM pv WHERE event_type = 'Data' GROUP BY ALL"""))
 def event_rate(spark, sf):
-    return M.event_rate(T.sparse_events(spark, sf).where("event_type = 'Data'"), 21_600, 3600)
+    return M.event_rate(T.data_events(spark, sf), 21_600, 3600)
 
 
 @query("pv_mean_duration", with_ctes(S.SPARSE, body="""

@@ -17,7 +17,7 @@ _DISTINCT = "d AS (SELECT DISTINCT pv_name, channel_destination, event_serializa
 SELECT channel_destination, pv_name, event_serialization, ts_us, seq, value
 FROM pv JOIN d USING (pv_name) WHERE event_type = 'Data'"""))
 def monitor_fanout(spark, sf):
-    out = O.monitor_fanout(T.sparse_events(spark, sf), T.subscriptions(spark, sf))
+    out = O.monitor_fanout(T.data_events(spark, sf), T.subscriptions(spark, sf))
     return out.select("channel_destination", "pv_name", "event_serialization", "ts_us", "seq", "value")
 
 
@@ -29,7 +29,7 @@ FROM pv JOIN d USING (pv_name) WHERE event_type = 'Data'"""))
 def encode_once(spark, sf):
     as_json = F.to_json(F.create_map(F.col("pv_name"), F.struct("seq", "ts_us")))
     as_row = F.concat_ws("|", "pv_name", "seq", "ts_us")
-    return O.encode_once(T.sparse_events(spark, sf), T.subscriptions(spark, sf), {1: as_json, 3: as_row})
+    return O.encode_once(T.data_events(spark, sf), T.subscriptions(spark, sf), {1: as_json, 3: as_row})
 
 
 _DOCS = """SELECT n_regionkey AS node, '{"pv_monitor_map":[{"key":"' || n_name || '","dest":"topic_' || n_nationkey

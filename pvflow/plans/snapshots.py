@@ -15,7 +15,7 @@ def _dense(spark, sf):
 
 
 def _sparse(spark, sf):
-    events = T.sparse_events(spark, sf).where("event_type = 'Data'").drop("event_type", "source")
+    events = T.data_events(spark, sf).drop("event_type", "source")
     return events, T.sparse_members(spark, sf)
 
 

@@ -36,6 +36,12 @@ def sparse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_sparse(_events(spark, sf_dir)).drop("ts")
 
 
+def data_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data events of the sparse PVs; the filter reaches the scan."""
+    raw = _events(spark, sf_dir).where(~F.col("event_type").isin("error", "signup"))
+    return as_sparse(raw).drop("ts", "event_type").withColumn("event_type", F.lit("Data"))
+
+
 def as_sparse(events: DataFrame) -> DataFrame:
     """Many PVs (one per user) with data, fail and disconnect events."""
     kind = (
@@ -205,7 +211,7 @@ def nt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse data events with the full standard record as ``data``."""
     from pvflow.functions.nested import alarm_severity
 
-    ev = sparse_events(spark, sf_dir)
+    ev = data_events(spark, sf_dir)
     value, seq = F.col("value"), F.col("seq")
     limits = [F.lit(x) for x in (2.0, 10.0, 60.0, 90.0)]
     severity = alarm_severity(value, *limits)
@@ -244,4 +250,4 @@ def nt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(0.0).alias("hysteresis"),
         ).alias("valueAlarm"),
     )
-    return ev.where("event_type = 'Data'").select("pv_name", "ts_us", "seq", "source", data.alias("data"))
+    return ev.select("pv_name", "ts_us", "seq", "source", data.alias("data"))
