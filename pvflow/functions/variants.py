@@ -23,17 +23,14 @@ def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def open_object(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
+def open_object(df: DataFrame, payload: str, keys: list[str], **more: Column) -> DataFrame:
+    """Take the text apart; ``more`` columns may read the members (``as_text``)."""
     df = evaluated(df, **{ROOT: F.try_parse_json(F.col(payload).cast("string"))})
     root = F.col(ROOT)
     members = {_MEMBER + k: F.try_variant_get(root, f"$.{k}", "variant") for k in keys}
     df = evaluated(df, **members)
     types = {_TYPE + k: F.schema_of_variant(F.col(_MEMBER + k)) for k in keys}
-    return evaluated(df, **types, _t_root=F.schema_of_variant(root))
-
-
-def helper_columns(keys: list[str]) -> list[str]:
-    return [ROOT, "_t_root", *[p + k for k in keys for p in (_MEMBER, _TYPE)]]
+    return evaluated(df, **types, _t_root=F.schema_of_variant(root), **more)
 
 
 def is_object() -> Column:
@@ -68,6 +65,11 @@ def _as(key: str, kind: str) -> Column:
     return F.try_variant_get(F.col(_MEMBER + key), "$", kind)
 
 
+def as_text(key: str) -> Column:
+    """The value of a plain member as text, whatever its kind."""
+    return _as(key, "string")
+
+
 def text(key: str, default: str | Column = "") -> Column:
     return F.when(is_kind(key, "string"), _as(key, "string")).otherwise(default)
 

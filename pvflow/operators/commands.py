@@ -44,6 +44,32 @@ REQUIRED = {
     "repeating_snapshot_stop": {"reply_topic": "string", "reply_id": "string"},
     "repeating_snapshot_trigger": {"reply_topic": "string", "reply_id": "string"},
 }
+# The message key and the texts of replies.
+PARSE_ERROR_KEY = "comand-parse-error-reply"
+PV_MALFORMED = "PV name malformed"
+TIMED_OUT = "Timeout operation"
+GET_CANCELLED = "Operaton cancelled"
+PUT_CANCELLED = "Put operation has been cancelled"
+PUT_TEXTS = {
+    -1: "Base64 decode error during put command processing",
+    -2: "Unpack msgpack object error during put command processing",
+    -3: "Msgpack object need to be a map",
+    -4: PV_MALFORMED,
+    0: "Successfull operation",
+}
+MONITOR_NO_SERIALIZER = "No serializer found"
+MONITOR_NO_TOPIC = "Empty destination topic"
+MONITOR_OK, MONITORS_OK = "Monitor activated for ", "Monitor activated"
+SNAPSHOT_TEXTS = {
+    -1: ("The snapshot type ", " is not supported"),
+    -2: ("PV name list is empty for snapshot ", ""),
+    -3: ("The repeat delay is not valid ", ""),
+    -4: ("The time window is not valid ", ""),
+    -5: ("The snapshot name is not valid ", ""),
+    -6: ("The pv uri ", " is not parsable"),
+    0: ("The snapshot '", "' has been started"),
+}
+
 NEEDS_PVS = ["multi-monitor", "snapshot", "repeating_snapshot"]
 DEFAULT_WINDOW_MSEC = 1000
 GET_TIMEOUT_US = 10_000_000
@@ -71,9 +97,8 @@ KEYS = [
 
 def opened(messages: DataFrame, payload: str = "value") -> DataFrame:
     """Messages with their members taken apart and the command ``kind``."""
-    df = V.open_object(messages, payload, KEYS)
-    name = V.text("command")
-    return V.evaluated(df, kind=F.when(name.isin(KINDS), name).otherwise("unknown"))
+    name = V.as_text("command")
+    return V.open_object(messages, payload, KEYS, kind=F.when(name.isin(KINDS), name).otherwise("unknown"))
 
 
 def required_present() -> Column:
@@ -147,7 +172,7 @@ def dead_letters(decoded: DataFrame) -> DataFrame:
     return decoded.where("status = 'invalid' AND reply_id != '' AND reply_topic != ''").select(
         "cmd_seq",
         "reply_topic",
-        F.lit("comand-parse-error-reply").alias("reply_key"),
+        F.lit(PARSE_ERROR_KEY).alias("reply_key"),
         F.lit(-1).alias("error"),
         "reply_id",
         "serialization",
@@ -184,10 +209,10 @@ def monitor_replies(decoded: DataFrame, serializers: list[str]) -> DataFrame:
         "reply_topic",
         "reply_id",
         F.when(missing, -3).when(no_topic, -1).otherwise(0).alias("error"),
-        F.when(missing, "No serializer found")
-        .when(no_topic, "Empty destination topic")
-        .when(F.col("kind") == "monitor", F.concat(F.lit("Monitor activated for "), F.col("pv_name")))
-        .otherwise("Monitor activated")
+        F.when(missing, MONITOR_NO_SERIALIZER)
+        .when(no_topic, MONITOR_NO_TOPIC)
+        .when(F.col("kind") == "monitor", F.concat(F.lit(MONITOR_OK), F.col("pv_name")))
+        .otherwise(MONITORS_OK)
         .alias("message"),
     )
 
@@ -197,17 +222,22 @@ def validate_snapshot(decoded: DataFrame) -> DataFrame:
     name = F.col("snapshot_name")
     bad_uri = F.try_element_at(F.filter("pv_name_list", lambda u: ~is_pv_uri(u)), F.lit(1))
     checks = [
-        (F.col("snapshot_type") == "Unknown", -1, F.lit("The snapshot type Unknown is not supported")),
-        (F.size("pv_name_list") == 0, -2, F.concat(F.lit("PV name list is empty for snapshot "), name)),
-        (F.col("repeat_delay_msec") < 0, -3, F.concat(F.lit("The repeat delay is not valid "), name)),
-        (F.col("time_window_msec") < 0, -4, F.concat(F.lit("The time window is not valid "), name)),
-        (name == "", -5, F.concat(F.lit("The snapshot name is not valid "), name)),
-        (bad_uri.isNotNull(), -6, F.concat(F.lit("The pv uri "), bad_uri, F.lit(" is not parsable"))),
+        (F.col("snapshot_type") == "Unknown", -1, F.col("snapshot_type")),
+        (F.size("pv_name_list") == 0, -2, name),
+        (F.col("repeat_delay_msec") < 0, -3, name),
+        (F.col("time_window_msec") < 0, -4, name),
+        (name == "", -5, name),
+        (bad_uri.isNotNull(), -6, bad_uri),
     ]
-    error, message = F.lit(0), F.concat(F.lit("The snapshot '"), name, F.lit("' has been started"))
-    for failed, code, words in reversed(checks):
+
+    def words(code: int, subject: Column) -> Column:
+        head, tail = SNAPSHOT_TEXTS[code]
+        return F.concat(F.lit(head), subject, F.lit(tail))
+
+    error, message = F.lit(0), words(0, name)
+    for failed, code, subject in reversed(checks):
         error = F.when(failed, code).otherwise(error)
-        message = F.when(failed, words).otherwise(message)
+        message = F.when(failed, words(code, subject)).otherwise(message)
     return decoded.withColumn("error", error).withColumn("message", message)
 
 
@@ -245,15 +275,15 @@ def put_errors(puts: DataFrame, value: str = "put_value", uri: str = "pv_name")
     df = puts.withColumn("_bytes", base64_bytes(F.col(value)))
     df = df.withColumn("_shape", F.when(F.col("_bytes").isNotNull(), msgpack_kind(F.col("_bytes"))))
     checks = [
-        (F.col("_bytes").isNull(), -1, "Base64 decode error during put command processing"),
-        (F.col("_shape") == "bad", -2, "Unpack msgpack object error during put command processing"),
-        (F.col("_shape") != "map", -3, "Msgpack object need to be a map"),
-        (~is_pv_uri(F.col(uri)), -4, "PV name malformed"),
+        (F.col("_bytes").isNull(), -1),
+        (F.col("_shape") == "bad", -2),
+        (F.col("_shape") != "map", -3),
+        (~is_pv_uri(F.col(uri)), -4),
     ]
-    error, message = F.lit(0), F.lit("Successfull operation")
-    for failed, code, words in reversed(checks):
+    error, message = F.lit(0), F.lit(PUT_TEXTS[0])
+    for failed, code in reversed(checks):
         error = F.when(failed, code).otherwise(error)
-        message = F.when(failed, words).otherwise(message)
+        message = F.when(failed, PUT_TEXTS[code]).otherwise(message)
     return df.withColumn("error", error).withColumn("message", message).drop("_bytes", "_shape")
 
 
@@ -267,9 +297,9 @@ def put_replies(puts: DataFrame, states: DataFrame, *, width: int | None = None)
     error = F.when(~ok, F.col("error")).when(state.isNull(), -3).when(state.isin("Fail", "Cancel"), -2).otherwise(0)
     message = (
         F.when(~ok, F.col("message"))
-        .when(state.isNull(), "Timeout operation")
+        .when(state.isNull(), TIMED_OUT)
         .when(state == "Fail", "Put operation has failed")
-        .when(state == "Cancel", "Put operation has been cancelled")
+        .when(state == "Cancel", PUT_CANCELLED)
         .otherwise(F.col("message"))
     )
     return joined.withColumn("error", error).withColumn("message", message).drop("matched", "name")
@@ -296,10 +326,10 @@ def get_replies(gets: DataFrame, states: DataFrame, *, width: int | None = None)
         .otherwise(0)
     )
     message = (
-        F.when(bad, "PV name malformed")
-        .when(state.isNull(), "Timeout operation")
+        F.when(bad, PV_MALFORMED)
+        .when(state.isNull(), TIMED_OUT)
         .when(state == "Fail", "Operation failed")
-        .when(state == "Cancel", "Operaton cancelled")
+        .when(state == "Cancel", GET_CANCELLED)
     )
     return (
         joined.withColumn("error", error)
