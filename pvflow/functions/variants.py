@@ -23,14 +23,21 @@ def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def open_object(df: DataFrame, payload: str, keys: list[str], **more: Column) -> DataFrame:
-    """Take the text apart; ``more`` columns may read the members (``as_text``)."""
-    df = evaluated(df, **{ROOT: F.try_parse_json(F.col(payload).cast("string"))})
+def open_object(df: DataFrame, payload: str, keys: list[str], **early: Column) -> DataFrame:
+    """Take the text apart. ``early`` columns read the root (``root_text``) and come
+    first: a filter on them spares the other rows the rest of the work."""
     root = F.col(ROOT)
-    members = {_MEMBER + k: F.try_variant_get(root, f"$.{k}", "variant") for k in keys}
-    df = evaluated(df, **members)
+    df = evaluated(df, **{ROOT: F.try_parse_json(F.col(payload).cast("string"))})
+    if early:
+        df = evaluated(df, **early)
+    df = evaluated(df, **{_MEMBER + k: F.try_variant_get(root, f"$.{k}", "variant") for k in keys})
     types = {_TYPE + k: F.schema_of_variant(F.col(_MEMBER + k)) for k in keys}
-    return evaluated(df, **types, _t_root=F.schema_of_variant(root), **more)
+    return evaluated(df, **types, _t_root=F.schema_of_variant(root))
+
+
+def root_text(key: str) -> Column:
+    """The value of a plain member as text, whatever its kind."""
+    return F.try_variant_get(F.col(ROOT), f"$.{key}", "string")
 
 
 def is_object() -> Column:
@@ -65,11 +72,6 @@ def _as(key: str, kind: str) -> Column:
     return F.try_variant_get(F.col(_MEMBER + key), "$", kind)
 
 
-def as_text(key: str) -> Column:
-    """The value of a plain member as text, whatever its kind."""
-    return _as(key, "string")
-
-
 def text(key: str, default: str | Column = "") -> Column:
     return F.when(is_kind(key, "string"), _as(key, "string")).otherwise(default)
 

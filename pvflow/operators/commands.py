@@ -97,7 +97,7 @@ KEYS = [
 
 def opened(messages: DataFrame, payload: str = "value") -> DataFrame:
     """Messages with their members taken apart and the command ``kind``."""
-    name = V.as_text("command")
+    name = V.root_text("command")
     return V.open_object(messages, payload, KEYS, kind=F.when(name.isin(KINDS), name).otherwise("unknown"))
 
 
