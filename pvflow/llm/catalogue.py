@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pvflow.llm.common import documents, tuned
-from pvflow.llm.secrets import find_secrets
+from pvflow.llm.langid import identify
+from pvflow.llm.secret_scan import find_secrets
+from pvflow.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,3 +28,14 @@ def _query(fn: Query) -> Query:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
+
+
+@_query
+def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@_query
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")

@@ -13,7 +13,6 @@ import hashlib
 import keyword
 import re
 from collections.abc import Sequence
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,8 +41,8 @@ NOVELTY = 0.85
 SCHEMA = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint"
 
 
-@lru_cache(maxsize=4)
-def _compressor(words: tuple[str, ...]):
+def primed(words: Sequence[str]):
+    """A compressor whose window starts with the identifiers."""
     import zstandard
 
     data = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -101,7 +100,7 @@ def find_secrets(docs: DataFrame, text: str = "text", threshold: float = NOVELTY
     words = tuple(dictionary) if dictionary is not None else identifier_dictionary()
 
     def scan(texts: pa.Array) -> dict[str, pa.Array]:
-        compressor = _compressor(words)
+        compressor = primed(words)
         out: list[tuple] = []
         for t in texts.to_pylist():
             t = t or ""
