@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pvflow.llm.common import documents, tuned
 from pvflow.llm.langid import identify
 from pvflow.llm.secret_scan import find_secrets
 from pvflow.llm.sharding import shard_documents
+from pvflow.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +41,9 @@ def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+@_query
+def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
