@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pvflow.llm.archives import archive_pages
 from pvflow.llm.common import documents, tuned
 from pvflow.llm.langid import identify
 from pvflow.llm.secret_scan import find_secrets
@@ -47,3 +48,9 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
