@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pvflow.llm.archives import archive_pages
 from pvflow.llm.common import documents, tuned
+from pvflow.llm.fingerprints import fingerprint_documents
 from pvflow.llm.langid import identify
 from pvflow.llm.secret_scan import find_secrets
 from pvflow.llm.sharding import shard_documents
@@ -54,3 +55,8 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+
+
+@_query
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir).select("doc_id", "text"))
