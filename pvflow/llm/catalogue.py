@@ -11,6 +11,7 @@ from pvflow.llm.archives import archive_pages
 from pvflow.llm.common import documents, tuned
 from pvflow.llm.fingerprints import fingerprint_documents
 from pvflow.llm.langid import identify
+from pvflow.llm.mixing import mix
 from pvflow.llm.quality import judge
 from pvflow.llm.secret_scan import find_secrets
 from pvflow.llm.sharding import shard_documents
@@ -67,3 +68,8 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0")
     return judge(documents(spark, sf_dir).select("doc_id", "text"), trusted)
+
+
+@_query
+def op5_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
