@@ -11,6 +11,7 @@ from pvflow.llm.archives import archive_pages
 from pvflow.llm.common import documents, tuned
 from pvflow.llm.fingerprints import fingerprint_documents
 from pvflow.llm.langid import identify
+from pvflow.llm.lm import score_documents
 from pvflow.llm.mixing import mix
 from pvflow.llm.quality import judge
 from pvflow.llm.secret_scan import find_secrets
@@ -73,3 +74,8 @@ def op6_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
+@_query
+def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir).select("doc_id", "text"))
