@@ -13,6 +13,7 @@ from pvflow.llm.fingerprints import fingerprint_documents
 from pvflow.llm.langid import identify
 from pvflow.llm.lm import score_documents
 from pvflow.llm.mixing import mix
+from pvflow.llm.pieces import encode_documents
 from pvflow.llm.quality import judge
 from pvflow.llm.secret_scan import find_secrets
 from pvflow.llm.sharding import shard_documents
@@ -79,3 +80,9 @@ def op5_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@_query
+def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_documents(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_pieces", "lossless", "pieces")
