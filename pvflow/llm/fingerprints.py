@@ -126,10 +126,9 @@ def with_next(docs: DataFrame, carried: list[str], derive) -> DataFrame:
     tops = placed.groupBy("range").agg(F.max("doc_id").alias("top"))
     firsts = placed.join(F.broadcast(tops), "range").where(F.col("doc_id").eqNullSafe(F.col("top")))
     firsts = firsts.groupBy("range", "doc_id").agg(F.min("text").alias("text"))
-    before = Window.orderBy("range")
-    last = tops.agg(F.max("range").alias("last"))
-    moves = tops.select("range", F.lag("range").over(before).alias("to")).join(F.broadcast(last), F.lit(True))
-    moves = moves.select("range", F.coalesce("to", "last").alias("to"))
+    by_range = Window.orderBy("range")
+    last = F.max("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    moves = tops.select("range", F.coalesce(F.lag("range").over(by_range), last).alias("to"))
     copies = firsts.join(F.broadcast(moves), "range").select("doc_id", "text", F.col("to").alias("range"))
 
     rows = derive(placed.withColumn("copied", F.lit(0))).unionByName(derive(copies.withColumn("copied", F.lit(1))))

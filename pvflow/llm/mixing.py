@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pvflow.llm.common import WORD, durable, text_of
 
@@ -94,7 +95,7 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
-def _source_table(sized: DataFrame) -> list[dict]:
+def _source_table(sized: DataFrame, block: int) -> list[dict]:
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -102,7 +103,7 @@ def _source_table(sized: DataFrame) -> list[dict]:
     goals = targets([(r["source"], r["size"]) for r in rows])
     table = []
     for sid, (r, goal) in enumerate(zip(rows, goals)):
-        blocks = -(-r["size"] // BLOCK)
+        blocks = -(-r["size"] // block)
         table.append({"sid": sid, "source": r["source"], "source_size": r["size"], "target": goal, "blocks": blocks})
         table[-1]["slots"] = goal * blocks / r["size"] if r["size"] else 0.0
     return table
@@ -166,7 +167,44 @@ def _facts(spark, table: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "sid bigint, name string, source_size bigint, target double")
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mixed_pieces(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix itself: shard, slot, and what its block holds of each document, with the columns of ``docs``.
+
+    A piece is the text from the first to the last word that a block takes of a document, blanks between them included;
+    ``n_chars`` is its length. A block that is taken twice gives its pieces twice, in different shards or slots. Together
+    the pieces of a document hold its words as often as ``mix`` counts them.
+    """
+    spark = docs.sparkSession
+    columns = docs.columns
+    sized = docs.withColumn("size", word_count(text_of()))
+    table = _source_table(sized.select("source", "size"), block)
+    if not any(t["blocks"] for t in table):
+        return docs.limit(0).select(F.lit(0).cast("bigint").alias("shard"), F.lit(0).cast("bigint").alias("slot"), *columns)
+    placed = _placed(sized, table)
+    fields = [f for f in placed.schema.fields if f.name in columns]
+    schema = StructType(fields + [StructField("sid", LongType()), StructField("block", LongType())])
+    names = schema.fieldNames()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, sid, start = (batch.column(n)[i].as_py() for n in ("text", "sid", "start"))
+                spans = [m.span() for m in _WORD.finditer(text)]
+                first = np.arange(start // block, (start + len(spans) - 1) // block + 1)
+                begin = np.maximum(first * block - start, 0)
+                end = np.minimum((first + 1) * block - start, len(spans)) - 1
+                pieces = [text[spans[b][0] : spans[e][1]] for b, e in zip(begin, end)]
+                row = pa.array(np.full(len(first), i, np.int64))
+                made = {n: batch.column(n).take(row) for n in names if n in columns}
+                made |= {"text": pa.array(pieces, pa.string()), "n_chars": pa.array([len(p) for p in pieces], pa.int64())}
+                made |= {"sid": pa.array(np.full(len(first), sid, np.int64)), "block": pa.array(first)}
+                yield pa.RecordBatch.from_arrays([made[n] for n in names], names=names)
+
+    pieces = placed.select(*[f.name for f in fields], "sid", "start").mapInArrow(cut, schema)
+    return pieces.join(_taken_blocks(spark, table), ["sid", "block"]).select("shard", "slot", *columns)
+
+
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source).
 
     A null text has no words, a null source is a source of its own. Documents without words are taken 0 times; rows
@@ -174,14 +212,14 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     sized = durable(docs.select("doc_id", "source", word_count(text_of()).alias("size")), "sizes")
-    table = _source_table(sized)
+    table = _source_table(sized, block)
     if not table:
         return sized.select("doc_id", "size", F.col("size").alias("source_size"), F.col("size").cast("double").alias("target"), F.col("size").alias("taken"))
     placed = _placed(sized, table)
     uses = _taken_blocks(spark, table).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     last = F.col("start") + F.col("size") - 1
-    spans = placed.withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.floor(last / BLOCK).cast("bigint"))))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
+    spans = placed.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.floor(last / block).cast("bigint"))))
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     # a document is known by its place in its source's stream
     taken = spans.join(uses, ["sid", "block"], "left").groupBy("sid", "start", "doc_id", "size")
     taken = taken.agg(F.sum(words * F.coalesce("uses", F.lit(0))).alias("taken")).select("doc_id", "size", "sid", "taken")
