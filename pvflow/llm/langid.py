@@ -153,7 +153,7 @@ def fit(samples: dict[str, list[bytes]]) -> ContextTrees:
     with np.errstate(divide="ignore", invalid="ignore"):
         bits = [-np.log2(t / np.where(width > 0, width, 1.0)) for t in tables]
     bits = np.stack(bits, axis=-1) if bits else np.zeros((1, k, 0))
-    bits = np.where(np.isfinite(bits), bits, 0.0).reshape(-1, max(len(langs), 0)).astype(np.float32)
+    bits = np.where(np.isfinite(bits), bits, 0.0).reshape(len(bits) * k, len(langs)).astype(np.float32)
 
     starts = np.cumsum([0] + [len(x) for x in known])
     state = np.zeros(k**ORDER, np.int32)
