@@ -88,6 +88,11 @@ def _text(buf: bytes, pos: int, size: int):
     return raw.decode(), pos
 
 
+def _extension(buf: bytes, pos: int, size: int):
+    """A tagged value; only its bytes are kept."""
+    return _blob(buf, pos + 1, size)
+
+
 def _items(buf: bytes, pos: int, size: int):
     items = []
     for _ in range(size):
@@ -131,6 +136,8 @@ _READERS: dict[int, object] = {
     **{c: _prefixed(_text, fmt) for c, fmt in _TEXTS.items()},
     **{c: _prefixed(_items, fmt) for c, fmt in _ARRAYS.items()},
     **{c: _prefixed(_pairs, fmt) for c, fmt in _MAPS.items()},
+    **{c: _prefixed(_extension, fmt) for c, fmt in zip((0xC7, 0xC8, 0xC9), (">B", ">H", ">I"))},
+    **{0xD4 + n: _counted(_extension, 1 << n) for n in range(5)},
     **{c: _constant(c - 256) for c in range(0xE0, 0x100)},
 }
 
@@ -154,7 +161,7 @@ def _shape(buf) -> str | None:
         return None
     try:
         return "map" if isinstance(unpack(buf), dict) else "other"
-    except (ValueError, struct.error, TypeError):
+    except (ValueError, struct.error, TypeError, RecursionError):
         return "bad"
 
 

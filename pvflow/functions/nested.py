@@ -143,7 +143,8 @@ def leaves(value: Column, kind: T.StructType, prefix: str | Column = "") -> Colu
             parts.append(F.flatten(F.transform(item, _element_leaves(path, t.elementType))))
         else:
             parts.append(F.array(F.struct(path.alias("path"), _text(item, t).alias("value"))))
-    return F.concat(*parts)
+    # a null struct array has no leaves; the rest of its row stays
+    return F.concat(*[F.coalesce(p, F.array().cast("array<struct<path:string,value:string>>")) for p in parts])
 
 
 def rebuild(data: Column, kind: T.StructType, leaf, prefix: str = "") -> Column:

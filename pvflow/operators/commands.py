@@ -199,9 +199,16 @@ def monitor_requests(decoded: DataFrame) -> DataFrame:
     return single.unionByName(several)
 
 
+def answered(commands: DataFrame, *also: str) -> DataFrame:
+    """The commands with a reply topic, and with the other named keys: nobody waits for a reply to the rest."""
+    for key in ("reply_topic", *also):
+        commands = commands.where(F.coalesce(F.col(key), F.lit("")) != "")
+    return commands
+
+
 def monitor_replies(decoded: DataFrame, serializers: list[str]) -> DataFrame:
-    """Answer of the monitor worker: no serializer -3, empty destination -1, else 0."""
-    monitors = decoded.where("status = 'valid' AND kind IN ('monitor', 'multi-monitor')")
+    """Answer of the monitor worker: no serializer -3, empty destination -1, else 0; only to who asked for one."""
+    monitors = answered(decoded.where("status = 'valid' AND kind IN ('monitor', 'multi-monitor')"), "reply_id")
     missing = ~F.col("serialization").isin(serializers)
     no_topic = (F.col("kind") == "monitor") & (F.col("monitor_dest_topic") == "")
     return monitors.select(
@@ -288,8 +295,8 @@ def put_errors(puts: DataFrame, value: str = "put_value", uri: str = "pv_name")
 
 
 def put_replies(puts: DataFrame, states: DataFrame, *, width: int | None = None) -> DataFrame:
-    """Outcome of each put: payload errors, then -2 if the PV last failed or was cancelled, -3 if unknown."""
-    checked = put_errors(puts).withColumn("name", F.coalesce(pv_parts(F.col("pv_name")).getField("name"), F.lit("")))
+    """Outcome of each put with a reply topic and id: payload errors, then -2 if the PV last failed or was cancelled, -3 if unknown."""
+    checked = put_errors(answered(puts, "reply_id")).withColumn("name", F.coalesce(pv_parts(F.col("pv_name")).getField("name"), F.lit("")))
     known = states.withColumnRenamed("pv_name", "name")
     joined = asof_join(checked, known, ["name"], left_seq="cmd_seq", keep_unmatched=True, width=width)
     ok = F.col("error") == 0
@@ -306,12 +313,12 @@ def put_replies(puts: DataFrame, states: DataFrame, *, width: int | None = None)
 
 
 def get_replies(gets: DataFrame, states: DataFrame, *, width: int | None = None) -> DataFrame:
-    """Answer of each get with the PV's state as of the command.
+    """Answer of each get that has a reply topic, with the PV's state as of the command.
 
     Malformed PV -1, last event failed or cancelled -2, no value within the
     time-out -3 (none known at command time plus time-out), else 0 with the value.
     """
-    asked = gets.withColumn("name", F.coalesce(pv_parts(F.col("pv_name")).getField("name"), F.lit("")))
+    asked = answered(gets).withColumn("name", F.coalesce(pv_parts(F.col("pv_name")).getField("name"), F.lit("")))
     asked = asked.withColumn("_until", F.col("ts_us") + GET_TIMEOUT_US)
     known = states.withColumnRenamed("pv_name", "name")
     joined = asof_join(

@@ -135,17 +135,21 @@ def decode_msgpack(df: DataFrame, kind: str, value: str = "value") -> DataFrame:
     schema = T.StructType([*keep, T.StructField("pv_name", T.StringType()), T.StructField("_json", T.StringType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import base64
         import json
         import struct
 
+        def as_text(leaf: bytes) -> str:  # the JSON reader takes binary as base64
+            return base64.b64encode(leaf).decode()
+
         for batch in batches:
             names, texts = [], []
             for raw in batch.column(value).to_pylist():
                 try:
                     fields = {k: v for k, v in unpack(raw).items() if k != "reply_id"}
                     name, body = next(iter(fields.items()))
-                    text = json.dumps(body)
-                except (ValueError, TypeError, AttributeError, StopIteration, struct.error):
+                    text = json.dumps(body, default=as_text)
+                except (ValueError, TypeError, AttributeError, StopIteration, RecursionError, struct.error):
                     name, text = None, None
                 names.append(name)
                 texts.append(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pvflow.functions.maps import last_wins
 from pvflow.operators.joins import lookup_join
 from pvflow.operators.ordered import carry, running_sum, slice_width
 
@@ -80,7 +81,7 @@ def parse_text(lines: DataFrame, line: str = "line") -> DataFrame:
     return found.select(
         *[c for c in lines.columns if c != line],
         F.regexp_extract(text, SAMPLE, 1).alias("name"),
-        F.map_from_entries(pairs).alias("labels"),
+        last_wins(pairs).alias("labels"),
         F.regexp_extract(text, SAMPLE, 3).alias("value"),
     )
 

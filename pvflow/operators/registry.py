@@ -14,7 +14,6 @@ from pvflow.operators.ordered import carry, running_low, running_sum, slice_widt
 
 ENTRY = ["pv_name", "channel_destination", "event_serialization"]
 DOCUMENT = "pv_monitor_map array<struct<key:string,dest:string,ser:int>>"
-ENTRIES_PER_DOCUMENT = 50_000
 PURGE_TIMEOUT_US = 3600 * 1_000_000  # fixed value: default time without consumers
 
 
@@ -25,23 +24,24 @@ def load_documents(documents: DataFrame, text: str = "document") -> DataFrame:
     ).withColumnsRenamed({"key": "pv_name", "dest": "channel_destination", "ser": "event_serialization"})
 
 
-def dump_documents(subscriptions: DataFrame, by: list[str], max_entries: int = ENTRIES_PER_DOCUMENT) -> DataFrame:
+def dump_documents(subscriptions: DataFrame, by: list[str], documents_per_node: int = 1) -> DataFrame:
     """Subscription rows -> registry documents per node, entries in order.
 
-    Entries spread by hash over as many ``part`` documents as keep each near
-    ``max_entries``, whatever one node or PV holds; loading all parts gives the
-    same rows.
+    A node has one document, as the reader of a registry expects. Where a node holds more than fits in one
+    value, ``documents_per_node`` spreads its entries by hash over that many, told apart by ``part``; loading all
+    of them gives the same rows. The number is the caller's choice and never follows from the data.
     """
-    parts = max(1, -(-subscriptions.count() // max_entries))
-    part = F.pmod(F.xxhash64(*ENTRY), F.lit(parts)).cast("int").alias("part")
+    if documents_per_node > 1:
+        part = F.pmod(F.xxhash64(*ENTRY), F.lit(documents_per_node)).cast("int")
+        subscriptions, by = subscriptions.withColumn("part", part), [*by, "part"]
     entry = F.struct(
         F.col("pv_name").alias("key"),
         F.col("channel_destination").alias("dest"),
         F.col("event_serialization").alias("ser"),
     )
     entries = F.array_sort(F.collect_list(entry)).alias("pv_monitor_map")
-    grouped = subscriptions.groupBy(*by, part).agg(entries)
-    return grouped.select(*by, "part", F.to_json(F.struct("pv_monitor_map")).alias("document"))
+    grouped = subscriptions.groupBy(*by).agg(entries)
+    return grouped.select(*by, F.to_json(F.struct("pv_monitor_map")).alias("document"))
 
 
 def add_entries(registry: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,19 +152,20 @@ def process_batch(subscriptions: DataFrame, limit: int | None = None) -> DataFra
 
 
 def merge_changes(subscriptions: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply the latest change of each (PV, destination): flags, purge mark, or delete.
+    """Apply all changes of each (PV, destination), column by column.
 
     changes: pv_name, channel_destination, change_seq, deleted, processed,
-    start_purge_ts (null: keep). Both sides have one row per key in the join.
+    start_purge_ts (null: keep). A deleted row is gone: later changes of a flag or mark find nothing. Each column
+    takes its own latest change. Both sides have one row per key in the join.
     """
     key = ["pv_name", "channel_destination"]
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("change_seq")))
     last = changes.groupBy(*key).agg(
-        F.max_by(F.struct("deleted", "processed", "start_purge_ts"), F.col("change_seq")).alias("_c")
+        F.bool_or(F.coalesce("deleted", F.lit(False))).alias("_deleted"),
+        newest("processed").alias("_processed"),
+        newest("start_purge_ts").alias("_mark"),
     )
-    merged = subscriptions.join(last, key, "left").where("_c IS NULL OR NOT _c.deleted")
+    merged = subscriptions.join(last, key, "left").where("_deleted IS NULL OR NOT _deleted")
     return merged.withColumns(
-        {
-            "processed": F.coalesce("_c.processed", "processed"),
-            "start_purge_ts": F.coalesce("_c.start_purge_ts", "start_purge_ts"),
-        }
-    ).drop("_c")
+        {"processed": F.coalesce("_processed", "processed"), "start_purge_ts": F.coalesce("_mark", "start_purge_ts")}
+    ).drop("_deleted", "_processed", "_mark")

@@ -7,7 +7,8 @@ Input shapes
   triggers queue_name, trigger_us, trigger_seq
 
 A run is one (queue_name, start_us). Its windows are half open, aligned to
-start_us and numbered from 1; the last one ends at stop_us.
+start_us and numbered from 1; the last one ends at stop_us. A run with a null
+stop is still running: it takes every event, and dense results reach up to the newest one.
 """
 
 from __future__ import annotations
@@ -77,15 +78,26 @@ class Span(NamedTuple):
 
     rows: int
     from_us: int
-    to_us: int
+    to_us: int | None  # None: some run is still open
     peak: int
 
 
 def span(members: DataFrame) -> Span:
     row = members.agg(
-        F.count(F.lit(1)), F.min("start_us"), F.max("stop_us"), F.max(iteration_count())
+        F.count(F.lit(1)), F.min("start_us"), F.max("stop_us"), F.max(iteration_count()), F.count_if(F.col("stop_us").isNull())
     ).first()
-    return Span(row[0], row[1] or 0, row[2] or 0, row[3] or 0)
+    return Span(row[0], row[1] or 0, None if row[4] else row[2] or 0, row[3] or 0)
+
+
+def until_newest(events: DataFrame, members: DataFrame, known: Span | None = None) -> tuple[DataFrame, Span]:
+    """The members with every open run ended right after the newest event, and their span."""
+    known = known or span(members)
+    if known.to_us is not None:
+        return members, known
+    newest = events.agg(F.max("ts_us")).first()[0]
+    end = F.greatest(F.lit(newest).cast("bigint") + 1, F.col("start_us"))
+    ended = members.withColumn("stop_us", F.coalesce("stop_us", end, "start_us"))
+    return ended, span(ended)
 
 
 def route(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
@@ -94,9 +106,11 @@ def route(events: DataFrame, members: DataFrame, known: Span | None = None) -> D
     The time range of all runs reaches the scan of the events as a literal.
     """
     known = known or span(members)
-    live = events.where(F.col("ts_us").between(known.from_us, known.to_us))
+    live = events.where(F.col("ts_us") >= known.from_us)
+    if known.to_us is not None:
+        live = live.where(F.col("ts_us") <= known.to_us)
     routed = lookup_join(live, members, ["pv_name"], rows=known.rows)
-    return routed.where("ts_us >= start_us AND ts_us < stop_us")
+    return routed.where("ts_us >= start_us AND (stop_us IS NULL OR ts_us < stop_us)")
 
 
 def buffered(events: DataFrame, members: DataFrame) -> DataFrame:
@@ -139,7 +153,7 @@ def normal(events: DataFrame, members: DataFrame) -> DataFrame:
     Only the last event per (PV, window) is shuffled; the dense result is
     written from it without a grid join. ``carried`` marks repeated values.
     """
-    known = span(members)
+    members, known = until_newest(events, members)
     latest = _latest_per_window(events, members, known)
     filled = _fill(latest, [*RUN, "pv_name"], iteration_count(), _iteration_slice(known))
     return filled.withColumn("carried", F.col("iter_index") > F.col("from_iter")).drop("from_iter")
@@ -150,7 +164,7 @@ def silent(events: DataFrame, members: DataFrame) -> DataFrame:
 
     ``gap_index`` counts the silent windows since the last event from 1.
     """
-    known = span(members)
+    members, known = until_newest(events, members)
     latest = _latest_per_window(events, members, known)
     about = [*RUN, "snapshot_name", "stop_us", "time_window_msec", "pv_name"]
     origin = members.select(*about).distinct().withColumn("iter_index", F.lit(0).cast("bigint"))
@@ -177,6 +191,7 @@ def forced(events: DataFrame, members: DataFrame) -> DataFrame:
     The injected value counts as an event of that window, so within a gap every
     second window is fed.
     """
+    members, _ = until_newest(events, members)
     fed = silent(events, members).where("seq IS NOT NULL AND gap_index % 2 = 1")
     return (
         fed.withColumn("iter_index", F.col("iter_index") + 1)
@@ -204,10 +219,10 @@ def number_triggers(triggers: DataFrame, members: DataFrame, plan: Plan, flush_o
     """Triggers of each run, numbered from 1; a stop counts as a last trigger."""
     live = runs(members).select(*RUN, "stop_us")
     fired = lookup_join(triggers, live, ["queue_name"], rows=plan.members.rows)
-    fired = fired.where("trigger_us >= start_us AND trigger_us < stop_us")
+    fired = fired.where("trigger_us >= start_us AND (stop_us IS NULL OR trigger_us < stop_us)")
     fired = fired.select(*RUN, "trigger_us", F.col("trigger_seq").alias("_seq"))
     if flush_on_stop:
-        stops = live.select(*RUN, F.col("stop_us").alias("trigger_us"), F.lit(2**62).alias("_seq"))
+        stops = live.where("stop_us IS NOT NULL").select(*RUN, F.col("stop_us").alias("trigger_us"), F.lit(2**62).alias("_seq"))
         fired = fired.unionByName(stops)
     one = F.lit(1).cast("bigint")
     return running_sum(fired, RUN, "trigger_us", ["_seq"], one, "iter_index", width=plan.width)
@@ -271,9 +286,8 @@ def _trigger_heads(routed: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame
         .groupBy(*cell)
         .agg(F.min_by(F.struct(F.col("ts_us").alias("at"), F.col("_iter").alias("iter")), rank).alias("_first"))
     )
-    slices = plan.members.rows * ((plan.members.to_us - plan.members.from_us) // plan.width + 2)
     newest = (
-        lookup_join(routed.select(*RUN, "ts_us", part), firsts, cell, "left", rows=min(slices, plan.triggers))
+        lookup_join(routed.select(*RUN, "ts_us", part), firsts, cell, "left", rows=plan.triggers)
         .groupBy(*cell)
         .agg(F.max("ts_us").alias("_all"), F.max(F.when(F.col("ts_us") <= F.col("_first.at"), F.col("ts_us"))).alias("_pre"))
     )
@@ -362,11 +376,13 @@ def frames(data: DataFrame, stamps: DataFrame) -> DataFrame:
 
 
 def normal_frames(events: DataFrame, members: DataFrame) -> DataFrame:
+    members, _ = until_newest(events, members)
     data = normal(events, members).withColumn("sub_index", F.lit(0).cast("bigint")).withColumn("to_us", window_end())
     return frames(data, windows(members))
 
 
 def buffered_frames(events: DataFrame, members: DataFrame) -> DataFrame:
+    members, _ = until_newest(events, members)
     return frames(buffered(events, members).withColumn("to_us", window_end()), windows(members))
 
 
@@ -375,8 +391,9 @@ def once(events: DataFrame, requests: DataFrame, *, width: int | None = None) ->
 
     requests: request_id, reply_topic, reply_id, request_us, time_window_msec,
     pv_name_list. A malformed PV answers with error -1 and ends the list; every
-    request closes with a completion row, error 1.
+    request closes with a completion row, error 1. Requests without a reply topic have no answer.
     """
+    requests = requests.where("reply_topic != ''")
     ids = ["request_id", "reply_topic", "reply_id"]
     bad_at = F.array_position(F.transform("pv_name_list", lambda u: ~is_pv_uri(u)), True) - 1
     items = (

@@ -205,7 +205,7 @@ def cmd_dispatch(spark, sf):
 SELECT cmd_seq, reply_topic, reply_id, CASE WHEN serialization <> 'msgpack' THEN -3 ELSE 0 END AS error,
   CASE WHEN serialization <> 'msgpack' THEN 'No serializer found'
     WHEN kind = 'monitor' THEN 'Monitor activated for ' || pv_name ELSE 'Monitor activated' END AS message
-FROM dec WHERE status = 'valid' AND kind IN ('monitor', 'multi-monitor')"""))
+FROM dec WHERE status = 'valid' AND kind IN ('monitor', 'multi-monitor') AND reply_topic <> '' AND reply_id <> ''"""))
 def monitor_reply(spark, sf):
     return C.monitor_replies(decoded(spark, sf), ["msgpack"])
 
@@ -283,9 +283,9 @@ def put_validate(spark, sf):
 @query("put_reply", with_ctes(*DECODED, _PUT, S.SPARSE, body="""
 SELECT put.cmd_seq, CASE WHEN error <> 0 THEN error WHEN pv.event_type IS NULL THEN -3
   WHEN pv.event_type = 'Fail' THEN -2 ELSE 0 END AS error
-FROM put ASOF LEFT JOIN pv ON put.name = pv.pv_name AND put.ts_us >= pv.ts_us"""))
+FROM (SELECT * FROM put WHERE reply_topic <> '' AND reply_id <> '') put ASOF LEFT JOIN pv ON put.name = pv.pv_name AND put.ts_us >= pv.ts_us"""))
 def put_reply(spark, sf):
-    puts = _valid(spark, sf, "put").select("cmd_seq", "ts_us", "pv_name", "put_value")
+    puts = _valid(spark, sf, "put").select("cmd_seq", "ts_us", "pv_name", "put_value", "reply_topic", "reply_id")
     out = C.put_replies(puts, T.sparse_events(spark, sf), width=_asof_width(spark, sf))
     return out.select("cmd_seq", "error")
 
@@ -293,7 +293,7 @@ def put_reply(spark, sf):
 @query("get_reply", with_ctes(*DECODED, S.SPARSE, """
 ask AS (SELECT *, ts_us + 10000000 AS until_us, regexp_full_match(pv_name,
   '(pva?|ca)://[a-zA-Z0-9_-]+(:[a-zA-Z0-9_-]+)*([.][a-zA-Z0-9_-]+([.][a-zA-Z0-9_]+)*)?') AS good,
-  regexp_extract(pv_name, '://([a-zA-Z0-9_:-]+)', 1) AS name FROM dec WHERE status = 'valid' AND kind = 'get')""", """
+  regexp_extract(pv_name, '://([a-zA-Z0-9_:-]+)', 1) AS name FROM dec WHERE status = 'valid' AND kind = 'get' AND reply_topic <> '')""", """
 got AS (SELECT ask.cmd_seq, CASE WHEN NOT good THEN -1 WHEN pv.event_type IS NULL THEN -3
   WHEN pv.event_type = 'Fail' THEN -2 ELSE 0 END AS error, pv.value, pv.seq
 FROM ask ASOF LEFT JOIN pv ON ask.name = pv.pv_name AND ask.until_us >= pv.ts_us)""", body="""
@@ -301,7 +301,7 @@ SELECT cmd_seq, error, CASE error WHEN -1 THEN 'PV name malformed' WHEN -2 THEN
   WHEN -3 THEN 'Timeout operation' END AS message,
   CASE WHEN error = 0 THEN value END AS value, CASE WHEN error = 0 THEN seq ELSE -1 END AS seq FROM got"""))
 def get_reply(spark, sf):
-    gets = _valid(spark, sf, "get").select("cmd_seq", "ts_us", "pv_name")
+    gets = _valid(spark, sf, "get").select("cmd_seq", "ts_us", "pv_name", "reply_topic")
     out = C.get_replies(gets, T.sparse_events(spark, sf), width=_asof_width(spark, sf))
     return out.select("cmd_seq", "error", "message", "value", F.coalesce("seq", F.lit(-1)).alias("seq"))
 
@@ -367,7 +367,7 @@ def field_request(spark, sf):
 
 _ONCE = """ask AS (SELECT cmd_seq AS request_id, reply_topic, reply_id, ts_us AS t0,
   greatest(CAST(time_window_msec AS BIGINT) * 3600, 1) * 1000 AS w, list_reverse_sort(pvs) AS l FROM dec
-  WHERE status = 'valid' AND kind = 'snapshot'),
+  WHERE status = 'valid' AND kind = 'snapshot' AND reply_topic <> ''),
 item AS (SELECT * EXCLUDE (l), unnest(l) AS uri, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM ask),
 chk AS (SELECT *, regexp_full_match(uri, '(pva?|ca)://[a-zA-Z0-9_-]+(:[a-zA-Z0-9_-]+)*([.][a-zA-Z0-9_-]+([.][a-zA-Z0-9_]+)*)?') AS good FROM item),
 cut AS (SELECT *, min(CASE WHEN NOT good THEN pos END) OVER (PARTITION BY request_id) AS bad_at FROM chk),

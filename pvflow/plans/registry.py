@@ -45,7 +45,7 @@ def registry_load(spark, sf):
 
 
 @query("registry_dump", with_ctes(S.SUBS, body="""
-SELECT channel_destination AS node, 0 AS part, '{"pv_monitor_map":[' || string_agg('{"key":"' || pv_name || '","dest":"' ||
+SELECT channel_destination AS node, '{"pv_monitor_map":[' || string_agg('{"key":"' || pv_name || '","dest":"' ||
   channel_destination || '","ser":' || event_serialization || '}', ',' ORDER BY pv_name, event_serialization) || ']}' AS document
 FROM (SELECT DISTINCT pv_name, channel_destination, event_serialization FROM sub) GROUP BY channel_destination"""))
 def registry_dump(spark, sf):
@@ -122,7 +122,7 @@ def sub_actions(spark, sf):
 
 _DAY = 86_400_000_000
 _SCANS = f"""scan AS (SELECT u.pv_name, {S.START_US} + d * {_DAY} AS ts_us, d AS seq, coalesce(n, 0) AS consumers
-  FROM (SELECT DISTINCT pv_name FROM pv) u CROSS JOIN (SELECT unnest(range(0, 30)) AS d) g
+  FROM (SELECT DISTINCT pv_name FROM pv) u CROSS JOIN (SELECT unnest(range(0, (SELECT max((ts_us - {S.START_US}) // {_DAY}) + 1 FROM pv))) AS d) g
   LEFT JOIN (SELECT pv_name, (ts_us - {S.START_US}) // {_DAY} AS day, count(*) AS n FROM pv WHERE source = 'view' GROUP BY ALL) c
     ON c.pv_name = u.pv_name AND c.day = g.d)"""
 
@@ -130,10 +130,12 @@ _SCANS = f"""scan AS (SELECT u.pv_name, {S.START_US} + d * {_DAY} AS ts_us, d AS
 def scans(spark, sf):
     """Per PV and day the consumers: its 'view' events."""
     events = T.sparse_events(spark, sf)
-    days = events.select("pv_name").distinct().withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    day = F.floor((F.col("ts_us") - T.START_US) / _DAY).cast("int")
+    last = events.agg(F.max(day)).scalar()
+    days = events.select("pv_name").distinct().withColumn("seq", F.explode(F.sequence(F.lit(0), last)))
     seen = (
         events.where("source = 'view'")
-        .groupBy("pv_name", F.floor((F.col("ts_us") - T.START_US) / _DAY).cast("int").alias("seq"))
+        .groupBy("pv_name", day.alias("seq"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return days.join(seen, ["pv_name", "seq"], "left").select(
@@ -173,10 +175,13 @@ def process_all(spark, sf):
 @query("sub_merge", with_ctes(S.SUBS, """
 base AS (SELECT pv_name, channel_destination, arg_min(event_serialization, id) AS event_serialization, count(*) AS counter
   FROM sub GROUP BY ALL),
-chg AS (SELECT pv_name, channel_destination, arg_max(id % 5, id) AS k, max(id) AS id FROM sub WHERE id % 2 = 0 GROUP BY ALL)""", body="""
-SELECT pv_name, channel_destination, event_serialization, counter, coalesce(k IN (1, 2), false) AS processed,
-  CASE WHEN k IN (2, 3) THEN id ELSE -1 END AS start_purge_ts FROM base LEFT JOIN chg USING (pv_name, channel_destination)
-WHERE k IS NULL OR k <> 0"""))
+ask AS (SELECT pv_name, channel_destination, id, id % 5 AS k, id % 35 = 0 AS gone FROM sub WHERE id % 2 = 0),
+flag AS (SELECT pv_name, channel_destination, id % 3 = 0 AS processed FROM sub WHERE id % 2 = 0 AND id % 5 IN (1, 2)
+  QUALIFY row_number() OVER (PARTITION BY pv_name, channel_destination ORDER BY id DESC) = 1),
+mark AS (SELECT pv_name, channel_destination, max(id) AS ts FROM ask WHERE k IN (2, 3) GROUP BY ALL)""", body="""
+SELECT pv_name, channel_destination, event_serialization, counter, coalesce(processed, false) AS processed,
+  coalesce(ts, -1) AS start_purge_ts FROM base LEFT JOIN flag USING (pv_name, channel_destination)
+  LEFT JOIN mark USING (pv_name, channel_destination) ANTI JOIN (SELECT * FROM ask WHERE gone) g USING (pv_name, channel_destination)"""))
 def sub_merge(spark, sf):
     subs = T.subscriptions(spark, sf)
     kind = F.col("id") % 5
@@ -184,8 +189,8 @@ def sub_merge(spark, sf):
         "pv_name",
         "channel_destination",
         F.col("id").alias("change_seq"),
-        (kind == 0).alias("deleted"),
-        F.when(kind.isin(1, 2), True).alias("processed"),
+        (F.col("id") % 35 == 0).alias("deleted"),
+        F.when(kind.isin(1, 2), F.col("id") % 3 == 0).alias("processed"),
         F.when(kind.isin(2, 3), F.col("id")).alias("start_purge_ts"),
     )
     return R.merge_changes(R.upsert(subs), changes)

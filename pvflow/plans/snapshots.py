@@ -21,7 +21,7 @@ def _sparse(spark, sf):
 
 def _triggers(spark, sf):
     names = T.dense_definitions(spark, sf).select("def_id", "queue_name")
-    return T.dense_triggers(spark, sf).join(F.broadcast(names), "def_id").drop("def_id")
+    return T.dense_triggers(spark, sf).join(names, "def_id").drop("def_id")
 
 
 @query("snapshot_route", with_ctes(*S.DENSE_SNAP, body="""
@@ -38,6 +38,23 @@ def snap_normal(spark, sf):
     return rows.select("queue_name", "iter_index", "to_us", "pv_name", "ts_us", "seq", "value", "carried")
 
 
+_OPEN = S.definitions("Site").replace(
+    f"{S.STOP_US} AS stop_us",
+    f"""CASE WHEN r_regionkey % 2 = 0 THEN (SELECT max(epoch_us(ts)) + 1 FROM events WHERE event_type NOT IN ('error', 'signup'))
+  ELSE {S.STOP_US} END AS stop_us""",
+)
+
+
+@query("snap_open_runs", with_ctes(S.SPARSE_DATA, _OPEN, *S.SPARSE_SNAP[2:], S.ITERS, S.LAST, S.GRID, body="""
+SELECT queue_name, iter_index, to_us, pv_name, ts_us, seq, value FROM grid WHERE seq IS NOT NULL"""))
+def snap_open_runs(spark, sf):
+    """Half of the runs have no stop yet."""
+    events, members = _sparse(spark, sf)
+    still = F.when(F.col("def_id") % 2 != 0, F.col("stop_us"))
+    rows = snap.normal(events, members.withColumn("stop_us", still)).withColumn("to_us", snap.window_end())
+    return rows.select("queue_name", "iter_index", "to_us", "pv_name", "ts_us", "seq", "value")
+
+
 @query("snap_buffered", with_ctes(*S.DENSE_SNAP, body="""
 SELECT queue_name, iter_index, pv_name, ts_us, seq, value FROM routed"""))
 def snap_buffered(spark, sf):

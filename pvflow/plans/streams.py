@@ -131,6 +131,6 @@ def stream_trigger_window(spark, sf):
     fired = fired.select(
         (F.col("event_id") % 5).alias("def_id"), F.col("ts").alias("trigger_ts"), F.col("event_id").alias("trigger_seq")
     ).withWatermark("trigger_ts", "1 hour")
-    fired = fired.join(F.broadcast(members.select("def_id", "queue_name", "pv_name")), "def_id").drop("def_id")
+    fired = fired.join(members.select("def_id", "queue_name", "pv_name"), "def_id").drop("def_id")
     out = XS.trigger_window(routed, fired, "20 minutes")
     return X.drain(out, work_dir(spark, "stream_trigger_window"))

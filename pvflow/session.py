@@ -45,12 +45,15 @@ def local_session(app: str = "pvflow", cores: str | int = 8, **conf: str) -> Spa
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder of the cluster.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach. Only when
-    it is unset (local tests) is a temporary folder used.
+    ``spark.checkpoint.dir`` names storage every executor can reach. Where it is
+    unset, a temporary folder serves a local master; a cluster has to set it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "pvflow")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pvflow.functions.maps import first_wins
+
 DEFAULT_KEY = "default-key"  # fixed value: key of messages without one
 
 
@@ -32,7 +34,7 @@ def file_stream(
 
 def normalize(messages: DataFrame) -> DataFrame:
     """Headers as a map, the default key where there is none; empty payloads drop out."""
-    headers = F.map_from_entries(
+    headers = first_wins(
         F.transform(
             F.coalesce("headers", F.array().cast("array<struct<key:string,value:binary>>")),
             lambda h: F.struct(h["key"].alias("key"), h["value"].cast("string").alias("value")),

@@ -12,6 +12,8 @@ from pvflow.operators import latest as L
 from pvflow.operators import metrics as MT
 from pvflow.operators import registry as R
 from pvflow.operators import snapshots as snap
+from pvflow.session import work_dir
+from pvflow.sources import readers
 
 
 @pytest.mark.parametrize(
@@ -233,3 +235,83 @@ def test_empty_inputs(spark, ramp):
     assert snap.buffered_frames(none, members(spark)).count() == 20
     assert L.last_value(none).count() == 0
     assert snap.triggered_normal(none, members(spark), triggers(spark, 5)).count() == 0
+
+
+def test_repeated_header_keys_do_not_end_the_job(spark):
+    rows = [(b"k", b"v", [("a", b"1"), ("a", b"2"), (None, b"3")]), (None, b"w", None)]
+    kind = "key binary, value binary, headers array<struct<key:string,value:binary>>"
+    got = [r.headers for r in readers.normalize(spark.createDataFrame(rows, kind)).collect()]
+    assert got == [{"a": "1"}, {}]
+
+
+def test_repeated_labels_keep_the_last(spark):
+    line = spark.createDataFrame([('up{pv="a",pv="b",op="get"} 3',)], "line string")
+    assert MT.parse_text(line).first().labels == {"pv": "b", "op": "get"}
+
+
+def test_leaves_of_null_struct_arrays(spark):
+    kind = "id int, data struct<a:int,list:array<struct<x:int,inner:array<struct<y:int>>>>,b:string>"
+    rows = [(1, (5, None, "t")), (2, (6, [], "u")), (3, (7, [(1, None), (2, [(9,), None])], None)), (4, None)]
+    df = spark.createDataFrame(rows, kind)
+    got = df.select("id", F.inline(NV.leaves(F.col("data"), NV.struct_type(df, "data")))).collect()
+    by = {i: {r.path: r.value for r in got if r.id == i} for i in (1, 2, 3)}
+    assert by[1] == {"a": "5", "b": "t"} and by[2] == {"a": "6", "b": "u"}
+    assert by[3]["list[0].x"] == "1" and by[3]["list[1].inner[0].y"] == "9" and by[3]["b"] is None
+
+
+def test_hostile_and_tagged_payloads(spark):
+    deep = b"\x91" * 100_000 + b"\xc0"
+    tagged = [b"\x81\xa1v" + x for x in (b"\xd4\x01\xff", b"\xd8\x01" + b"z" * 16, b"\xc7\x03\x05abc", b"\xc8\x00\x01\x05a")]
+    rows = [(deep,), (b"\x81\xa1v\xc7\x09\x05abc",), *[(t,) for t in tagged]]
+    got = spark.createDataFrame(rows, "b binary").select(M.msgpack_kind(F.col("b")).alias("k")).collect()
+    assert [r.k for r in got] == ["bad", "bad", "map", "map", "map", "map"]
+    body = M.pack({"pv": {"raw": b"\x00\x01", "n": 4}})
+    decoded = E.decode_msgpack(spark.createDataFrame([(body,), (deep,)], "value binary"), "raw binary, n int").collect()
+    assert [(r.pv_name, r.data and bytes(r.data.raw), r.data and r.data.n) for r in decoded] == [("pv", b"\x00\x01", 4), (None, None, None)]
+
+
+def test_changes_apply_column_by_column(spark):
+    base = spark.createDataFrame([(p, "d", False, -1) for p in "abcd"], "pv_name string, channel_destination string, processed boolean, start_purge_ts long")
+    rows = [("a", "d", 1, None, True, None), ("a", "d", 2, None, None, 50), ("b", "d", 1, True, None, None), ("b", "d", 2, None, True, None)]
+    rows += [("c", "d", 1, None, True, 3), ("c", "d", 2, False, False, None)]
+    kind = "pv_name string, channel_destination string, change_seq long, deleted boolean, processed boolean, start_purge_ts long"
+    got = {r.pv_name: (r.processed, r.start_purge_ts) for r in R.merge_changes(base, spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"a": (True, 50), "c": (False, 3), "d": (False, -1)}
+
+
+def test_documents_do_not_follow_the_data_size(spark):
+    rows = spark.range(60_000).selectExpr("concat('pv:', id) AS pv_name", "'d' AS channel_destination", "1 AS event_serialization", "'n' AS node")
+    one = R.dump_documents(rows, ["node"])
+    assert one.columns == ["node", "document"] and one.count() == 1
+    several = R.dump_documents(rows, ["node"], 3)
+    assert several.count() == 3 and R.load_documents(several).count() == 60_000
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(spark.sparkContext.getConf)
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            work_dir(Session(), "x")
+
+
+def test_open_runs_go_on_to_the_newest_event(spark, ramp):
+    """A run without a stop gives what a run that stops after the newest event gives."""
+    newest = ramp.agg(F.max("ts_us")).first()[0]
+    stopped = members(spark, stop=newest + 1)
+    still = stopped.withColumn("stop_us", F.lit(None).cast("bigint"))
+    for operator in (snap.normal, snap.buffered, snap.silent, snap.normal_frames, snap.buffered_frames, snap.forced, snap.route):
+        want = operator(ramp, stopped).drop("stop_us")
+        got = operator(ramp, still).select(want.columns)
+        assert want.count() > 0 or operator is snap.forced
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), operator
+    fired = triggers(spark, 10, 25)
+    for operator in (snap.triggered_buffered, snap.triggered_normal):
+        want = operator(ramp, stopped, fired, flush_on_stop=False).drop("stop_us")
+        got = operator(ramp, still, fired).select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
