@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pvflow.llm.common import WORD, let, text_of
+from pvflow.llm.common import WORD, durable, let, text_of
 
 BINS = 1 << 14
 #: N-grams of the corpus that are mixed into the target counts.
 PRIOR = float(BINS)
 #: Share of the trusted documents that the threshold gives up.
 GIVEN_UP = 0.01
+#: The target is fitted on so many trusted documents at most, those with the least hashes of their ids.
+TRUSTED_DOCS = 20_000
 # The base rules.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -114,8 +116,8 @@ def grams(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("grams", let(F.transform(words, lambda x: F.xxhash64(F.lower(x))), _bins))
 
 
-def log_ratio(target: DataFrame, corpus: DataFrame) -> Column:
-    """log p(bin | target) - log p(bin | corpus) as one array, a scalar subquery of ``BINS`` numbers."""
+def log_ratio(target: DataFrame, corpus: DataFrame) -> DataFrame:
+    """log p(bin | target) - log p(bin | corpus): one row with one array of ``BINS`` numbers."""
     spark = corpus.sparkSession
     count = lambda d: d.select(F.explode("grams").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
     bins = spark.range(BINS).select(F.col("id").cast("int").alias("bin"))
@@ -127,7 +129,7 @@ def log_ratio(target: DataFrame, corpus: DataFrame) -> Column:
         corpus_share = e["c"] / F.col("cs")
         return F.log((e["t"] + PRIOR * corpus_share) / (F.col("ts") + PRIOR)) - F.log(corpus_share)
 
-    return rows.select(F.transform("r", ratio)).scalar()
+    return rows.select(F.transform("r", ratio).alias("weights"))
 
 
 def score(weights: Column) -> Column:
@@ -136,19 +138,20 @@ def score(weights: Column) -> Column:
     return F.when(F.size("grams") > 0, total / F.size("grams"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, given_up: float = GIVEN_UP) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, given_up: float = GIVEN_UP, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
     """doc_id, the base columns, score and kept of every row of ``docs`` (doc_id, text).
 
-    ``trusted`` has the doc_id of the documents that the target multinomial is learned from; ids that are null or
-    unknown are of no use there. A document is kept if it passes the base rules and its score reaches the threshold.
+    ``trusted`` has the doc_id of the documents that the target multinomial is learned from, of which at most
+    ``trusted_docs`` are used; ids that are null or unknown are of no use there. Raw counts cover all documents. A document is kept if it passes the base rules and its score reaches the threshold.
     Without trusted documents every score is 0 and the base rules decide alone.
     """
     narrow = docs.select("doc_id", "text")
     sure = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    sure = F.broadcast(sure.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs))
     corpus = grams(narrow)
     target = grams(narrow.join(sure, "doc_id", "left_semi"))
     fitting = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) % 2 == 0
-    weights = log_ratio(target.where(fitting), corpus)
+    weights = durable(log_ratio(target.where(fitting), corpus), "log-ratio").scalar()
     weighed = lambda d: d.withColumn("_weights", weights)
     floor = weighed(target.where(~fitting)).select(score(F.col("_weights")).alias("s")).agg(F.coalesce(F.percentile_approx("s", given_up, 10000), F.lit(float("-inf"))).alias("least"))
     scored = weighed(base_rules(narrow)).withColumn("score", score(F.col("_weights"))).drop("grams", "_weights")
