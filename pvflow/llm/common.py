@@ -13,7 +13,7 @@ from pvflow.session import configure, work_dir
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: bounds what a Python worker holds at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -24,6 +24,8 @@ ORDER = 3
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 1_500_000
 UNKNOWN = "und"
+#: Bytes of text coded at once: some hundred bytes of memory each.
+TAKEN_BYTES = 1 << 18
 #: A text that needs more bits per byte than this under every language resembles none of them.
 REJECT_BITS = 6.5
 
@@ -50,12 +52,12 @@ class ContextTrees:
         group: list[int] = []
         size = 0
         for i, t in enumerate(texts):
-            if len(t) > (1 << 22):  # a very long text is coded in pieces that overlap by one context
+            if len(t) > TAKEN_BYTES:  # a very long text is coded in pieces that overlap by one context
                 out[i] = self._long(t)
                 continue
             group.append(i)
             size += len(t)
-            if size > (1 << 21):
+            if size > TAKEN_BYTES:
                 out[group] = self._batch([texts[j] for j in group])
                 group, size = [], 0
         if group:
@@ -69,7 +71,7 @@ class ContextTrees:
 
     def _long(self, text: bytes) -> np.ndarray:
         total = np.zeros(len(self.langs))
-        step = 1 << 21
+        step = TAKEN_BYTES
         for at in range(0, len(text), step):
             before = np.zeros(ORDER, np.int64)
             if at:
@@ -88,7 +90,8 @@ class ContextTrees:
         classes[body] = self.byte_class[np.frombuffer(b"".join(texts), np.uint8)]
         keep = body[ORDER:]
         codes = self._codes(classes)[keep]
-        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.bits[codes], axis=0, dtype=np.float64)])
+        sums = np.zeros((len(codes) + 1, len(self.langs)))
+        np.cumsum(self.bits[codes], axis=0, out=sums[1:])
         stops = np.cumsum(sizes)
         return sums[stops] - sums[stops - sizes]
 

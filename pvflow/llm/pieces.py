@@ -29,8 +29,8 @@ ALPHA = 1.5
 #: Bytes of a chunk beyond which it is segmented by itself.
 LONG = 48
 #: Cells of the matrices worked on at once, and bytes of text taken at once.
-CELLS = 1 << 20
-TEXT_BYTES = 1 << 22
+CELLS = 1 << 18
+TEXT_BYTES = 1 << 19
 
 _MARK = "▁"
 _BLANK = 0xFF  # stands for the blank mark; no UTF-8 text has it
