@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOB_FOLDER = "snapshots"
 
-
-def snapshot_id(queue: Column, iter_index: Column) -> Column:
-    return F.concat_ws("-", queue, iter_index.cast("string"))
+def snapshot_id(queue: Column, start_us: Column, iter_index: Column) -> Column:
+    """Iterations count from 1 in every run, so the start of the run is part of the id."""
+    return F.concat_ws("-", queue, start_us.cast("string"), iter_index.cast("string"))
 
 
 def calendar(ts_us: Column) -> dict[str, Column]:
@@ -32,18 +31,10 @@ def pv_values(samples: DataFrame, source: str) -> DataFrame:
 
 
 def snapshot_index(blobs: DataFrame) -> DataFrame:
-    """One row per snapshot: its time, how many PVs it holds, where its rows are."""
-    counted = blobs.groupBy("snapshot_id", "snapshot_us").agg(F.countDistinct("pv_name").alias("pv_count"))
-    parts = calendar(F.col("snapshot_us"))
-    key = F.concat_ws(
-        "/",
-        F.lit(BLOB_FOLDER),
-        parts["year"].cast("string"),
-        F.lpad(parts["month"].cast("string"), 2, "0"),
-        F.lpad(parts["day"].cast("string"), 2, "0"),
-        F.col("snapshot_id"),
-    )
-    return counted.withColumn("blob_key", key)
+    """One row per snapshot: its time, how many PVs it holds (one row each), and the folder its rows are in."""
+    counted = blobs.groupBy("snapshot_id", "snapshot_us").agg(F.count(F.lit(1)).alias("pv_count"))
+    folders = [F.concat(F.lit(f"{name}="), value) for name, value in calendar(F.col("snapshot_us")).items()]
+    return counted.withColumn("blob_key", F.concat_ws("/", *folders))
 
 
 def replay(index: DataFrame, blobs: DataFrame, from_us: int, to_us: int) -> DataFrame:

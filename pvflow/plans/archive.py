@@ -65,13 +65,13 @@ def _blobs(spark, sf):
     events = T.data_events(spark, sf).drop("event_type", "source")
     rows = snap.normal(events, T.sparse_members(spark, sf)).withColumn("snapshot_us", snap.window_end())
     return rows.select(
-        A.snapshot_id(F.col("queue_name"), F.col("iter_index")).alias("snapshot_id"),
+        A.snapshot_id(F.col("queue_name"), F.col("start_us"), F.col("iter_index")).alias("snapshot_id"),
         "snapshot_us", "pv_name", "ts_us", "seq", "value",
     )
 
 
 _BLOBS = (*S.SPARSE_SNAP, S.ITERS, S.LAST, S.GRID, """
-blob AS (SELECT queue_name || '-' || iter_index AS snapshot_id, to_us AS snapshot_us, pv_name, ts_us, seq, value FROM grid WHERE seq IS NOT NULL)""")
+blob AS (SELECT queue_name || '-' || start_us || '-' || iter_index AS snapshot_id, to_us AS snapshot_us, pv_name, ts_us, seq, value FROM grid WHERE seq IS NOT NULL)""")
 
 
 @query("archive_blobs", with_ctes(*_BLOBS, body="""
@@ -86,7 +86,7 @@ def archive_blobs(spark, sf):
 
 @query("snapshot_index", with_ctes(*_BLOBS, body="""
 SELECT snapshot_id, snapshot_us, count(DISTINCT pv_name) AS pv_count,
-  'snapshots/' || strftime(make_timestamp(snapshot_us), '%Y/%m/%d/') || snapshot_id AS blob_key FROM blob GROUP BY ALL"""))
+  strftime(make_timestamp(snapshot_us), 'year=%Y/month=%-m/day=%-d') AS blob_key FROM blob GROUP BY ALL"""))
 def snapshot_index(spark, sf):
     return A.snapshot_index(_blobs(spark, sf))
 
@@ -98,7 +98,8 @@ _FROM, _TO = T.START_US + 5 * T.DAY_US, T.START_US + 12 * T.DAY_US
 SELECT snapshot_id, snapshot_us, pv_name, ts_us, seq, value FROM blob WHERE snapshot_us BETWEEN {_FROM} AND {_TO}"""))
 def replay_range(spark, sf):
     path = work_dir(spark, "replay")
-    sinks.write_blobs(_blobs(spark, sf), path)
-    blobs = spark.read.parquet(path)
-    out = A.replay(A.snapshot_index(blobs), blobs, _FROM, _TO)
+    rows = _blobs(spark, sf)
+    sinks.write_blobs(rows, f"{path}/blobs")
+    sinks.write_index(A.snapshot_index(rows), f"{path}/index")
+    out = A.replay(spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/blobs"), _FROM, _TO)
     return out.select("snapshot_id", "snapshot_us", "pv_name", "ts_us", "seq", "value")

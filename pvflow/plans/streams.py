@@ -28,8 +28,30 @@ def _dense_stream(spark, sf):
     return T.as_dense(T.timed(T.table_stream(spark, sf, "events")))
 
 
-def _site_events(spark, sf):
-    return X.watched(_sparse_stream(spark, sf).where("event_type = 'Data'"), "0 seconds")
+#: How far out of order the sample streams are, in how many parts they come, and the delay of their watermarks: a part
+#: takes 62 hours and may itself be several files in any order.
+JITTER_US = 12 * 3_600_000_000
+PARTS = 12
+DELAY = "75 hours"
+
+
+def _scattered(spark, rows, name, files=PARTS):
+    """The rows as a stream of many files, one a batch, in a jittered order; a heartbeat past the last stop ends it.
+
+    rows: ts, ts_us, seq, pv_name and more. A row goes to the part of its time plus up to twelve hours.
+    """
+    path = work_dir(spark, name)
+    late = F.col("ts_us") + F.pmod(F.xxhash64("pv_name", "seq"), F.lit(JITTER_US))
+    span = 31 * T.DAY_US
+    part = F.least(F.greatest(F.floor((late - T.START_US) * files / span), F.lit(0)), F.lit(files - 1))
+    for i in range(files):
+        rows.where(part == i).write.mode("append").parquet(f"{path}/{i}")
+    # only ts is past the stop: filters on ts_us run before the watermark is taken
+    end = F.timestamp_micros(F.lit(T.STOP_US + 6 * T.DAY_US))
+    beat = spark.range(1).select(end.alias("ts"), F.lit(T.START_US).alias("ts_us"), F.lit("").alias("pv_name"))
+    beat = rows.limit(0).unionByName(beat, allowMissingColumns=True).coalesce(1)
+    beat.write.mode("append").parquet(f"{path}/{files}")
+    return X.watched(readers.file_stream(spark, f"{path}/*", rows.schema, max_files=1), DELAY)
 
 
 @query("cmd_source", with_ctes(*DECODED, body="""
@@ -68,69 +90,82 @@ def stream_buffered(spark, sf):
     return X.drain(rows, work_dir(spark, "stream_buffered"))
 
 
+def _sparse_rows(spark, sf):
+    return T.as_sparse(T.timed(T.table(spark, sf, "events")))
+
+
+def _dense_rows(spark, sf):
+    return T.as_dense(T.timed(T.table(spark, sf, "events")))
+
+
 @query("stream_window_last", with_ctes(*S.DENSE_SNAP, body="""
-SELECT queue_name, pv_name, ts_us // 86400000000 * 86400000000 + 86400000000 AS to_us, ts_us, seq, value FROM routed
-WHERE ts_us // 86400000000 * 86400000000 + 86400000000 <= (SELECT max(ts_us) // 1000 * 1000 FROM pv)
-QUALIFY row_number() OVER (PARTITION BY queue_name, pv_name, ts_us // 86400000000 ORDER BY ts_us DESC, seq DESC) = 1"""))
+SELECT queue_name, iter_index, pv_name, least(start_us + iter_index * w_ms * 1000, stop_us) AS to_us, ts_us, seq, value FROM routed
+QUALIFY row_number() OVER (PARTITION BY queue_name, pv_name, iter_index ORDER BY ts_us DESC, seq DESC) = 1"""))
 def stream_window_last(spark, sf):
+    X.use_rocksdb(spark)
     members = T.members(T.dense_definitions(spark, sf))
-    events = X.watched(_dense_stream(spark, sf), "0 seconds")
-    return X.drain(XS.window_last(events, members, "1 day"), work_dir(spark, "stream_window_last"))
+    routed = snap.route(_scattered(spark, _dense_rows(spark, sf), "dense"), members)
+    out = XS.window_last(routed).select("queue_name", "iter_index", "pv_name", "to_us", "ts_us", "seq", "value")
+    return X.drain(out, work_dir(spark, "stream_window_last"))
 
 
 @query("stream_normal", with_ctes(*S.SPARSE_SNAP, S.ITERS, S.LAST, S.GRID, body="""
-SELECT queue_name, iter_index, pv_name, ts_us, seq, value FROM grid WHERE seq IS NOT NULL
-AND start_us + iter_index * w_ms * 1000 <= (SELECT max(ts_us) // 1000 * 1000 FROM pv)"""))
+SELECT queue_name, iter_index, to_us, pv_name, ts_us, seq, value FROM grid WHERE seq IS NOT NULL"""))
 def stream_normal(spark, sf):
     X.use_rocksdb(spark)
-    routed = snap.route(_site_events(spark, sf), T.sparse_members(spark, sf))
-    out = XS.normal_stream(routed).select("queue_name", "iter_index", "pv_name", "ts_us", "seq", "value")
+    data = _sparse_rows(spark, sf).where("event_type = 'Data'")
+    routed = snap.route(_scattered(spark, data, "sparse"), T.sparse_members(spark, sf))
+    out = XS.normal_stream(routed).select("queue_name", "iter_index", "to_us", "pv_name", "ts_us", "seq", "value")
     return X.drain(out, work_dir(spark, "stream_normal"))
 
 
 @query("stream_asof", ORACLE["asof_merge"])
 def stream_asof(spark, sf):
     X.use_rocksdb(spark)
-    sides = _sparse_stream(spark, sf).where("source IN ('click', 'view')")
-    sides = sides.select(
-        "pv_name", "ts_us", "seq", "value", F.when(F.col("source") == "click", 1).otherwise(0).alias("side")
-    )
-    return X.drain(XF.asof_stream(sides), work_dir(spark, "stream_asof"))
+    side = F.when(F.col("source") == "click", 1).otherwise(0).alias("side")
+    sides = _sparse_rows(spark, sf).where("source IN ('click', 'view')").select("pv_name", "ts", "ts_us", "seq", "value", side)
+    return X.drain(XF.asof_stream(_scattered(spark, sides, "sides")), work_dir(spark, "stream_asof"))
 
 
 @query("stream_refcount", ORACLE["refcount"])
 def stream_refcount(spark, sf):
     X.use_rocksdb(spark)
-    delta = F.when(F.col("source") == "click", 1).otherwise(-1).cast("bigint")
-    changes = _sparse_stream(spark, sf).where("source IN ('click', 'view')")
-    changes = changes.select("pv_name", "ts_us", "seq", delta.alias("delta"))
-    return X.drain(XF.refcount_stream(changes), work_dir(spark, "stream_refcount"))
+    delta = F.when(F.col("source") == "click", 1).otherwise(-1).cast("bigint").alias("delta")
+    changes = _sparse_rows(spark, sf).where("source IN ('click', 'view')").select("pv_name", "ts", "ts_us", "seq", delta)
+    return X.drain(XF.refcount_stream(_scattered(spark, changes, "changes")), work_dir(spark, "stream_refcount"))
 
 
 @query("stream_purge", ORACLE["sub_purge"])
 def stream_purge(spark, sf):
     X.use_rocksdb(spark)
-    path = work_dir(spark, "scans")
-    table = scans(spark, sf)
-    table.write.parquet(path)
-    stream = readers.file_stream(spark, path, table.schema)
-    return X.drain(XF.purge_stream(stream, 2 * _DAY), work_dir(spark, "stream_purge"))
-
-
-_TRIG = """t AS (SELECT mem.queue_name, mem.pv_name, epoch_us(ts) AS t_us, event_id AS trigger_seq
-  FROM events JOIN mem ON def_id = event_id % 5 WHERE event_type = 'error')"""
+    table = scans(spark, sf).withColumn("ts", F.timestamp_micros("ts_us"))
+    return X.drain(XF.purge_stream(_scattered(spark, table, "scans"), 2 * _DAY), work_dir(spark, "stream_purge"))
 
 
-@query("stream_trigger_window", with_ctes(*S.DENSE_SNAP, _TRIG, body="""
-SELECT r.queue_name, r.pv_name, r.ts_us, r.seq, r.value, trigger_seq FROM routed r JOIN t
-ON r.queue_name = t.queue_name AND r.pv_name = t.pv_name AND r.ts_us <= t_us AND r.ts_us >= t_us - 1200000000"""))
-def stream_trigger_window(spark, sf):
-    members = T.members(T.dense_definitions(spark, sf))
-    routed = snap.route(X.watched(_dense_stream(spark, sf), "1 hour"), members)
-    fired = T.timed(T.table_stream(spark, sf, "events")).where("event_type = 'error'")
-    fired = fired.select(
-        (F.col("event_id") % 5).alias("def_id"), F.col("ts").alias("trigger_ts"), F.col("event_id").alias("trigger_seq")
-    ).withWatermark("trigger_ts", "1 hour")
-    fired = fired.join(members.select("def_id", "queue_name", "pv_name"), "def_id").drop("def_id")
-    out = XS.trigger_window(routed, fired, "20 minutes")
-    return X.drain(out, work_dir(spark, "stream_trigger_window"))
+def _triggered(spark, sf, buffered):
+    """The dense events and the triggers of the runs, each a stream out of order; the stop of a run fires a last time."""
+    X.use_rocksdb(spark)
+    definitions = T.dense_definitions(spark, sf)
+    if buffered:  # the shorter windows of the batch query
+        definitions = definitions.withColumn("time_window_msec", F.expr("time_window_msec div 72"))
+    routed = snap.route(_scattered(spark, _dense_rows(spark, sf), "dense"), T.members(definitions))
+    runs = definitions.select("def_id", "queue_name", "start_us", "stop_us", snap.window_us().alias("window_us"))
+    stamp = lambda us: F.timestamp_micros(us).alias("ts")
+    fired = T.dense_triggers(spark, sf).join(runs, "def_id").where("trigger_us >= start_us AND trigger_us < stop_us")
+    fired = fired.select("queue_name", "start_us", stamp("trigger_us"), F.col("trigger_us").alias("ts_us"), F.col("trigger_seq").alias("seq"), "window_us")
+    stops = runs.select("queue_name", "start_us", stamp("stop_us"), F.col("stop_us").alias("ts_us"), F.lit(2**62).alias("seq"), "window_us")
+    marks = fired.unionByName(stops).withColumn("pv_name", F.col("queue_name"))
+    triggers = _scattered(spark, marks, "triggers")
+    return XS.triggered(routed, triggers, buffered)
+
+
+@query("stream_trigger_buffered", ORACLE["snap_trigger_buffered"])
+def stream_trigger_buffered(spark, sf):
+    out = _triggered(spark, sf, True).select("queue_name", "iter_index", "trigger_us", "pv_name", "ts_us", "seq", "value")
+    return X.drain(out, work_dir(spark, "stream_trigger_buffered"))
+
+
+@query("stream_trigger_normal", ORACLE["snap_trigger_normal"])
+def stream_trigger_normal(spark, sf):
+    out = _triggered(spark, sf, False).select("queue_name", "iter_index", "trigger_us", "pv_name", "ts_us", "seq", "value")
+    return X.drain(out, work_dir(spark, "stream_trigger_normal"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pvflow.operators.replay import calendar
 
 SER_HEADER = "ser-type"
-SLICE_US = 3_600_000_000
 
 
 def out_messages(df: DataFrame, topic: Column, key: Column, value: Column, serialization: Column, *keep: str) -> DataFrame:
@@ -31,15 +30,14 @@ def write_topics(messages: DataFrame, path: str, mode: str = "append") -> None:
     messages.write.mode(mode).partitionBy("topic").parquet(path)
 
 
-def write_pv_values(values: DataFrame, path: str, slice_us: int = SLICE_US) -> None:
+def write_pv_values(values: DataFrame, path: str) -> None:
     """The value archive by date, rows of a PV in time order within each file.
 
-    A PV is spread over time slices, so that a busy one does not end up in a
-    single task; the sort gives tight min/max statistics on (pv, ts_us).
+    Ranges of (date, PV, time) go to one task each: a busy PV is split where it has many rows, a date
+    has few files, and min/max statistics on (pv, ts_us) are tight.
     """
-    part = F.floor(F.col("ts_us") / slice_us)
     (
-        values.repartition("date", "pv", part)
+        values.repartitionByRange("date", "pv", "ts_us")
         .sortWithinPartitions("date", "pv", "ts_us", "seq")
         .write.mode("append")
         .partitionBy("date")
@@ -48,16 +46,20 @@ def write_pv_values(values: DataFrame, path: str, slice_us: int = SLICE_US) -> N
     )
 
 
-def write_blobs(blobs: DataFrame, path: str, shards: int = 64) -> None:
+def write_index(index: DataFrame, path: str) -> None:
+    """The snapshot index in order of time, so that a range reads few row groups."""
+    index.repartitionByRange("snapshot_us", "snapshot_id").sortWithinPartitions("snapshot_us").write.mode("append").parquet(path)
+
+
+def write_blobs(blobs: DataFrame, path: str) -> None:
     """Snapshot rows under year/month/day, sorted by snapshot.
 
-    The rows of a snapshot spread over ``shards`` by PV; no task has to hold a
+    Ranges of (day, snapshot, PV) go to one task each; no task has to hold a
     whole day or a whole snapshot.
     """
-    shard = F.pmod(F.xxhash64("pv_name"), F.lit(shards))
     (
         blobs.withColumns(calendar(F.col("snapshot_us")))
-        .repartition("year", "month", "day", shard)
+        .repartitionByRange("year", "month", "day", "snapshot_id", "pv_name")
         .sortWithinPartitions("year", "month", "day", "snapshot_id", "pv_name")
         .write.mode("append")
         .partitionBy("year", "month", "day")

@@ -21,6 +21,15 @@ def watched(events: DataFrame, delay: str, unique: str | None = None) -> DataFra
     return out.dropDuplicatesWithinWatermark([unique]) if unique else out
 
 
+def heartbeats(events: DataFrame, beats: DataFrame) -> DataFrame:
+    """Events and a stream of heartbeats (ts, and any other columns of the events) as one stream.
+
+    A watermark stands still when sources do. A heartbeat has the empty PV name: it moves the watermark on and
+    meets no snapshot or subscription.
+    """
+    return events.unionByName(beats.withColumn("pv_name", F.lit("")), allowMissingColumns=True)
+
+
 def drain(stream: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Run everything available into a Parquet table and read it back.
 
@@ -52,7 +61,3 @@ def drain_batches(stream: DataFrame, path: str, plan: Callable[[DataFrame], Data
     )
     query.awaitTermination()
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
-
-
-def truncate_ms(ts_us: str = "ts_us"):
-    return F.floor(F.col(ts_us) / 1000)

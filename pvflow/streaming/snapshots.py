@@ -10,129 +10,123 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pvflow.operators import snapshots as snap
+from pvflow.streaming.stateful import triggered_stream
 
 RUN = snap.RUN
 
 
-def window_last(events: DataFrame, members: DataFrame, window: str) -> DataFrame:
-    """Last value per (run, PV, closed window) of a watermarked stream.
+class WindowEnds(StatefulProcessor):
+    """Per (run, PV): emit a value at the end of every window, once the watermark has passed it.
 
-    All runs share the window length here. The aggregation by ``window`` lets
-    the watermark close windows and drop their state.
+    State: the next window to emit with the value carried so far, and the last value of every window that is
+    still open. With ``carry`` a window without an event repeats the value before it, else it is left out. Events
+    of a window whose end the watermark has passed are late and dropped; until a first window is emitted,
+    an event of an earlier one moves the start back. After the last window of a run all of its state goes.
     """
-    routed = events.join(members, "pv_name").where("ts_us >= start_us AND ts_us < stop_us")
-    best = F.max_by(F.struct("ts_us", "seq", "value"), F.struct("ts_us", "seq")).alias("last")
-    return (
-        routed.groupBy("queue_name", "pv_name", F.window("ts", window))
-        .agg(best)
-        .select("queue_name", "pv_name", F.unix_micros("window.end").alias("to_us"), "last.*")
-    )
-
-
-class CarryForward(StatefulProcessor):
-    """Per (run, PV): emit the last known value at the end of every window.
 
-    State: the value carried so far with the next window to emit, and the last
-    value of every window that is still open. A timer at the window end closes
-    it once the watermark has passed.
-    """
+    def __init__(self, carry: bool):
+        self.carry = carry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.carried = handle.getValueState(
-            "carried", "next_iter LONG, ts_us LONG, seq LONG, value DOUBLE, window_us LONG, last_iter LONG"
+            "carried", "next_iter LONG, ts_us LONG, seq LONG, value DOUBLE, window_us LONG, stop_us LONG"
         )
         self.open = handle.getMapState("open", "iter_index LONG", "ts_us LONG, seq LONG, value DOUBLE")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
         best: dict[int, tuple] = {}
-        window_us = last_iter = None
         for pdf in rows:
-            window_us, last_iter = int(pdf["window_us"].iloc[0]), int(pdf["last_iter"].iloc[0])
+            window_us = int(pdf["window_us"].iloc[0])
+            stop = pdf["stop_us"].iloc[0]
+            stop_us = None if pd.isna(stop) else int(stop)
             newest = pdf.sort_values(["ts_us", "seq"]).groupby("iter_index").tail(1)
             for r in newest.itertuples(index=False):
-                at = (int(r.ts_us), int(r.seq), float(r.value))
-                if int(r.iter_index) not in best or best[int(r.iter_index)][:2] < at[:2]:
-                    best[int(r.iter_index)] = at
+                i, at = int(r.iter_index), (int(r.ts_us), int(r.seq), float(r.value))
+                if self._end_ms(key, i, window_us, stop_us) > passed and (i not in best or best[i][:2] < at[:2]):
+                    best[i] = at
         if best:
-            state = self.carried.get() if self.carried.exists() else None
-            if state is None:
-                first = min(best)
-                self.carried.update((first, None, None, None, window_us, last_iter))
-                self._timer(key, first, window_us)
+            state = tuple(self.carried.get()) if self.carried.exists() else None
+            first = min(best)
+            if state is None or (state[1] is None and first < state[0]):
+                self.carried.update((first, None, None, None, window_us, stop_us))
+                self.handle.registerTimer(self._end_ms(key, first, window_us, stop_us))
             for i, at in best.items():
                 old = self.open.getValue((i,)) if self.open.containsKey((i,)) else None
                 if old is None or (old[0], old[1]) < at[:2]:
                     self.open.updateValue((i,), at)
-        yield from self._close(key, timerValues)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._close(key, timerValues)
-
-    def close(self) -> None:
-        pass
-
-    def _end_ms(self, key, i: int, window_us: int) -> int:
-        return (int(key[1]) + i * window_us) // 1000
-
-    def _timer(self, key, i: int, window_us: int) -> None:
-        self.handle.registerTimer(self._end_ms(key, i, window_us))
-
-    def _close(self, key, timerValues) -> Iterator[pd.DataFrame]:
         if not self.carried.exists():
             return
-        now = timerValues.getCurrentWatermarkInMs()
-        i, ts_us, seq, value, window_us, last_iter = self.carried.get()
-        first, out = i, []
-        while i <= last_iter and self._end_ms(key, i, window_us) <= now:
-            if self.open.containsKey((i,)):
+        passed = timerValues.getCurrentWatermarkInMs()
+        i, ts_us, seq, value, window_us, stop_us = self.carried.get()
+        first, out, ended = i, [], False
+        while not ended and self._end_ms(key, i, window_us, stop_us) <= passed:
+            end_us = self._end_us(key, i, window_us, stop_us)
+            own = self.open.containsKey((i,))
+            if own:
                 ts_us, seq, value = self.open.getValue((i,))
                 self.open.removeKey((i,))
-            out.append((key[0], key[1], key[2], i, ts_us, seq, value))
+            if own or (self.carry and ts_us is not None):
+                out.append((key[0], key[1], key[2], i, end_us, ts_us, seq, value))
+            ended = stop_us is not None and end_us >= stop_us
             i += 1
-        if i != first:
-            self.carried.update((i, ts_us, seq, value, window_us, last_iter))
-            if i <= last_iter:
-                self._timer(key, i, window_us)
-            yield pd.DataFrame(
-                out, columns=["queue_name", "start_us", "pv_name", "iter_index", "ts_us", "seq", "value"]
-            )
+        if ended:
+            self.carried.clear()
+            self.open.clear()
+        elif i != first:
+            self.carried.update((i, ts_us, seq, value, window_us, stop_us))
+            self.handle.registerTimer(self._end_ms(key, i, window_us, stop_us))
+        if out:
+            yield pd.DataFrame(out, columns=["queue_name", "start_us", "pv_name", "iter_index", "to_us", "ts_us", "seq", "value"])
+
+    def close(self) -> None:
+        pass
 
+    def _end_us(self, key, i: int, window_us: int, stop_us: int | None) -> int:
+        end = int(key[1]) + i * window_us
+        return end if stop_us is None else min(end, stop_us)
 
-CARRY_SCHEMA = (
-    "queue_name STRING, start_us BIGINT, pv_name STRING, iter_index BIGINT, ts_us BIGINT, seq BIGINT, value DOUBLE"
-)
+    def _end_ms(self, key, i: int, window_us: int, stop_us: int | None) -> int:
+        return -(-self._end_us(key, i, window_us, stop_us) // 1000)
 
 
-def normal_stream(routed: DataFrame) -> DataFrame:
-    """Repeating NORMAL snapshots of a routed, watermarked stream, window by window."""
+def _window_ends(routed: DataFrame, carry: bool) -> DataFrame:
     keyed = routed.select(
-        *RUN,
-        "pv_name",
-        "ts",
-        "ts_us",
-        "seq",
-        "value",
-        snap.iteration().alias("iter_index"),
-        snap.window_us().alias("window_us"),
-        snap.iteration_count().alias("last_iter"),
+        *RUN, "pv_name", "ts", "ts_us", "seq", "value", "stop_us",
+        snap.iteration().alias("iter_index"), snap.window_us().alias("window_us"),
+    )
+    schema = (
+        "queue_name STRING, start_us BIGINT, pv_name STRING, iter_index BIGINT, to_us BIGINT, ts_us BIGINT, seq BIGINT, value DOUBLE"
     )
     return keyed.groupBy(*RUN, "pv_name").transformWithStateInPandas(
-        CarryForward(), outputStructType=CARRY_SCHEMA, outputMode="append", timeMode="EventTime"
+        WindowEnds(carry), outputStructType=schema, outputMode="append", timeMode="EventTime"
     )
 
 
-def trigger_window(routed: DataFrame, triggers: DataFrame, window: str) -> DataFrame:
-    """Events of the ``window`` before each trigger; both sides watermarked.
+def normal_stream(routed: DataFrame) -> DataFrame:
+    """Repeating NORMAL snapshots of a routed, watermarked stream, window by window."""
+    return _window_ends(routed, carry=True)
 
-    triggers: queue_name, pv_name, trigger_ts, trigger_seq, one row per PV of the
-    snapshot, so that the join spreads over the PVs.
+
+def window_last(routed: DataFrame) -> DataFrame:
+    """Last value per (run, PV, window) of a routed, watermarked stream; the windows are those of each run."""
+    return _window_ends(routed, carry=False)
+
+
+def triggered(routed: DataFrame, triggers: DataFrame, buffered: bool) -> DataFrame:
+    """Triggered snapshots of a routed stream: every event goes to the next trigger of its run only.
+
+    triggers: queue_name, start_us, ts, ts_us, seq, window_us of the run; both streams are watermarked on ts.
     """
-    e, t = routed.alias("e"), triggers.alias("t")
-    return e.join(
-        t,
-        F.expr(
-            f"""e.queue_name = t.queue_name AND e.pv_name = t.pv_name
-            AND e.ts <= t.trigger_ts AND e.ts >= t.trigger_ts - INTERVAL {window}"""
-        ),
-    ).select("e.queue_name", "e.pv_name", "e.ts_us", "e.seq", "e.value", "t.trigger_seq")
+    events = routed.select(
+        *RUN, "ts", "ts_us", F.lit(0).alias("side"), "seq", "pv_name", "value", snap.window_us().alias("window_us")
+    )
+    fired = triggers.select(
+        *RUN, "ts", "ts_us", F.lit(1).alias("side"), "seq",
+        F.lit(None).cast("string").alias("pv_name"), F.lit(None).cast("double").alias("value"), "window_us",
+    )
+    return triggered_stream(events.unionByName(fired), buffered)

@@ -1,143 +1,249 @@
-"""Keyed stateful operators on streams: as-of merge, reference counts, retirement.
+"""Keyed stateful operators on streams: as-of merge, reference counts, retirement, triggers.
 
-A batch of one key is ordered in memory; the rate limit of the source
-(``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``) bounds it.
+All of them depend on the order of events, and events arrive out of order. Rows wait in keyed state until the
+watermark has passed their time, and are then worked through in order of event time: however rows are cut into batches,
+and in whatever order they come within the delay of the watermark, the result is the same. Rows that come later than the
+delay are dropped. State holds the rows of a key within the delay, and what the operator itself has to
+remember. The streams need a watermark on ``ts``; where sources fall silent, ``runs.heartbeats`` moves it on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
+def _plain(value):
+    """A pandas cell as the Python value that state takes."""
+    if value is None or value != value:
+        return None
+    return value.item() if hasattr(value, "item") else value
 
 
-class AsOf(StatefulProcessor):
-    """Principal rows (side 1) with the last additional row (side 0) at or before them."""
+class InOrder(StatefulProcessor):
+    """Base of operators that see the rows of a key in order of ``order``, whose first column is ts_us."""
+
+    columns: list[str]
+    kinds: list[str]
+    order: list[str]
+    output: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts_us LONG, seq LONG, value DOUBLE")
+        self.handle = handle
+        self.pending = handle.getListState("pending", ", ".join(f"{c} {k}" for c, k in zip(self.columns, self.kinds)))
+        self.remember(handle)
+
+    def remember(self, handle: StatefulProcessorHandle) -> None:
+        """Set up the operator's own state."""
+
+    def each(self, key, row) -> list[tuple]:
+        """Output rows for the next row in order."""
+        raise NotImplementedError
+
+    def begin(self) -> None:
+        """Load the own state before a run of ``each``."""
+
+    def end(self) -> None:
+        """Store it after."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["ts_us", "side", "seq"])
-        if self.last.exists():
-            ts_us, seq, value = self.last.get()
-            old = pd.DataFrame({"pv_name": [key[0]], "ts_us": [ts_us], "side": [0], "seq": [seq], "value": [value]})
-            pdf = pd.concat([old, pdf], ignore_index=True).sort_values(["ts_us", "side", "seq"], ignore_index=True)
-        extra = pdf["side"].to_numpy() == 0
-        at = np.maximum.accumulate(np.where(extra, np.arange(len(pdf)), -1))
-        hit = ~extra & (at >= 0)
-        if extra.any():
-            newest = pdf.iloc[int(at[-1])]
-            self.last.update((int(newest.ts_us), int(newest.seq), float(newest.value)))
-        match = pdf.iloc[at[hit]]
-        yield pd.DataFrame(
-            {
-                "pv_name": key[0],
-                "ts_us": pdf["ts_us"][hit].to_numpy(),
-                "seq": pdf["seq"][hit].to_numpy(),
-                "value": pdf["value"][hit].to_numpy(),
-                "additional_ts_us": match["ts_us"].to_numpy(),
-                "additional_seq": match["seq"].to_numpy(),
-                "additional": match["value"].to_numpy(),
-            }
-        )
+        if not key[0]:  # heartbeats only move the watermark
+            return
+        passed = timerValues.getCurrentWatermarkInMs()
+        new = pd.concat(list(rows), ignore_index=True)[self.columns]
+        new = new[new["ts_us"] // 1000 >= passed]
+        if len(new):
+            self.pending.appendList([tuple(_plain(v) for v in r) for r in new.itertuples(index=False, name=None)])
+            self.handle.registerTimer(int(new["ts_us"].min()) // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.pending.get()), columns=self.columns, dtype=object)
+        ready = held[held["ts_us"].map(lambda t: t // 1000 < passed)] if len(held) else held
+        if not len(ready):
+            return
+        rest = held.drop(ready.index)
+        if len(rest):
+            self.pending.put(list(rest.itertuples(index=False, name=None)))
+            self.handle.registerTimer(int(rest["ts_us"].min()) // 1000 + 1)
+        else:
+            self.pending.clear()
+        self.begin()
+        out: list[tuple] = []
+        for row in ready.sort_values(self.order).itertuples(index=False):
+            out += self.each(key, row)
+        self.end()
+        if out:
+            yield pd.DataFrame(out, columns=self.output)
 
     def close(self) -> None:
         pass
 
 
-def asof_stream(sides: DataFrame) -> DataFrame:
-    """sides: pv_name, ts_us, seq, value, side (1 principal, 0 additional)."""
-    return sides.groupBy("pv_name").transformWithStateInPandas(
-        AsOf(),
-        outputStructType="pv_name STRING, ts_us BIGINT, seq BIGINT, value DOUBLE, "
-        "additional_ts_us BIGINT, additional_seq BIGINT, additional DOUBLE",
-        outputMode="append",
-        timeMode="None",
+def _run(stream: DataFrame, keys: list[str], processor: InOrder, schema: str) -> DataFrame:
+    return stream.groupBy(*keys).transformWithStateInPandas(
+        processor, outputStructType=schema, outputMode="append", timeMode="EventTime"
     )
 
 
-class References(StatefulProcessor):
+class AsOf(InOrder):
+    """Principal rows (side 1) with the last additional row (side 0) at or before them."""
+
+    columns, kinds = ["ts_us", "side", "seq", "value"], ["LONG", "INT", "LONG", "DOUBLE"]
+    order = ["ts_us", "side", "seq"]
+    output = ["pv_name", "ts_us", "seq", "value", "additional_ts_us", "additional_seq", "additional"]
+
+    def remember(self, handle) -> None:
+        self.last = handle.getValueState("last", "ts_us LONG, seq LONG, value DOUBLE")
+
+    def begin(self) -> None:
+        self.newest = tuple(self.last.get()) if self.last.exists() else None
+
+    def each(self, key, row) -> list[tuple]:
+        if row.side == 0:
+            self.newest = (row.ts_us, row.seq, row.value)
+            return []
+        return [(key[0], row.ts_us, row.seq, row.value, *self.newest)] if self.newest else []
+
+    def end(self) -> None:
+        if self.newest:
+            self.last.update(self.newest)
+
+
+def asof_stream(sides: DataFrame) -> DataFrame:
+    """sides: pv_name, ts, ts_us, seq, value, side (1 principal, 0 additional), watermarked on ts."""
+    schema = "pv_name STRING, ts_us BIGINT, seq BIGINT, value DOUBLE, additional_ts_us BIGINT, additional_seq BIGINT, additional DOUBLE"
+    return _run(sides, ["pv_name"], AsOf(), schema)
+
+
+class References(InOrder):
     """Users of a PV after each +1 / -1, never below 0."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    columns, kinds = ["ts_us", "seq", "delta"], ["LONG", "LONG", "LONG"]
+    order = ["ts_us", "seq"]
+    output = ["pv_name", "ts_us", "seq", "users", "monitored"]
+
+    def remember(self, handle) -> None:
         self.users = handle.getValueState("users", "n LONG")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["ts_us", "seq"])
-        start = self.users.get()[0] if self.users.exists() else 0
-        total = start + pdf["delta"].cumsum()
-        users = total - np.minimum(np.minimum.accumulate(total.to_numpy()), 0)
-        left = int(users.iloc[-1])
-        if left:
-            self.users.update((left,))
+    def begin(self) -> None:
+        self.n = self.users.get()[0] if self.users.exists() else 0
+
+    def each(self, key, row) -> list[tuple]:
+        self.n = max(0, self.n + row.delta)
+        return [(key[0], row.ts_us, row.seq, self.n, self.n > 0)]
+
+    def end(self) -> None:
+        if self.n:
+            self.users.update((self.n,))
         else:
             self.users.clear()
-        yield pd.DataFrame(
-            {"pv_name": key[0], "ts_us": pdf["ts_us"], "seq": pdf["seq"], "users": users, "monitored": users > 0}
-        )
-
-    def close(self) -> None:
-        pass
 
 
 def refcount_stream(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("pv_name").transformWithStateInPandas(
-        References(),
-        outputStructType="pv_name STRING, ts_us BIGINT, seq BIGINT, users BIGINT, monitored BOOLEAN",
-        outputMode="append",
-        timeMode="None",
-    )
+    """changes: pv_name, ts, ts_us, seq, delta, watermarked on ts."""
+    return _run(changes, ["pv_name"], References(), "pv_name STRING, ts_us BIGINT, seq BIGINT, users BIGINT, monitored BOOLEAN")
 
 
-class Retirement(StatefulProcessor):
+class Retirement(InOrder):
     """Purge mark of a subscription: clear, mark, wait, stop."""
 
+    columns, kinds = ["ts_us", "seq", "consumers"], ["LONG", "LONG", "LONG"]
+    order = ["ts_us", "seq"]
+    output = ["pv_name", "ts_us", "consumers", "action"]
+
     def __init__(self, timeout_us: int):
         self.timeout_us = timeout_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def remember(self, handle) -> None:
         self.mark = handle.getValueState("mark", "mark_us LONG, stopped BOOLEAN")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["ts_us", "seq"])
-        mark, stopped = self.mark.get() if self.mark.exists() else (None, False)
-        actions = []
-        for ts_us, consumers in zip(pdf["ts_us"].tolist(), pdf["consumers"].tolist()):
-            if consumers > 0:
-                mark, stopped, action = None, False, "clear"
-            elif mark is None:
-                mark, action = ts_us, "mark"
-            elif stopped:
-                action = "gone"
-            elif ts_us - mark > self.timeout_us:
-                stopped, action = True, "stop"
-            else:
-                action = "wait"
-            actions.append(action)
-        if mark is None:
-            self.mark.clear()
+    def begin(self) -> None:
+        self.since, self.stopped = self.mark.get() if self.mark.exists() else (None, False)
+
+    def each(self, key, row) -> list[tuple]:
+        if row.consumers > 0:
+            self.since, self.stopped, action = None, False, "clear"
+        elif self.since is None:
+            self.since, action = row.ts_us, "mark"
+        elif self.stopped:
+            action = "gone"
+        elif row.ts_us - self.since > self.timeout_us:
+            self.stopped, action = True, "stop"
         else:
-            self.mark.update((mark, stopped))
-        yield pd.DataFrame(
-            {"pv_name": key[0], "ts_us": pdf["ts_us"], "consumers": pdf["consumers"], "action": actions}
-        )
+            action = "wait"
+        return [(key[0], row.ts_us, row.consumers, action)]
 
-    def close(self) -> None:
-        pass
+    def end(self) -> None:
+        if self.since is None:
+            self.mark.clear()
+        else:
+            self.mark.update((self.since, self.stopped))
 
 
 def purge_stream(scans: DataFrame, timeout_us: int) -> DataFrame:
-    return scans.groupBy("pv_name").transformWithStateInPandas(
-        Retirement(timeout_us),
-        outputStructType="pv_name STRING, ts_us BIGINT, consumers BIGINT, action STRING",
-        outputMode="append",
-        timeMode="None",
-    )
+    """scans: pv_name, ts, ts_us, seq, consumers, watermarked on ts."""
+    return _run(scans, ["pv_name"], Retirement(timeout_us), "pv_name STRING, ts_us BIGINT, consumers BIGINT, action STRING")
+
+
+class Triggered(InOrder):
+    """Snapshots on demand: at each trigger of a run what has happened since the one before.
+
+    ``buffered`` gives the events since, no older than the window before the newest of them; else the last value
+    of every PV seen so far. Side 0 is an event, side 1 a trigger. Events that no later trigger can give, because
+    newer ones have moved the window on, are forgotten at once, so a run holds one window (or one value per PV).
+    """
+
+    columns = ["ts_us", "side", "seq", "pv_name", "value", "window_us"]
+    kinds = ["LONG", "INT", "LONG", "STRING", "DOUBLE", "LONG"]
+    order = ["ts_us", "side", "seq"]
+    output = ["queue_name", "start_us", "iter_index", "trigger_us", "pv_name", "ts_us", "seq", "value"]
+
+    def __init__(self, buffered: bool):
+        self.buffered = buffered
+
+    def remember(self, handle) -> None:
+        self.count = handle.getValueState("count", "n LONG")
+        self.kept = handle.getListState("kept", "pv_name STRING, ts_us LONG, seq LONG, value DOUBLE")
+
+    def begin(self) -> None:
+        self.n = self.count.get()[0] if self.count.exists() else 0
+        self.rows = [tuple(r) for r in self.kept.get()]
+
+    def each(self, key, row) -> list[tuple]:
+        if row.side == 0:
+            self.rows.append((row.pv_name, row.ts_us, row.seq, row.value))
+            if len(self.rows) > 4096 and len(self.rows) > 2 * getattr(self, "trimmed", 0):
+                self._trim(row.window_us)
+            return []
+        self.n += 1
+        self._trim(row.window_us)
+        out = [(key[0], key[1], self.n, row.ts_us, *r) for r in self.rows]
+        if self.buffered:
+            self.rows = []
+        return out
+
+    def _trim(self, window_us: int) -> None:
+        if self.buffered:
+            since = self.rows[-1][1] - window_us if self.rows else 0
+            self.rows = [r for r in self.rows if r[1] >= since]
+        else:
+            self.rows = list({r[0]: r for r in self.rows}.values())
+        self.trimmed = len(self.rows)
+
+    def end(self) -> None:
+        self.count.update((self.n,))
+        if self.rows:
+            self.kept.put(self.rows)
+        else:
+            self.kept.clear()
+
+
+def triggered_stream(rows: DataFrame, buffered: bool) -> DataFrame:
+    """rows: queue_name, start_us, ts, ts_us, side, seq, pv_name, value, window_us; events and triggers in one stream."""
+    schema = "queue_name STRING, start_us BIGINT, iter_index BIGINT, trigger_us BIGINT, pv_name STRING, ts_us BIGINT, seq BIGINT, value DOUBLE"
+    return _run(rows, ["queue_name", "start_us"], Triggered(buffered), schema)
