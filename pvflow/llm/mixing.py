@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pvflow.llm.common import WORD, durable, text_of
+from pvflow.llm.common import WORD, durable, parts, text_of
 
 WEIGHTS = (3, 1, 2)
 #: The mix takes so many times the words of all sources, and of one source so many times its own at most.
@@ -140,7 +140,8 @@ def _taken_blocks(spark, table: list[dict]) -> DataFrame:
                 arrays = [np.full(len(slot), sid, np.int64), block, slot, np.full(len(slot), shard, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["sid", "block", "slot", "shard"])
 
-    return counts.repartition("sid", "shard").mapInArrow(fill, "sid bigint, block bigint, slot bigint, shard bigint")
+    # a fixed number of tasks: a row stands for thousands of slots, which sizes of rows do not show
+    return counts.repartition(parts(spark), "sid", "shard").mapInArrow(fill, "sid bigint, block bigint, slot bigint, shard bigint")
 
 
 def _placed(sized: DataFrame, table: list[dict]) -> DataFrame:
