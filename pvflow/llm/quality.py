@@ -5,7 +5,8 @@ one from the trusted target documents, one from all documents of the raw corpus;
 log ratio of the two over its n-grams. The target counts are shrunk towards the corpus, so an n-gram that the target
 lacks by chance says little. The threshold is fixed before any document is judged: half of the trusted documents, by
 the checksum of their id, make the target counts, and the score that all but a small share of the other half reach is
-the threshold. No document is sampled; each is compared with the threshold.
+the threshold. Both halves come from at most ``trusted_docs`` of the trusted documents, picked by a hash of their id; the
+corpus counts cover all documents, and each document is compared with the threshold.
 """
 
 from __future__ import annotations
