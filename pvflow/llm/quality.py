@@ -5,8 +5,8 @@ one from the trusted target documents, one from all documents of the raw corpus;
 log ratio of the two over its n-grams. The target counts are shrunk towards the corpus, so an n-gram that the target
 lacks by chance says little. The threshold is fixed before any document is judged: half of the trusted documents, by
 the checksum of their id, make the target counts, and the score that all but a small share of the other half reach is
-the threshold. Both halves come from at most ``trusted_docs`` of the trusted documents, picked by a hash of their id; the
-corpus counts cover all documents, and each document is compared with the threshold.
+the threshold. Every trusted document is in one half, the corpus counts cover all documents, and each document is
+compared with the threshold.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ BINS = 1 << 14
 PRIOR = float(BINS)
 #: Share of the trusted documents that the threshold gives up.
 GIVEN_UP = 0.01
-#: The target is fitted on so many trusted documents at most, those with the least hashes of their ids.
-TRUSTED_DOCS = 20_000
 # The base rules.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -139,16 +137,18 @@ def score(weights: Column) -> Column:
     return F.when(F.size("grams") > 0, total / F.size("grams"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, given_up: float = GIVEN_UP, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, given_up: float = GIVEN_UP) -> DataFrame:
     """doc_id, the base columns, score and kept of every row of ``docs`` (doc_id, text).
 
-    ``trusted`` has the doc_id of the documents that the target multinomial is learned from, of which at most
-    ``trusted_docs`` are used; ids that are null or unknown are of no use there. Raw counts cover all documents. A document is kept if it passes the base rules and its score reaches the threshold.
+    ``trusted`` has the doc_id of the documents that the target multinomial and the threshold are learned from; ids that
+    are null or unknown are of no use there. Raw counts cover all documents. A document is kept if it passes the base
+    rules and its score reaches the threshold.
     Without trusted documents every score is 0 and the base rules decide alone.
     """
     narrow = docs.select("doc_id", "text")
     sure = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    sure = F.broadcast(sure.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs))
+    # the ids grow with the corpus, so they are never broadcast; each half of the documents is dealt once
+    sure = sure.hint("shuffle_hash")
     corpus = grams(narrow)
     target = grams(narrow.join(sure, "doc_id", "left_semi"))
     fitting = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) % 2 == 0
