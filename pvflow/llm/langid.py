@@ -23,6 +23,8 @@ ORDER = 3
 #: The classifier is fitted on a bounded sample: so many documents and bytes of each language at most.
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 1_500_000
+#: Parts of a language that are ranked apart.
+LANES = 64
 UNKNOWN = "und"
 #: Bytes of text coded at once: some hundred bytes of memory each.
 TAKEN_BYTES = 1 << 18
@@ -175,8 +177,11 @@ def sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, most_bytes: int = SAMPL
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.octet_length("text").alias("size"), F.xxhash64("doc_id", "text").alias("pick"))
     rows = rows.where((F.col("size") > 0) & (F.col("size") <= most_bytes))
+    # ranked within lanes first, so that a language that holds most rows leaves few to the rank over all its lanes
+    lane = Window.partitionBy("lang", F.pmod("pick", F.lit(LANES))).orderBy("pick", "size")
     narrow = Window.partitionBy("lang").orderBy("pick", "size")
-    chosen = rows.select("lang", "pick", "size").withColumn("rank", F.row_number().over(narrow)).where(F.col("rank") <= docs)
+    chosen = rows.select("lang", "pick", "size").withColumn("rank", F.row_number().over(lane)).where(F.col("rank") <= docs)
+    chosen = chosen.withColumn("rank", F.row_number().over(narrow)).where(F.col("rank") <= docs)
     upto = Window.partitionBy("lang").orderBy("rank")
     chosen = chosen.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= most_bytes)
     taken = {(r.lang, r.pick) for r in chosen.select("lang", "pick").collect()}
