@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvflow.llm.archives import archive_pages
+from pvflow.llm.codes import compress
 from pvflow.llm.common import documents, tuned
 from pvflow.llm.fingerprints import fingerprint_documents
 from pvflow.llm.langid import identify
 from pvflow.llm.lm import score_documents
 from pvflow.llm.mixing import mix
 from pvflow.llm.pieces import encode_documents
+from pvflow.llm.planes import cluster
 from pvflow.llm.quality import judge
 from pvflow.llm.secret_scan import find_secrets
 from pvflow.llm.sharding import shard_documents
 from pvflow.llm.simhash import near_duplicates
+from pvflow.llm.vector_sql import CENTROIDS, CODES, NEIGHBOURS
+from pvflow.llm.vectors import embeddings
+from pvflow.llm.vptree import nearest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +91,22 @@ def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_pieces", "lossless", "pieces")
+
+
+@_query
+def op11_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress(embeddings(spark, sf_dir))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@_query
+def op12_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(embeddings(spark, sf_dir))
+
+
+@_query
+def op13_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0)
+
+
+ORACLE |= {"op11_trie_codes": CODES, "op12_bitplane_clusters": CENTROIDS, "op13_vantage_neighbours": NEIGHBOURS}
