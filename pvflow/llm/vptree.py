@@ -19,6 +19,8 @@ LEAF = 256
 #: Vectors of a shard, and queries that meet a shard in one task: they bound what a worker holds.
 SHARD = 4_096
 GROUP = 4_096
+#: Bytes of an Arrow batch, a few trees.
+ARROW_BYTES = str(16 << 20)
 
 
 class Tree(NamedTuple):
@@ -78,25 +80,31 @@ def build(points: np.ndarray) -> Tree:
     return Tree(points[order], order, np.array(span, np.int64).reshape(-1, 2), np.array(child, np.int64).reshape(-1, 2), np.array(ring).reshape(-1, 4), reach)
 
 
-def search(tree: Tree, queries: np.ndarray, keep: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
+def search(tree: Tree, queries: np.ndarray, keep: int, factor: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """The ``keep`` largest products of each query with the tree's points, the points' rows, and how many products it took.
 
     A subtree is left out for a query when the least distance that the triangle inequality allows there is above
     ``factor`` times the distance of its ``keep``-th best so far: with factor 1 no better point can be in it (points
     as good as the last one are still looked at), a smaller factor leaves out more. Queries go down together, each into
-    the nearer half first. Equal products go to the lower row of ``order``; missing ones are -inf and -1.
+    the nearer half first. Equal products go to the lower row of ``order``; missing ones are -inf and -1. Products below
+    a query's ``floor``, that of its last place so far, are not wanted; what is found may be less than ``keep`` then.
     """
     m = len(queries)
     best, rows = np.full((m, keep), -np.inf), np.full((m, keep), -1, np.int64)
     lengths = np.sqrt((queries * queries).sum(axis=1))
     scale = np.divide(tree.reach, lengths, out=np.zeros(m), where=lengths > 0)
     slack = 1e-7 * max(tree.reach, 1e-300)
+    # sums in another order differ by some units in the last place
+    floor = np.full(m, -np.inf) if floor is None else floor - 1e-9 * tree.reach * lengths
     done = 0
 
+    def last(q: np.ndarray) -> np.ndarray:
+        return np.maximum(best[q, -1], floor[q])
+
     def take(q: np.ndarray, products: np.ndarray, lo: int) -> None:
         nonlocal done
         done += products.size
-        good = (products >= best[q, -1][:, None]).sum(axis=1)
+        good = (products >= last(q)[:, None]).sum(axis=1)
         some = good > 0
         q, products = q[some], products[some]
         if len(q):
@@ -122,8 +130,9 @@ def search(tree: Tree, queries: np.ndarray, keep: int, factor: float) -> tuple[n
         first = dist * 2 < middle + beyond
 
         def go(to: int, which: np.ndarray) -> None:
-            bound = factor * lifted(best[q, -1] * scale[q], tree.reach) + slack
-            which = which & ((low[to] <= bound) | ~np.isfinite(best[q, -1]))
+            worst = last(q)
+            bound = factor * lifted(worst * scale[q], tree.reach) + slack
+            which = which & ((low[to] <= bound) | ~np.isfinite(worst))
             if which.any():
                 visit(to, q[which])
 
@@ -164,42 +173,95 @@ def _shards(keep: int):
     return run
 
 
+class _Group:
+    """Queries that meet the trees of a bucket one after the other, with the ``k`` best rows found so far."""
+
+    def __init__(self, k: int, factor: float):
+        self.k, self.factor = k, factor
+        self.batches: list[pa.RecordBatch] = []
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # query's place, vec_id, score
+
+    def ask(self, batch: pa.RecordBatch) -> None:
+        self.batches.append(batch)
+
+    def _asked(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and vectors of the queries of one length."""
+        if not hasattr(self, "queries"):
+            self.queries = pa.Table.from_batches(self.batches).combine_chunks()
+            self.ids = self.queries.column("query_id").to_numpy()
+            self.widths = self.queries.column("width").to_numpy()
+            self.floor = np.full(len(self.ids), -np.inf)
+        if width not in self.by_width:
+            mine = self.widths == width
+            vectors = matrix(self.queries.filter(pa.array(mine)).column("v").combine_chunks(), np.float64) if mine.any() else np.empty((0, width))
+            self.by_width[width] = np.flatnonzero(mine), vectors
+        return self.by_width[width]
+
+    def meet(self, width: int, blob: bytes) -> None:
+        place, vectors = self._asked(width)
+        if not len(place):
+            return
+        data = np.load(io.BytesIO(blob))
+        tree = Tree(*[data[f] for f in Tree._fields])
+        tree = tree._replace(reach=float(tree.reach))
+        ids, starts = data["ids"], data["starts"]
+        # One point may be the query's own, and k + 1 points hold k ids of others however products tie.
+        _, rows, _ = search(tree, vectors, self.k + 1, self.factor, self.floor[place])
+        q, at = np.nonzero(rows >= 0)
+        rows = rows[q, at]
+        places = np.empty(len(tree.points), np.int64)
+        places[tree.order] = np.arange(len(tree.points))
+        score = np.zeros(len(q))
+        for d in range(width):  # in the order of the components, so that equal vectors have equal scores
+            score += vectors[q, d] * tree.points[places[rows], d]
+        n = starts[rows + 1] - starts[rows]
+        which = np.repeat(np.arange(len(q)), n)
+        found = ids[np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        q, score = place[q[which]], score[which]
+        other = found != self.ids[q]
+        new = q[other], found[other], score[other]
+        q, found, score = (np.concatenate(pair) for pair in zip(self.best, new, strict=True))
+        by = np.lexsort((found, -score, q))
+        q, found, score = q[by], found[by], score[by]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.floor[q[rank == self.k - 1]] = score[rank == self.k - 1]
+        self.best = tuple(x[rank < self.k] for x in (q, found, score))
+
+    def answer(self) -> pa.RecordBatch:
+        q, found, score = self.best
+        asked = self.queries.take(pa.array(q)) if len(q) else None
+        if asked is None:
+            arrays = [pa.array([], pa.int64()), pa.array([], pa.int64())]
+        else:
+            arrays = [asked.column(c).combine_chunks() for c in ("query_id", "query")]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(found), pa.array(score)], names=["query_id", "query", "vec_id", "score"])
+
+
 def _nearest(k: int, factor: float):
-    names, kinds = ["query_id", "query", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    """Over rows in the order (bucket, part, queries first): one group of queries and one tree are held at a time."""
 
-    def run(trees: pa.Table, queries: pa.Table) -> pa.Table:
-        parts = []
-        for width, blob in zip(trees.column("width").to_pylist(), trees.column("tree").to_pylist(), strict=True):
-            own = queries.filter(pa.array(queries.column("width").to_numpy() == width)).combine_chunks()
-            if not own.num_rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            data = np.load(io.BytesIO(blob))
-            tree = Tree(*[data[f] for f in Tree._fields])
-            tree = tree._replace(reach=float(tree.reach))
-            ids, starts = data["ids"], data["starts"]
-            vectors = matrix(own.column("v").combine_chunks(), np.float64)
-            # One point may be the query's own, and k + 1 points hold k ids of others however products tie.
-            _, rows, _ = search(tree, vectors, k + 1, factor)
-            q, at = np.nonzero(rows >= 0)
-            rows = rows[q, at]
-            places = np.empty(len(tree.points), np.int64)
-            places[tree.order] = np.arange(len(tree.points))
-            score = np.zeros(len(q))
-            for d in range(width):  # in the order of the components, so that equal vectors have equal scores
-                score += vectors[q, d] * tree.points[places[rows], d]
-            n = starts[rows + 1] - starts[rows]
-            which = np.repeat(np.arange(len(q)), n)
-            found = ids[np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            q, score = q[which], score[which]
-            query_id = own.column("query_id").to_numpy()[q]
-            other = found != query_id
-            q, score, found = q[other], score[other], found[other]
-            by = np.lexsort((found, -score, q))
-            q, score, found = q[by], score[by], found[by]
-            top = np.arange(len(q)) - np.searchsorted(q, q) < k
-            q, score, found = q[top], score[top], found[top]
-            parts.append(pa.table([pa.array(own.column("query_id").to_numpy()[q]), pa.array(own.column("query").to_numpy()[q]), pa.array(found), pa.array(score)], names=names))
-        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in kinds], names=names)
+            bucket, part, trees = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "part", "is_tree"))
+            change = (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (trees[1:] != trees[:-1])
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            for start, end in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+                if key != (now := (bucket[start], part[start])):
+                    if group is not None:
+                        yield group.answer()
+                    key, group = now, _Group(k, factor)
+                some = batch.slice(start, end - start)
+                if not trees[start]:
+                    group.ask(some.select(["query_id", "query", "width", "v"]))
+                elif group.batches:
+                    for width, blob in zip(some.column("width"), some.column("tree"), strict=True):
+                        group.meet(width.as_py(), blob.as_py())
+        if group is not None:
+            yield group.answer()
 
     return run
 
@@ -208,10 +270,11 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     """The ``k`` rows of largest inner product for each query row: query_id, rank, vec_id, score.
 
     All rows are dealt into shards, and each shard becomes one vantage-point tree, written as a row of an index table.
-    Queries in groups of about ``GROUP`` meet every tree in a cogroup on (bucket of trees, group); a window keeps the best.
-    So a task holds some trees and one group of queries at a time, and equal vectors, however many, are one point of
-    a tree with its k + 1 smallest ids, which is all a query can need. ``factor`` 1 is exact; below it more is left
-    out (see ``search``).
+    Queries go in groups of about ``GROUP``. Each group meets every tree: the trees are dealt into as many buckets as
+    keep the cores busy, and a task takes one group through the trees of one bucket, so that the best found so far
+    prunes the next tree and one list of ``k`` per (query, bucket) goes on to a window that keeps the best. As groups
+    grow in number with the queries, buckets get fewer. Equal vectors, however many, are one point of a tree with its
+    k + 1 smallest ids, which is all a query can need. ``factor`` 1 is exact; below it more is left out (``search``).
 
     * Rows whose vector is null, empty, all zero, or holds a null, NaN or infinite component take no part, nor do rows
       without id. Vectors are compared with vectors of their own length only.
@@ -223,14 +286,18 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     if not 0 < factor <= 1:
         raise ValueError("factor is above 0 and at most 1")
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & is_clean(F.col("v")) & F.exists("v", lambda x: x != 0))
     rows = rows.groupBy("vec_id", "v").agg(F.first(F.size("v")).alias("width"))
     trees = durable(rows.mapInArrow(_shards(k + 1), "width int, tree binary"), "trees")
     queries = durable(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", "width", F.xxhash64("vec_id", "v").alias("query")), "queries")
-    buckets, groups = max(1, trees.count()), max(1, -(-queries.count() // GROUP))
+    n_trees, groups = trees.count(), max(1, -(-queries.count() // GROUP))
+    buckets = max(1, min(n_trees, -(-2 * spark.sparkContext.defaultParallelism // groups)))
     spread = trees.withColumn("bucket", F.pmod(F.xxhash64("tree"), F.lit(buckets)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = queries.withColumn("part", F.pmod(F.col("query"), F.lit(groups)).cast("int")).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    found = spread.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part")).applyInArrow(_nearest(k, factor), "query_id bigint, query bigint, vec_id bigint, score double")
+    met = asked.withColumn("is_tree", F.lit(False)).unionByName(spread.withColumn("is_tree", F.lit(True)), allowMissingColumns=True)
+    met = met.repartition(buckets * groups, "bucket", "part").sortWithinPartitions("bucket", "part", "is_tree")
+    found = met.mapInArrow(_nearest(k, factor), "query_id bigint, query bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
