@@ -234,12 +234,27 @@ def held_out(doc_id: str = "doc_id", mod: int = 5, rest: int = 0):
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Fit on the labelled documents that are not held out and predict all; adds held_out, lang_pred, score, bits_per_byte."""
+    """Fit on the labelled documents that are not held out and predict all; adds held_out, lang_pred, score, bits_per_byte.
+
+    Columns of ``docs`` with one of these names are replaced. Null ids count as the empty text in the checksum, null
+    texts and labels teach nothing. An empty table gives an empty one, one without labels ``und`` throughout.
+    """
     flagged = docs.withColumn("held_out", held_out())
     return predict(flagged, fit(sample(flagged.where("NOT held_out"))))
 
 
 def keep_known(docs: DataFrame, most_bits: float = REJECT_BITS) -> DataFrame:
-    """The documents in some learned language; a null lang is filled with the prediction."""
-    found = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= most_bits))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """The documents in some learned language; a null lang is filled with the prediction.
+
+    Where no language can be learned (no labelled text, an empty table) nothing is rejected and all rows pass as they
+    are. Rows with equal ids are judged each. All columns of ``docs`` stay, whatever their names.
+    """
+    made = {"held_out", "lang_pred", "score", "bits_per_byte"}
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c.lower() in made}
+    flagged = docs.withColumnsRenamed(own).withColumn("held_out", held_out())
+    trees = fit(sample(flagged.where("NOT held_out")))
+    if not trees.langs:
+        return docs
+    found = predict(flagged, trees).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= most_bits))
+    found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return found.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -232,13 +232,8 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (signed) and component_id of every row of ``docs`` (doc_id, text).
-
-    ``component_id`` is the smallest doc_id reachable over links of up to ``radius`` bits, null ids not counting
-    (a component of null ids only has a null one). Equal rows give equal results; an empty table an empty one. Texts
-    without words have the fingerprint 0 and are linked like others.
-    """
+def _grouped(docs: DataFrame, size: int, radius: int) -> DataFrame:
+    """doc_id, fp, root (the same for all rows of a component) and component_id of every row."""
     printed = durable(fingerprints(docs.select("doc_id", "text"), size=size).select("doc_id", "fp"), "fingerprints")
     distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), radius))
@@ -246,19 +241,40 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = durable(named, "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return printed.join(named, "fp").select("doc_id", "fp", "component_id")
+    return printed.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp (signed) and component_id of every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest doc_id reachable over links of up to ``radius`` bits, null ids not counting
+    (a component of null ids only has a null one). Equal rows give equal results; an empty table an empty one. Texts
+    without words have the fingerprint 0 and are linked like others. Further columns are left out.
+    """
+    return _grouped(docs, size, radius).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id.
+    """One document of each near-duplicate group: that with the smallest id, all columns of ``docs``.
 
-    Of rows that share this id the least by their other columns stays. A document without an id is never
-    the one that stands for a group, and as it cannot be named it is kept.
+    A group's document is named by its id and its fingerprint, so unlike texts that share an id are told apart. Of rows
+    that share both, the least by their other columns stays. A document without an id never stands for a group,
+    and as it cannot be named it is kept. An empty table gives an empty one. Columns may have any names.
     """
-    groups = near_duplicates(docs, size, radius)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    groups = durable(_grouped(docs, size, radius).where("doc_id IS NOT NULL").select("doc_id", "fp", "root"), "groups")
+    stay = groups.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("_one")).select("_one.*")
+    several = groups.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
     rest = [c for c in docs.columns if c != "doc_id"]
-    first = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    first = first.select("doc_id", *[F.col(f"_row.`{c}`") for c in rest]).select(*docs.columns)
-    return first.unionByName(docs.where("doc_id IS NULL"))
+
+    def least(rows: DataFrame, keys: list) -> DataFrame:
+        first = rows.groupBy(*keys).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
+        return first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns])
+
+    one = stay.join(several, "doc_id", "left_anti").select("doc_id")
+    plain = least(docs.join(one, "doc_id", "left_semi"), ["doc_id"])
+    # the texts of shared ids are fingerprinted again, beside the columns they came with
+    shared = docs.join(several, "doc_id", "left_semi").select(F.col("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"))
+    marked = fingerprints(shared, size=size).join(stay, ["doc_id", "fp"], "left_semi")
+    told = marked.groupBy("doc_id", "fp").agg(F.min("_row").alias("_row"))
+    told = told.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns])
+    return plain.unionByName(told).unionByName(docs.where("doc_id IS NULL"))
