@@ -1,4 +1,4 @@
-"""MsgPack for whole Arrow batches, written on top of ``struct``.
+"""MsgPack values one by one, written on top of ``struct``; the columnar forms are in ``packing`` and ``decoding``.
 
 Values follow the schema of the column: structs and maps become MsgPack maps,
 arrays become arrays, doubles 64-bit floats and floats 32-bit floats.
@@ -8,10 +8,6 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 _SMALL_MAP, _SMALL_ARRAY, _SMALL_TEXT = 0x80, 0x90, 0xA0
 # Format codes of the MsgPack specification, size in bytes and struct code.
 _UINTS = [(0xCC, ">B", 1 << 8), (0xCD, ">H", 1 << 16), (0xCE, ">I", 1 << 32), (0xCF, ">Q", 1 << 64)]
@@ -154,22 +150,3 @@ def unpack_from(buf: bytes, pos: int = 0):
 
 def unpack(buf: bytes):
     return unpack_from(bytes(buf))[0]
-
-
-def _shape(buf) -> str | None:
-    if buf is None:
-        return None
-    try:
-        return "map" if isinstance(unpack(buf), dict) else "other"
-    except (ValueError, struct.error, TypeError, RecursionError):
-        return "bad"
-
-
-def msgpack_kind(payload: Column) -> Column:
-    """'map', 'other' or 'bad' for MsgPack bytes."""
-
-    @F.pandas_udf("string")
-    def shape(col: pd.Series) -> pd.Series:
-        return col.map(_shape)
-
-    return shape(payload)

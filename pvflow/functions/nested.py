@@ -16,18 +16,6 @@ from pyspark.sql import types as T
 PRINCIPAL = ["value", "timeStamp", "alarm"]
 ADDITIONAL = ["display", "control", "valueAlarm"]
 
-_ALARM_LIMITS = "lowAlarmLimit DOUBLE, lowWarningLimit DOUBLE, highWarningLimit DOUBLE, highAlarmLimit DOUBLE"
-_SEVERITIES = "lowAlarmSeverity INT, lowWarningSeverity INT, highWarningSeverity INT, highAlarmSeverity INT"
-NT_SCALAR = f"""STRUCT<
-  value: DOUBLE,
-  alarm: STRUCT<severity: INT, status: INT, message: STRING>,
-  timeStamp: STRUCT<secondsPastEpoch: BIGINT, nanoseconds: INT, userTag: INT>,
-  display: STRUCT<limitLow: DOUBLE, limitHigh: DOUBLE, description: STRING, units: STRING, precision: INT,
-                  form: STRUCT<index: INT>>,
-  control: STRUCT<limitLow: DOUBLE, limitHigh: DOUBLE, minStep: DOUBLE>,
-  valueAlarm: STRUCT<active: INT, {_ALARM_LIMITS.replace(' DOUBLE', ': DOUBLE')},
-                     {_SEVERITIES.replace(' INT', ': INT')}, hysteresis: DOUBLE>>"""
-
 
 def struct_type(df: DataFrame, path: str) -> T.StructType:
     kind = df.select(path).schema[0].dataType
@@ -43,11 +31,6 @@ def pick_fields(df: DataFrame, path: str, fields: Sequence[str]) -> Column:
     return F.when(data.isNotNull(), F.struct(*[data[f].alias(f) for f in have]))
 
 
-def fields_for(df: DataFrame, path: str, provider: str) -> Column:
-    """What a provider delivers: ca the two field groups, pva everything."""
-    return F.col(path) if provider == "pva" else pick_fields(df, path, [*PRINCIPAL, *ADDITIONAL])
-
-
 def keep_fields(df: DataFrame, path: str, wanted: Column) -> Column:
     """Row-wise field filter: fields outside the array ``wanted`` become null; an empty array keeps all."""
     data = F.col(path)

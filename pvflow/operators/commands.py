@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvflow.functions import variants as V
-from pvflow.functions.msgpack import msgpack_kind
+from pvflow.functions.packing import msgpack_kind
 from pvflow.functions.names import is_pv_uri, pv_parts, pv_topic, snapshot_topic
 from pvflow.operators.asof import asof_join
 
@@ -186,17 +186,21 @@ def dispatch(decoded: DataFrame) -> DataFrame:
 
 
 def monitor_requests(decoded: DataFrame) -> DataFrame:
-    """One row per subscription a monitor or multi-monitor command asks for."""
+    """One row per subscription a monitor or multi-monitor command asks for, by the plain PV name.
+
+    A multi-monitor writes each PV to a topic of its own name. What is no PV URI subscribes to nothing.
+    """
     single = decoded.where("status = 'valid' AND kind = 'monitor'").select(
-        "cmd_seq", "ts_us", "pv_name", F.col("monitor_dest_topic").alias("channel_destination"), "serialization"
+        "cmd_seq", "ts_us", F.col("pv_name").alias("uri"), F.col("monitor_dest_topic").alias("channel_destination"), "serialization"
+    )
+    several = decoded.where("status = 'valid' AND kind = 'multi-monitor'").select(
+        "cmd_seq", "ts_us", F.explode("pv_name_list").alias("uri"), "serialization"
     )
-    several = (
-        decoded.where("status = 'valid' AND kind = 'multi-monitor'")
-        .select("cmd_seq", "ts_us", F.explode("pv_name_list").alias("pv_name"), "serialization")
-        .where(is_pv_uri(F.col("pv_name")))
-        .withColumn("channel_destination", pv_topic(pv_parts(F.col("pv_name")).getField("name")))
+    asked = single.unionByName(several, allowMissingColumns=True).where(is_pv_uri(F.col("uri")))
+    name = pv_parts(F.col("uri"))["name"]
+    return asked.select(
+        "cmd_seq", "ts_us", name.alias("pv_name"), F.coalesce("channel_destination", pv_topic(name)).alias("channel_destination"), "serialization"
     )
-    return single.unionByName(several)
 
 
 def answered(commands: DataFrame, *also: str) -> DataFrame:
@@ -248,8 +252,8 @@ def validate_snapshot(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("error", error).withColumn("message", message)
 
 
-def snapshot_commands(decoded: DataFrame) -> DataFrame:
-    """Start, stop and trigger commands in the shape ``snapshots.lifecycle`` takes."""
+def snapshot_commands(decoded: DataFrame, *keep: str) -> DataFrame:
+    """Start, stop and trigger commands in the shape ``snapshots.lifecycle`` takes, with the columns named in ``keep``."""
     verbs = F.create_map(
         *[F.lit(x) for x in (
             "repeating_snapshot", "start", "repeating_snapshot_stop", "stop", "repeating_snapshot_trigger", "trigger",
@@ -264,6 +268,8 @@ def snapshot_commands(decoded: DataFrame) -> DataFrame:
         F.col("cmd_seq").alias("seq"),
         F.col("_verb").alias("kind"),
         F.when(F.col("_verb") == "start", F.col("error")).otherwise(0).alias("start_error"),
+        F.when(F.col("_verb") == "start", F.col("message")).alias("start_message"),
+        *keep,
     )
 
 

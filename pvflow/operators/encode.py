@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pvflow.functions.msgpack import array_head, map_head, pack, unpack
+from pvflow.functions import decoding
+from pvflow.functions import packing as P
 
 SER_JSON, SER_MSGPACK, SER_COMPACT = 1, 2, 3  # fixed values: serialization codes
 
@@ -44,126 +43,97 @@ def frame_json(value: Column) -> Column:
     return F.when(kind == 0, header).when(kind == 1, data).otherwise(tail)
 
 
-def _cells(column: pa.Array) -> list[bytes]:
-    """The MsgPack bytes of every value of an Arrow column, built child by child."""
-    kind, size = column.type, len(column)
-    if pa.types.is_struct(kind):
-        parts: list = [repeat(map_head(kind.num_fields))]
-        for i, f in enumerate(kind):
-            parts += [repeat(pack(f.name)), _cells(column.field(i))]
-        cells = [b"".join(p) for p in zip(*parts)] if kind.num_fields else [map_head(0)] * size
-    elif pa.types.is_float64(kind) or pa.types.is_float32(kind):
-        code, width = (b"\xcb", 8) if pa.types.is_float64(kind) else (b"\xca", 4)
-        raw = np.asarray(column.fill_null(0)).astype(f">f{width}").tobytes()
-        cells = [code + raw[i : i + width] for i in range(0, size * width, width)]
-    elif pa.types.is_list(kind):
-        items = _cells(column.flatten())
-        counts = column.value_lengths().fill_null(0).to_pylist()
-        cells, at = [], 0
-        for n in counts:
-            cells.append(array_head(n) + b"".join(items[at : at + n]))
-            at += n
-    elif pa.types.is_map(kind):
-        cells = [pack(None if v is None else dict(v)) for v in column.to_pylist()]
-    elif pa.types.is_decimal(kind):
-        cells = [pack(None if v is None else int(v)) for v in column.to_pylist()]
-    else:
-        cells = [pack(v) for v in column.to_pylist()]
-    if column.null_count:
-        nil = pack(None)
-        cells = [nil if null else c for c, null in zip(cells, column.is_null().to_pylist())]
-    return cells
-
-
-def _leaf_cells(column: pa.Array) -> list[list[bytes]]:
-    """Per row the cells of its leaves, depth first through structs and struct arrays."""
-    kind, size = column.type, len(column)
-    if pa.types.is_struct(kind):
-        rows: list[list[bytes]] = [[] for _ in range(size)]
-        for child in column.flatten():
-            for row, cells in zip(rows, _leaf_cells(child)):
-                row += cells
-        return rows
-    if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
-        items, rows, at = _leaf_cells(column.flatten()), [], 0
-        for n in column.value_lengths().fill_null(0).to_pylist():
-            rows.append([c for item in items[at : at + n] for c in item])
-            at += n
-        return rows
-    return [[c] for c in _cells(column)]
+def encode_union(value: Column, kind: T.DataType) -> Column:
+    """A value ready for JSON: unions give way to the selected value, as text, and union arrays are left out."""
+    if P.is_union(kind):
+        out = F.lit(None).cast("string")
+        for field in P.alternatives(kind):
+            inner = encode_union(value[field.name], field.dataType)
+            plain = isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType))
+            out = F.when(value[P.TAG] == field.name, F.to_json(inner) if plain else inner.cast("string")).otherwise(out)
+        return out
+    if isinstance(kind, T.StructType):
+        kept = [f for f in kind.fields if not (isinstance(f.dataType, T.ArrayType) and P.is_union(f.dataType.elementType))]
+        return F.when(value.isNotNull(), F.struct(*[encode_union(value[f.name], f.dataType).alias(f.name) for f in kept]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: encode_union(x, kind.elementType))
+    return value
+
+
+def msgpack_message(pv_name: Column, data: Column, kind: T.DataType, *, compact: bool = False, reply_id: Column | None = None) -> Column:
+    """MsgPack bytes of one PV value.
+
+    Full form: a map ``{[reply_id], pv: {...}}``. Compact form: an array ``[[reply_id], pv, leaf...]`` with the leaves
+    in depth-first order. An empty or null reply id is left out.
+    """
+    told = F.coalesce(reply_id != "", F.lit(False)) if reply_id is not None else None
+    if compact:
+        leaves = F.concat(F.array(P.text_hex(pv_name)), P.leaves_hex(data, kind))
+        if told is not None:
+            leaves = F.concat(F.when(told, F.array(P.text_hex(reply_id))).otherwise(F.array().cast("array<string>")), leaves)
+        return F.unhex(P.let(leaves, lambda x: F.concat(P.array_head(F.size(x)), F.array_join(x, ""))))
+    head = F.lit("81")
+    if told is not None:
+        head = F.when(told, F.concat(F.lit("82" + P.literal_hex("reply_id")), P.text_hex(reply_id))).otherwise(head)
+    return F.unhex(F.concat(head, P.text_hex(pv_name), P.value_hex(data, kind)))
 
 
 def encode_msgpack(df: DataFrame, data: str = "data", *, compact: bool = False, reply_id: str | None = None) -> DataFrame:
-    """Replace ``data`` by MsgPack bytes ``value``.
+    """Replace ``data`` by MsgPack bytes ``value``; see ``msgpack_message``."""
+    reply = F.col(reply_id) if reply_id else None
+    value = msgpack_message(F.col("pv_name"), F.col(data), df.schema[data].dataType, compact=compact, reply_id=reply)
+    return df.select(*[c for c in df.columns if c not in (data, "value")], value.alias("value"))
 
-    Full form: a map ``{[reply_id], pv: {...}}``. Compact form: an array
-    ``[[reply_id], pv, leaf...]`` with the leaves in depth-first order.
-    """
-    keep = [f for f in df.schema.fields if f.name != data]
-    schema = T.StructType([*keep, T.StructField("value", T.BinaryType())])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(data)
-            names = [pack(n) for n in batch.column("pv_name").to_pylist()]
-            replies = batch.column(reply_id).to_pylist() if reply_id else [None] * len(names)
-            out = []
-            if compact:
-                for name, reply, cells in zip(names, replies, _leaf_cells(column)):
-                    head = [pack(reply)] if reply else []
-                    out.append(b"".join([array_head(len(head) + 1 + len(cells)), *head, name, *cells]))
-            else:
-                key = pack("reply_id")
-                for name, reply, cell in zip(names, replies, _cells(column)):
-                    head = [map_head(2), key, pack(reply)] if reply else [map_head(1)]
-                    out.append(b"".join([*head, name, cell]))
-            kept = [batch.column(f.name) for f in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(out, pa.binary())], names=[*[f.name for f in keep], "value"]
-            )
+def reply_msgpack(*extra: str) -> Column:
+    """``{error, reply_id}`` plus the extra text columns that are neither null nor empty, as a MsgPack map."""
+    pairs = [("error", P.whole_hex(F.col("error"))), ("reply_id", P.text_hex(F.col("reply_id")))]
+    return P.map_bytes([*pairs, *[(c, P.text_hex(F.col(c))) for c in extra]], optional=extra)
 
-    return df.mapInArrow(rows, schema)
+
+def frame_msgpack(value: Column, kind: T.DataType) -> Column:
+    """Frame payloads by ``message_type`` as MsgPack maps: header, data (PV name -> value), tail."""
+    plain = {c: P.whole_hex(F.col(c)) for c in ("message_type", "iter_index", "timestamp")}
+    name = P.text_hex(F.col("snapshot_name"))
+    pairs = lambda *keys: [(k, plain[k]) for k in keys]
+    header = P.map_bytes([*pairs("message_type"), ("snapshot_name", name), *pairs("timestamp", "iter_index")])
+    data = P.map_bytes(pairs("message_type", "timestamp", "iter_index"), tail=[(F.col("pv_name"), P.value_hex(value, kind))])
+    error = [("error", P.whole_hex(F.col("error"))), ("error_message", P.text_hex(F.col("error_message")))]
+    tail = P.map_bytes([*pairs("message_type"), *error, *pairs("iter_index", "timestamp"), ("snapshot_name", name)], optional=["error_message"])
+    message = F.col("message_type")
+    return F.when(message == 0, header).when(message == 1, data).otherwise(tail)
 
 
-def decode_msgpack(df: DataFrame, kind: str, value: str = "value") -> DataFrame:
-    """MsgPack maps ``{pv: {...}}`` -> pv_name and ``data`` of the given schema.
+def frame_payload(value: Column, kind: T.DataType) -> Column:
+    """The bytes of a frame in the run's ``serialization``."""
+    as_json = frame_json(encode_union(value, kind)).cast("binary")
+    return F.when(F.col("serialization") == "json", as_json).otherwise(frame_msgpack(value, kind))
 
-    Keys the schema does not have are dropped, missing fields are null, bytes
-    that are no such map give null.
+
+def decode_msgpack(df: DataFrame, kind: str | T.StructType, value: str = "value") -> DataFrame:
+    """MsgPack maps ``{pv: {...}}`` -> pv_name, ``data`` of the given schema, and ``error``.
+
+    Keys the schema does not have are dropped, missing fields are null. Bytes that are no such map, or hold
+    a value that does not fit its field, give null and say why in ``error``. Columns with these names are replaced.
     """
-    keep = [f for f in df.schema.fields if f.name != value]
-    schema = T.StructType([*keep, T.StructField("pv_name", T.StringType()), T.StructField("_json", T.StringType())])
+    wanted = T.StructType.fromDDL(kind) if isinstance(kind, str) else kind
+    keep = [f for f in df.schema.fields if f.name not in (value, "pv_name", "data", "error")]
+    made = [T.StructField("pv_name", T.StringType()), T.StructField("data", wanted), T.StructField("error", T.StringType())]
+    schema = T.StructType([*keep, *made])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-        import json
-        import struct
+        for batch in batches:
+            found = decoding.columns(batch.column(value).to_pylist(), wanted)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], *found], names=schema.names)
 
-        def as_text(leaf: bytes) -> str:  # the JSON reader takes binary as base64
-            return base64.b64encode(leaf).decode()
+    return df.mapInArrow(rows, schema)
 
-        for batch in batches:
-            names, texts = [], []
-            for raw in batch.column(value).to_pylist():
-                try:
-                    fields = {k: v for k, v in unpack(raw).items() if k != "reply_id"}
-                    name, body = next(iter(fields.items()))
-                    text = json.dumps(body, default=as_text)
-                except (ValueError, TypeError, AttributeError, StopIteration, RecursionError, struct.error):
-                    name, text = None, None
-                names.append(name)
-                texts.append(text)
-            kept = [batch.column(f.name) for f in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(names, pa.string()), pa.array(texts, pa.string())],
-                names=[*[f.name for f in keep], "pv_name", "_json"],
-            )
-
-    return df.mapInArrow(rows, schema).withColumn("data", F.from_json("_json", kind)).drop("_json")
-
-
-ENCODERS = {
-    SER_JSON: lambda df: df.withColumn("value", encode_json(F.col("pv_name"), F.col("data")).cast("binary")).drop("data"),
-    SER_MSGPACK: encode_msgpack,
-    SER_COMPACT: lambda df: encode_msgpack(df, compact=True),
-}
+
+def encoders(kind: T.DataType, data: str = "data") -> dict[int, Column]:
+    """The payload of an event by serialization code, as bytes."""
+    name, value = F.col("pv_name"), F.col(data)
+    return {
+        SER_JSON: encode_json(name, encode_union(value, kind)).cast("binary"),
+        SER_MSGPACK: msgpack_message(name, value, kind),
+        SER_COMPACT: msgpack_message(name, value, kind, compact=True),
+    }

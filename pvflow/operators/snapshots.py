@@ -8,7 +8,8 @@ Input shapes
 
 A run is one (queue_name, start_us). Its windows are half open, aligned to
 start_us and numbered from 1; the last one ends at stop_us. A run with a null
-stop is still running: it takes every event, and dense results reach up to the newest one.
+stop is still running: it takes every event, and per-window results reach up to the last
+window that the newest event has passed, as only a stop flushes an unfinished one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvflow.functions.names import is_pv_uri, pv_parts
+from pvflow.operators.intervals import interval_join, interval_width
 from pvflow.operators.joins import lookup_join
 from pvflow.operators.ordered import (
     TARGET_ROWS,
@@ -74,30 +76,38 @@ def runs(members: DataFrame) -> DataFrame:
 
 
 class Span(NamedTuple):
-    """What one pass over a members table tells: its size, time range and longest run."""
+    """What one pass over a members table tells: its size, time range and longest run.
+
+    ``slice_us`` above 0 says that runs of a PV follow one another in time, as those of restarted
+    snapshots do; events then find their runs by slices of about that length, not by PV alone.
+    """
 
     rows: int
     from_us: int
     to_us: int | None  # None: some run is still open
     peak: int
+    slice_us: int = 0
 
 
-def span(members: DataFrame) -> Span:
+def span(members: DataFrame, slice_us: int = 0) -> Span:
     row = members.agg(
         F.count(F.lit(1)), F.min("start_us"), F.max("stop_us"), F.max(iteration_count()), F.count_if(F.col("stop_us").isNull())
     ).first()
-    return Span(row[0], row[1] or 0, None if row[4] else row[2] or 0, row[3] or 0)
+    return Span(row[0], row[1] or 0, None if row[4] else row[2] or 0, row[3] or 0, slice_us)
 
 
 def until_newest(events: DataFrame, members: DataFrame, known: Span | None = None) -> tuple[DataFrame, Span]:
-    """The members with every open run ended right after the newest event, and their span."""
+    """The members with every open run ended after its last finished window, and their span.
+
+    A window of an open run is finished once an event at or past its end is there.
+    """
     known = known or span(members)
     if known.to_us is not None:
         return members, known
-    newest = events.agg(F.max("ts_us")).first()[0]
-    end = F.greatest(F.lit(newest).cast("bigint") + 1, F.col("start_us"))
-    ended = members.withColumn("stop_us", F.coalesce("stop_us", end, "start_us"))
-    return ended, span(ended)
+    newest = F.lit(events.agg(F.max("ts_us")).first()[0]).cast("bigint")
+    finished = F.call_function("div", F.greatest(newest - F.col("start_us"), F.lit(0).cast("bigint")), window_us())
+    ended = members.withColumn("stop_us", F.coalesce("stop_us", F.col("start_us") + finished * window_us(), "start_us"))
+    return ended, span(ended, known.slice_us)
 
 
 def route(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
@@ -109,14 +119,16 @@ def route(events: DataFrame, members: DataFrame, known: Span | None = None) -> D
     live = events.where(F.col("ts_us") >= known.from_us)
     if known.to_us is not None:
         live = live.where(F.col("ts_us") <= known.to_us)
+    if known.slice_us:
+        return interval_join(live, members, ["pv_name"], width=known.slice_us)
     routed = lookup_join(live, members, ["pv_name"], rows=known.rows)
     return routed.where("ts_us >= start_us AND (stop_us IS NULL OR ts_us < stop_us)")
 
 
-def buffered(events: DataFrame, members: DataFrame) -> DataFrame:
+def buffered(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
     """Every event of every window, each once, with its iteration and sub-window push."""
     push_us = F.greatest(push_delay_msec() * 1000, F.lit(1))
-    rows = route(events, members).withColumn("iter_index", iteration())
+    rows = route(events, members, known).withColumn("iter_index", iteration())
     return rows.withColumn("sub_index", F.call_function("div", F.col("ts_us") - window_start(), push_us))
 
 
@@ -147,13 +159,13 @@ def _fill(latest: DataFrame, keys: list[str], last_iter: Column, width: int) ->
     return explode_range(filled, F.col("from_iter"), upto, "iter_index").drop("next_iter")
 
 
-def normal(events: DataFrame, members: DataFrame) -> DataFrame:
+def normal(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
     """Per iteration the last value of every PV seen so far (carried forward).
 
     Only the last event per (PV, window) is shuffled; the dense result is
     written from it without a grid join. ``carried`` marks repeated values.
     """
-    members, known = until_newest(events, members)
+    members, known = until_newest(events, members, known)
     latest = _latest_per_window(events, members, known)
     filled = _fill(latest, [*RUN, "pv_name"], iteration_count(), _iteration_slice(known))
     return filled.withColumn("carried", F.col("iter_index") > F.col("from_iter")).drop("from_iter")
@@ -209,8 +221,10 @@ class Plan(NamedTuple):
     width: int
 
 
-def plan_triggers(events: DataFrame, members: DataFrame, triggers: DataFrame, target_rows: int = TARGET_ROWS) -> Plan:
-    known = span(members)
+def plan_triggers(
+    events: DataFrame, members: DataFrame, triggers: DataFrame, target_rows: int = TARGET_ROWS, known: Span | None = None
+) -> Plan:
+    known = known or span(members)
     times = events.select("ts_us").unionAll(triggers.select(F.col("trigger_us").alias("ts_us")))
     return Plan(known, triggers.count() + known.rows, slice_width(times, "ts_us", target_rows))
 
@@ -218,8 +232,11 @@ def plan_triggers(events: DataFrame, members: DataFrame, triggers: DataFrame, ta
 def number_triggers(triggers: DataFrame, members: DataFrame, plan: Plan, flush_on_stop: bool) -> DataFrame:
     """Triggers of each run, numbered from 1; a stop counts as a last trigger."""
     live = runs(members).select(*RUN, "stop_us")
-    fired = lookup_join(triggers, live, ["queue_name"], rows=plan.members.rows)
-    fired = fired.where("trigger_us >= start_us AND (stop_us IS NULL OR trigger_us < stop_us)")
+    if plan.members.slice_us:
+        fired = interval_join(triggers, live, ["queue_name"], at="trigger_us", width=plan.members.slice_us)
+    else:
+        fired = lookup_join(triggers, live, ["queue_name"], rows=plan.members.rows)
+        fired = fired.where("trigger_us >= start_us AND (stop_us IS NULL OR trigger_us < stop_us)")
     fired = fired.select(*RUN, "trigger_us", F.col("trigger_seq").alias("_seq"))
     if flush_on_stop:
         stops = live.where("stop_us IS NOT NULL").select(*RUN, F.col("stop_us").alias("trigger_us"), F.lit(2**62).alias("_seq"))
@@ -375,15 +392,27 @@ def frames(data: DataFrame, stamps: DataFrame) -> DataFrame:
     return body.unionByName(header, allowMissingColumns=True).unionByName(tail, allowMissingColumns=True)
 
 
-def normal_frames(events: DataFrame, members: DataFrame) -> DataFrame:
-    members, _ = until_newest(events, members)
-    data = normal(events, members).withColumn("sub_index", F.lit(0).cast("bigint")).withColumn("to_us", window_end())
+def normal_frames(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
+    members, known = until_newest(events, members, known)
+    data = normal(events, members, known).withColumn("sub_index", F.lit(0).cast("bigint")).withColumn("to_us", window_end())
     return frames(data, windows(members))
 
 
-def buffered_frames(events: DataFrame, members: DataFrame) -> DataFrame:
-    members, _ = until_newest(events, members)
-    return frames(buffered(events, members).withColumn("to_us", window_end()), windows(members))
+def buffered_frames(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
+    members, known = until_newest(events, members, known)
+    return frames(buffered(events, members, known).withColumn("to_us", window_end()), windows(members))
+
+
+def triggered_frames(
+    events: DataFrame, members: DataFrame, triggers: DataFrame, buffer: bool, *, plan: Plan | None = None
+) -> DataFrame:
+    """One iteration per trigger, stamped with its time; the stop of a run fires a last time."""
+    plan = plan or plan_triggers(events, members, triggers)
+    snapshot = triggered_buffered if buffer else triggered_normal
+    zero = F.lit(0).cast("bigint")
+    data = snapshot(events, members, triggers, plan=plan).withColumn("sub_index", zero).withColumn("to_us", F.col("trigger_us"))
+    fired = number_triggers(triggers, members, plan, True).select(*RUN, "iter_index", F.col("trigger_us").alias("to_us"))
+    return frames(data, lookup_join(fired, runs(members).select(*RUN, "snapshot_name"), RUN, rows=plan.members.rows))
 
 
 def once(events: DataFrame, requests: DataFrame, *, width: int | None = None) -> DataFrame:
@@ -487,6 +516,30 @@ def lifecycle(commands: DataFrame, *, width: int | None = None) -> DataFrame:
     return seen.withColumn("error", error.cast("int")).withColumn("outcome", outcome).drop("_state")
 
 
+# The texts around the snapshot's name in the reply to each outcome.
+OUTCOME_TEXTS = {
+    "already running": ("Snapshot ", " is already running"),
+    "stopped": ("Snapshot '", "' has been stopped"),
+    "already stopped": ("Snapshot '", "' is already stopped"),
+    "armed": ("Snapshot '", "' has been armed"),
+    "not found": ("Snapshot '", "' has not been found"),
+}
+UNNAMED_TEXT = "The snapshot name is empty"
+
+
+def lifecycle_replies(replies: DataFrame) -> DataFrame:
+    """What each command is told: ``message``, and for a started snapshot the ``publishing_topic``.
+
+    replies: out of ``lifecycle``, with ``start_message`` (what the checks of a start say).
+    """
+    name, outcome, start = F.col("snapshot_name"), F.col("outcome"), F.col("kind") == "start"
+    message = F.when(start, F.col("start_message")).otherwise(UNNAMED_TEXT)
+    for word, (head, tail) in OUTCOME_TEXTS.items():
+        message = F.when(outcome == word, F.concat(F.lit(head), name, F.lit(tail))).otherwise(message)
+    topic = F.when(outcome == "started", F.col("queue_name")).otherwise("")
+    return replies.withColumn("message", message).withColumn("publishing_topic", topic)
+
+
 def run_intervals(replies: DataFrame, *, width: int | None = None) -> DataFrame:
     """``[start_us, stop_us)`` of every run out of ``lifecycle``; a run still open has no stop."""
     edges = replies.where("outcome IN ('started', 'stopped')")
@@ -495,3 +548,34 @@ def run_intervals(replies: DataFrame, *, width: int | None = None) -> DataFrame:
         width = slice_width(edges, "ts_us")
     paired = carry(edges, ["queue_name"], "ts_us", ["seq"], stop_at, "stop_us", width=width, strict=True, backward=True)
     return paired.where("outcome = 'started'").withColumnRenamed("ts_us", "start_us").drop("outcome", "error", "kind")
+
+
+def members_of(runs_: DataFrame) -> DataFrame:
+    """One row per (run, PV) of runs that carry ``pv_name_list``; a PV named twice counts once."""
+    names = F.array_distinct(F.transform("pv_name_list", lambda u: pv_parts(u)["name"]))
+    return runs_.withColumn("pv_name", F.explode(names)).drop("pv_name_list")
+
+
+def command_frames(events: DataFrame, replies: DataFrame, *, width: int | None = None) -> DataFrame:
+    """Frames of all snapshots that a history of commands starts, stops and triggers.
+
+    replies: out of ``lifecycle``, with the columns of the definitions (``pv_name_list``, ``time_window_msec``,
+    ``sub_push_delay_msec``, ``triggered``, ``snapshot_type``, ``serialization``). It is read several times; pass a written table. The
+    frames of timed and triggered, last-value and buffered runs come as one table, with the run's ``serialization``.
+    """
+    started = run_intervals(replies, width=width)
+    every = members_of(started)
+    slice_us = interval_width(started, "start_us", "stop_us")
+    armed = replies.where("outcome = 'armed'").select("queue_name", F.col("ts_us").alias("trigger_us"), F.col("seq").alias("trigger_seq"))
+    parts = []
+    for kind in ("Normal", "TimedBuffered"):
+        own = every.where(F.col("snapshot_type") == kind)
+        timed, fired = (own.where(c).drop("seq", "ts_us") for c in (~F.col("triggered"), F.col("triggered")))
+        make = buffered_frames if kind == "TimedBuffered" else normal_frames
+        parts.append(make(events, timed, span(timed, slice_us)))
+        plan = plan_triggers(events, fired, armed, known=span(fired, slice_us))
+        parts.append(triggered_frames(events, fired, armed, kind == "TimedBuffered", plan=plan))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return lookup_join(out, started.select(*RUN, "serialization"), RUN)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pvflow.functions import nested as N
+from pvflow.functions import packing as PK
 from pvflow.operators import commands as C
 from pvflow.operators import encode as E
 from pvflow.operators import latest as L
@@ -211,7 +212,7 @@ _NT_JSON = """'{"value":' || CASE WHEN seq % 50 = 0 THEN '"NaN"' ELSE CAST(value
   || ',"userTag":' || tag || '}}'"""
 
 
-def _principal(spark, sf):
+def principal(spark, sf):
     df = T.nt_events(spark, sf)
     return df.withColumn("data", N.pick_fields(df, "data", ["value", "alarm", "timeStamp"]))
 
@@ -219,7 +220,7 @@ def _principal(spark, sf):
 @query("encode_json", with_ctes(S.SPARSE, NT, body=f"""
 SELECT seq, CASE WHEN seq % 2 = 0 THEN '{{"reply_id":"r' || seq || '",' ELSE '{{' END || '"' || pv_name || '":' || {_NT_JSON} || '}}' AS payload FROM nt"""))
 def encode_json(spark, sf):
-    df = _principal(spark, sf)
+    df = principal(spark, sf)
     nan = F.when(F.col("seq") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("data.value"))
     df = df.withColumn("data", F.col("data").withField("value", nan))
     pv, data = F.col("pv_name"), F.col("data")
@@ -227,15 +228,61 @@ def encode_json(spark, sf):
     return df.select("seq", F.when(F.col("seq") % 2 == 0, with_id).otherwise(E.encode_json(pv, data)).alias("payload"))
 
 
-@query("encode_msgpack")
+_LEAVES = [S.mp_double("value"), S.mp_int("severity"), S.mp_int("status"), S.mp_text("message"), S.mp_int("sec"), S.mp_int("nanos"), S.mp_int("tag")]
+_NT_PACK = S.mp_map(
+    value=_LEAVES[0],
+    alarm=S.mp_map(severity=_LEAVES[1], status=_LEAVES[2], message=_LEAVES[3]),
+    timeStamp=S.mp_map(secondsPastEpoch=_LEAVES[4], nanoseconds=_LEAVES[5], userTag=_LEAVES[6]),
+)
+NT_FULL = f"'81' || {S.mp_text('pv_name')} || {_NT_PACK}"
+NT_COMPACT = f"'98' || {S.mp_text('pv_name')} || " + " || ".join(_LEAVES)
+NT_JSON = """'{"' || pv_name || '":{"value":' || value || ',"alarm":{"severity":' || severity || ',"status":' || status || ',"message":"' || message
+  || '"},"timeStamp":{"secondsPastEpoch":' || sec || ',"nanoseconds":' || nanos || ',"userTag":' || tag || '}}}'"""
+
+
+@query("encode_msgpack", with_ctes(S.SPARSE, NT, body=f"SELECT pv_name, seq, {(NT_FULL)} AS payload FROM nt"))
 def encode_msgpack(spark, sf):
-    return E.encode_msgpack(_principal(spark, sf)).select("pv_name", "seq", F.base64("value").alias("payload"))
+    return E.encode_msgpack(principal(spark, sf)).select("pv_name", "seq", F.hex("value").alias("payload"))
 
 
-@query("encode_compact")
+@query("encode_compact", with_ctes(S.SPARSE, NT, body=f"SELECT pv_name, seq, {(NT_COMPACT)} AS payload FROM nt"))
 def encode_compact(spark, sf):
-    out = E.encode_msgpack(_principal(spark, sf), compact=True)
-    return out.select("pv_name", "seq", F.base64("value").alias("payload"))
+    out = E.encode_msgpack(principal(spark, sf), compact=True)
+    return out.select("pv_name", "seq", F.hex("value").alias("payload"))
+
+
+_CHOSEN = "CASE WHEN seq % 5 = 4 THEN NULL WHEN seq % 2 = 0 THEN 'num' ELSE 'text' END"
+_UNION_SQL = f"(CASE WHEN seq % 5 = 4 THEN '81A0C0' WHEN seq % 2 = 0 THEN {S.mp_map(num=S.mp_int('status'))} ELSE {S.mp_map(text=S.mp_text('message'))} END)"
+_UNION_BODY = S.mp_map(value=_UNION_SQL, list=f"'92' || {_UNION_SQL} || {S.mp_map(num=S.mp_int('tag'))}", id=S.mp_int("seq"))
+
+
+def union_events(spark, sf):
+    """Events whose value is a union of a number and a text, and that carry a list of two such unions."""
+    kind = PK.union_type(num="INT", text="STRING")
+    chosen, absent = F.expr(_CHOSEN), F.lit(None).cast("string")
+    number = F.when(chosen == "num", F.col("data.alarm.status"))
+    text = F.when(chosen == "text", F.col("data.alarm.message"))
+    union = F.struct(chosen.alias(PK.TAG), number.alias("num"), text.alias("text")).cast(kind)
+    other = F.struct(F.lit("num").alias(PK.TAG), F.col("data.timeStamp.userTag").alias("num"), absent.alias("text")).cast(kind)
+    data = F.struct(union.alias("value"), F.array(union, other).alias("list"), F.col("seq").alias("id"))
+    return T.nt_events(spark, sf).select("pv_name", "seq", data.alias("data"))
+
+
+@query("encode_union", with_ctes(S.SPARSE, NT, body=f"""
+SELECT seq, {(f"'81' || {S.mp_text('pv_name')} || {_UNION_BODY}")} AS packed,
+  {(f"'92' || {S.mp_text('pv_name')} || {S.mp_int('seq')}")} AS compact,
+  '{{"' || pv_name || '":{{' || CASE WHEN seq % 5 = 4 THEN '' WHEN seq % 2 = 0 THEN '"value":"' || status || '",' ELSE '"value":"' || message || '",' END
+    || '"id":' || seq || '}}}}' AS json FROM nt"""))
+def encode_union(spark, sf):
+    """Unions as one-entry maps in MsgPack; JSON shows the selected value, the compact form leaves them out."""
+    df = union_events(spark, sf)
+    pv, data, kind = F.col("pv_name"), F.col("data"), df.schema["data"].dataType
+    return df.select(
+        "seq",
+        F.hex(E.msgpack_message(pv, data, kind)).alias("packed"),
+        F.hex(E.msgpack_message(pv, data, kind, compact=True)).alias("compact"),
+        E.encode_json(pv, E.encode_union(data, kind)).alias("json"),
+    )
 
 
 _KIND = "value DOUBLE, alarm STRUCT<severity: INT, message: STRING>, timeStamp STRUCT<secondsPastEpoch: BIGINT>, missing STRING"
@@ -244,7 +291,7 @@ _KIND = "value DOUBLE, alarm STRUCT<severity: INT, message: STRING>, timeStamp S
 @query("decode_job", with_ctes(S.SPARSE, NT, body="""
 SELECT seq, pv_name, value, severity, message, sec, CAST(NULL AS VARCHAR) AS missing FROM nt"""))
 def decode_job(spark, sf):
-    packed = E.encode_msgpack(_principal(spark, sf)).select("seq", "value")
+    packed = E.encode_msgpack(principal(spark, sf)).select("seq", "value")
     return E.decode_msgpack(packed, _KIND).select(
         "seq",
         "pv_name",
@@ -256,6 +303,27 @@ def decode_job(spark, sf):
     )
 
 
+@query("decode_union", with_ctes(S.SPARSE, NT, body=f"""
+SELECT seq, pv_name, {_CHOSEN} AS tag, CASE WHEN {_CHOSEN} = 'num' THEN status END AS num, CASE WHEN {_CHOSEN} = 'text' THEN message END AS text,
+  CAST(2 AS INTEGER) AS n_list, tag AS last_num, seq AS id FROM nt"""))
+def decode_union(spark, sf):
+    """Unions through MsgPack and back by their schema."""
+    df = union_events(spark, sf)
+    packed = E.encode_msgpack(df).select("value")
+    back = E.decode_msgpack(packed, df.schema["data"].dataType)
+    value, last = F.col("data.value"), F.element_at("data.list", -1)
+    return back.select(
+        F.col("data.id").alias("seq"),
+        "pv_name",
+        value[PK.TAG].alias("tag"),
+        value["num"].alias("num"),
+        value["text"].alias("text"),
+        F.size("data.list").alias("n_list"),
+        last["num"].alias("last_num"),
+        F.col("data.id").alias("id"),
+    )
+
+
 @query("reply_json", with_ctes(*PC.DECODED, PC._VALIDATED, body="""
 SELECT cmd_seq, '{"error":' || error || ',"reply_id":"' || reply_id || '","message":"' || CASE error
   WHEN -1 THEN 'The snapshot type Unknown is not supported' WHEN -3 THEN 'The repeat delay is not valid ' || snapshot_name
@@ -281,3 +349,45 @@ SELECT queue_name, CAST(iter_index AS BIGINT) AS iter_index, payload FROM f"""))
 def frame_json(spark, sf):
     frames = snap.normal_frames(T.dense_events(spark, sf), T.members(T.dense_definitions(spark, sf)))
     return frames.select("queue_name", "iter_index", E.frame_json(F.col("value")).alias("payload"))
+
+
+_REPLY_TEXT = """CASE error WHEN -1 THEN 'The snapshot type Unknown is not supported' WHEN -3 THEN 'The repeat delay is not valid ' || snapshot_name
+  WHEN -4 THEN 'The time window is not valid ' || snapshot_name WHEN -5 THEN 'The snapshot name is not valid ' || snapshot_name
+  WHEN -6 THEN 'The pv uri ' || bad[1] || ' is not parsable' ELSE 'The snapshot ''' || snapshot_name || ''' has been started' END"""
+_REPLY_PACK = S.mp_map(error=S.mp_int("error"), reply_id=S.mp_text("reply_id"), message=S.mp_text("msg"))
+_REPLY_TOPIC = S.mp_map(error=S.mp_int("error"), reply_id=S.mp_text("reply_id"), message=S.mp_text("msg"), publishing_topic=S.mp_text("topic"))
+
+
+@query("reply_msgpack", with_ctes(*PC.DECODED, PC._VALIDATED, f"""
+told AS (SELECT *, {_REPLY_TEXT} AS msg, lower(replace(snapshot_name, ' ', '_')) AS topic FROM val
+  WHERE status = 'valid' AND kind = 'repeating_snapshot')""", body=f"""
+SELECT cmd_seq, {(f"CASE WHEN error = 0 THEN {_REPLY_TOPIC} ELSE {_REPLY_PACK} END")} AS reply FROM told"""))
+def reply_msgpack(spark, sf):
+    checked = C.validate_snapshot(PC._valid(spark, sf, "repeating_snapshot"))
+    topic = F.when(F.col("error") == 0, C.snapshot_topic(F.col("snapshot_name"))).otherwise("")
+    checked = checked.withColumn("publishing_topic", topic)
+    return checked.select("cmd_seq", F.hex(E.reply_msgpack("message", "publishing_topic")).alias("reply"))
+
+
+def frame_maps() -> dict[str, str]:
+    """Hexadecimal MsgPack of header, data and tail out of the columns of an iteration, and of a PV value."""
+    number, stamp, name = S.mp_int("iter_index"), S.mp_int("(to_us // 1000)"), S.mp_text("snapshot_name")
+    data = S.mp_map(message_type="'01'", timestamp=stamp, iter_index=number).replace("'83' ||", "'84' ||", 1)
+    return {
+        "header": S.mp_map(message_type="'00'", snapshot_name=name, timestamp=stamp, iter_index=number),
+        "data": f"{data} || {S.mp_text('pv_name')} || {S.mp_double('value')}",
+        "tail": S.mp_map(message_type="'02'", error="'00'", iter_index=number, timestamp=stamp, snapshot_name=name),
+    }
+
+
+_MAPS = frame_maps()
+
+
+@query("frame_msgpack", with_ctes(*S.DENSE_SNAP, S.ITERS, S.LAST, S.GRID, f"""
+f AS (SELECT queue_name, iter_index, {_MAPS['header']} AS hx FROM iters UNION ALL SELECT queue_name, iter_index, {_MAPS['tail']} FROM iters
+  UNION ALL SELECT queue_name, iter_index, {_MAPS['data']} FROM grid WHERE seq IS NOT NULL)""", body=f"""
+SELECT queue_name, CAST(iter_index AS BIGINT) AS iter_index, {('hx')} AS payload FROM f"""))
+def frame_msgpack(spark, sf):
+    frames = snap.normal_frames(T.dense_events(spark, sf), T.members(T.dense_definitions(spark, sf)))
+    payload = E.frame_msgpack(F.col("value"), frames.schema["value"].dataType)
+    return frames.select("queue_name", "iter_index", F.hex(payload).alias("payload"))

@@ -40,7 +40,8 @@ def snap_normal(spark, sf):
 
 _OPEN = S.definitions("Site").replace(
     f"{S.STOP_US} AS stop_us",
-    f"""CASE WHEN r_regionkey % 2 = 0 THEN (SELECT max(epoch_us(ts)) + 1 FROM events WHERE event_type NOT IN ('error', 'signup'))
+    f"""CASE WHEN r_regionkey % 2 = 0 THEN {S.START_US} + (r_regionkey + 1) * 86400000000 * (
+    ((SELECT max(epoch_us(ts)) FROM events WHERE event_type NOT IN ('error', 'signup')) - {S.START_US}) // ((r_regionkey + 1) * 86400000000))
   ELSE {S.STOP_US} END AS stop_us""",
 )
 
@@ -48,7 +49,7 @@ _OPEN = S.definitions("Site").replace(
 @query("snap_open_runs", with_ctes(S.SPARSE_DATA, _OPEN, *S.SPARSE_SNAP[2:], S.ITERS, S.LAST, S.GRID, body="""
 SELECT queue_name, iter_index, to_us, pv_name, ts_us, seq, value FROM grid WHERE seq IS NOT NULL"""))
 def snap_open_runs(spark, sf):
-    """Half of the runs have no stop yet."""
+    """Half of the runs have no stop yet; their unfinished window is not published."""
     events, members = _sparse(spark, sf)
     still = F.when(F.col("def_id") % 2 != 0, F.col("stop_us"))
     rows = snap.normal(events, members.withColumn("stop_us", still)).withColumn("to_us", snap.window_end())

@@ -61,3 +61,23 @@ SUBS = """sub AS (SELECT c_custkey AS id, 'user:' || (c_custkey % 150) AS pv_nam
 
 CONSUMERS = """member AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' ELSE 'HOUSEHOLD' END AS topic,
   'group-' || s_nationkey AS group_name, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS member_id FROM supplier)"""
+
+
+def mp_int(e: str) -> str:
+    """Hexadecimal MsgPack of a whole number from -32 up."""
+    return f"""(CASE WHEN {e} < 0 THEN to_hex(256 + {e}) WHEN {e} < 128 THEN lpad(to_hex({e}), 2, '0') WHEN {e} < 256 THEN 'CC' || to_hex({e})
+  WHEN {e} < 65536 THEN 'CD' || lpad(to_hex({e}), 4, '0') WHEN {e} < 4294967296 THEN 'CE' || lpad(to_hex({e}), 8, '0')
+  ELSE 'CF' || lpad(to_hex({e}), 16, '0') END)"""
+
+
+def mp_text(e: str) -> str:
+    return f"""(CASE WHEN strlen({e}) < 32 THEN to_hex(160 + strlen({e})) ELSE 'D9' || lpad(to_hex(strlen({e})), 2, '0') END || hex({e}))"""
+
+
+def mp_double(e: str) -> str:
+    return f"'CB' || hex(CAST(CAST(CAST({e} AS DOUBLE) AS BIT) AS BLOB))"
+
+
+def mp_map(**entries: str) -> str:
+    """A map of up to 15 entries, whose values are hexadecimal already."""
+    return f"'8{len(entries):X}' || " + " || ".join(f"'{0xA0 + len(k):X}{k.encode().hex().upper()}' || {v}" for k, v in entries.items())

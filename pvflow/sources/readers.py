@@ -47,8 +47,3 @@ def normalize(messages: DataFrame) -> DataFrame:
             "value": F.col("value").cast("string"),
         }
     )
-
-
-def metric_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Stored scrapes as lines, with the file each came from."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("scrape"))

@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvflow.operators.replay import calendar
+from pvflow.session import work_dir
 
 SER_HEADER = "ser-type"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write once below the shared checkpoint folder and read back, for what several plans start from."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def out_messages(df: DataFrame, topic: Column, key: Column, value: Column, serialization: Column, *keep: str) -> DataFrame:
     """Kafka-shaped rows: topic, key, value, headers with the serialization."""
     header = F.struct(F.lit(SER_HEADER).alias("key"), serialization.cast("string").cast("binary").alias("value"))

@@ -1,19 +1,25 @@
 """Small cases with expected results written out."""
 
+import random
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
 from pvflow.functions import msgpack as M
 from pvflow.functions import names as N
 from pvflow.functions import nested as NV
+from pvflow.functions import packing as PK
 from pvflow.operators import commands as C
 from pvflow.operators import encode as E
+from pvflow.operators import intervals as IV
+from pvflow.operators import joins as J
 from pvflow.operators import latest as L
 from pvflow.operators import metrics as MT
 from pvflow.operators import registry as R
 from pvflow.operators import snapshots as snap
 from pvflow.session import work_dir
-from pvflow.sources import readers
+from pvflow.sources import readers, topics
 
 
 @pytest.mark.parametrize(
@@ -194,7 +200,16 @@ def test_encode_decode_every_type(spark):
         ("pv:2", (False, 0, -1, 0, -1, Decimal(0), 0.0, -0.5, "", [], [], (None, None), [], None)),
     ]
     df = spark.createDataFrame(rows, f"pv_name STRING, data STRUCT<{TYPED.replace(' ', ':', 0)}>".replace("\n", " "))
-    back = E.decode_msgpack(E.encode_msgpack(df).select("value"), TYPED)
+    packed = E.encode_msgpack(df)
+    for r in packed.collect():  # the bytes are those of the plain packer
+        data = next(x[1] for x in rows if x[0] == r.pv_name)
+        names = [f.name for f in df.schema["data"].dataType.fields]
+        plain = dict(zip(names, data)) | {"u": int(data[5]), "n": dict(zip("xy", data[11])), "ns": [{"x": x[0]} for x in data[12]]}
+        want = bytearray(M.pack({r.pv_name: plain}))
+        at = want.find(b"\xa1f\xcb")  # a float takes four bytes
+        want[at + 2 : at + 11] = b"\xca" + struct.pack(">f", data[6])
+        assert bytes(r.value) == bytes(want)
+    back = E.decode_msgpack(packed.select("value"), TYPED).select("pv_name", "data")
     assert sorted(map(str, df.select("pv_name", "data").collect())) == sorted(map(str, back.collect()))
     compact = E.encode_msgpack(df, compact=True).orderBy("pv_name").collect()
     flat = M.unpack(bytes(compact[0].value))
@@ -263,8 +278,8 @@ def test_hostile_and_tagged_payloads(spark):
     deep = b"\x91" * 100_000 + b"\xc0"
     tagged = [b"\x81\xa1v" + x for x in (b"\xd4\x01\xff", b"\xd8\x01" + b"z" * 16, b"\xc7\x03\x05abc", b"\xc8\x00\x01\x05a")]
     rows = [(deep,), (b"\x81\xa1v\xc7\x09\x05abc",), *[(t,) for t in tagged]]
-    got = spark.createDataFrame(rows, "b binary").select(M.msgpack_kind(F.col("b")).alias("k")).collect()
-    assert [r.k for r in got] == ["bad", "bad", "map", "map", "map", "map"]
+    got = spark.createDataFrame(rows, "b binary").select(PK.msgpack_kind(F.col("b")).alias("k")).collect()
+    assert [r.k for r in got] == ["other", "bad", "map", "map", "map", "map"]
     body = M.pack({"pv": {"raw": b"\x00\x01", "n": 4}})
     decoded = E.decode_msgpack(spark.createDataFrame([(body,), (deep,)], "value binary"), "raw binary, n int").collect()
     assert [(r.pv_name, r.data and bytes(r.data.raw), r.data and r.data.n) for r in decoded] == [("pv", b"\x00\x01", 4), (None, None, None)]
@@ -301,17 +316,173 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
 
 def test_open_runs_go_on_to_the_newest_event(spark, ramp):
-    """A run without a stop gives what a run that stops after the newest event gives."""
+    """A run without a stop gives what a run gives that stops at the end of the last window the newest event has passed."""
     newest = ramp.agg(F.max("ts_us")).first()[0]
-    stopped = members(spark, stop=newest + 1)
-    still = stopped.withColumn("stop_us", F.lit(None).cast("bigint"))
-    for operator in (snap.normal, snap.buffered, snap.silent, snap.normal_frames, snap.buffered_frames, snap.forced, snap.route):
+    assert newest % 4_000_000
+    by_window = (snap.normal, snap.silent, snap.normal_frames, snap.buffered_frames, snap.forced)
+    for operator in (*by_window, snap.buffered, snap.route):
+        stopped = members(spark, stop=newest // 4_000_000 * 4_000_000 if operator in by_window else newest + 1)
+        still = stopped.withColumn("stop_us", F.lit(None).cast("bigint"))
         want = operator(ramp, stopped).drop("stop_us")
         got = operator(ramp, still).select(want.columns)
         assert want.count() > 0 or operator is snap.forced
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), operator
+    stopped = members(spark, stop=newest + 1)
+    still = stopped.withColumn("stop_us", F.lit(None).cast("bigint"))
     fired = triggers(spark, 10, 25)
     for operator in (snap.triggered_buffered, snap.triggered_normal):
         want = operator(ramp, stopped, fired, flush_on_stop=False).drop("stop_us")
         got = operator(ramp, still, fired).select(want.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_an_open_run_before_any_event_has_no_window(spark, ramp):
+    late = members(spark).withColumn("start_us", F.lit(10**9)).withColumn("stop_us", F.lit(None).cast("bigint"))
+    assert snap.normal_frames(ramp, late).count() == 0 and snap.buffered_frames(ramp.where("false"), late).count() == 0
+
+
+@pytest.mark.parametrize("value", [v for v in VALUES if not isinstance(v, (dict, list, type(None)))], ids=str)
+def test_column_packer_equals_plain_packer(spark, value):
+    kinds = {bool: "boolean", int: "decimal(20,0)" if isinstance(value, int) and value >= 2**63 else "bigint", float: "double", str: "string", bytes: "binary"}
+    from decimal import Decimal
+
+    kind = kinds[type(value)]
+    df = spark.createDataFrame([(Decimal(value) if kind.startswith("decimal") else value, None), (None, None)], f"v {kind}, w {kind}")
+    got = df.select(PK.pack(F.col("v"), df.schema["v"].dataType).alias("b")).collect()
+    assert [bytes(r.b) for r in got] == [M.pack(value), b"\xc0"]
+    df = df.select(F.struct(F.array("v", "w").alias("list"), F.create_map(F.lit("k"), "v").alias("map")).alias("s"))
+    got = df.select(PK.pack(F.col("s"), df.schema["s"].dataType).alias("b")).first()
+    assert bytes(got.b) == M.pack({"list": [value, None], "map": {"k": value}})
+
+
+def test_structure_scan_agrees_with_the_reader(spark):
+    rng = random.Random(4)
+    bodies = [M.pack(v) for v in VALUES] + [M.pack({"a": [1, {"b": VALUES[-3]}], "c": list(range(70000))})]
+    cases = bodies + [b[: rng.randrange(len(b))] for b in bodies] + [b"\xc1", b"", b"\xdf\xff\xff\xff\xff", b"\xdc\x00\x02\x01"]
+    cases = [c for c in cases if len(c) < 2000]
+
+    def kind(b):
+        try:
+            return "map" if isinstance(M.unpack(b), dict) else "other"
+        except (ValueError, struct.error):
+            return "bad"
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, b binary")
+    got = {r.i: r.k for r in df.select("i", PK.msgpack_kind(F.col("b")).alias("k")).collect()}
+    assert got == {i: kind(c) for i, c in enumerate(cases)}
+
+
+def test_decoder_tells_what_does_not_fit(spark):
+    kind = "v INT, s STRUCT<x: DOUBLE>, l ARRAY<INT>, u STRUCT<_tag: STRING, a: INT, b: STRING>, us ARRAY<STRUCT<_tag: STRING, a: INT, b: STRING>>"
+    good = {"v": 1, "s": {"x": 2, "more": [1]}, "l": [1, 2], "u": {"b": "t"}, "us": [{"a": 1}, 5, {"c": 1}, {"b": "z", "a": 1}, {"b": "e"}], "x": {}}
+    bodies = [
+        M.pack({"reply_id": "r", "pv": good}),
+        M.pack({"pv": {"v": "text"}}),
+        M.pack({"pv": {"v": 2**40, "l": [1]}}),
+        M.pack({"pv": {"v": 7, "s": 3, "l": 4, "u": {"c": 1}}}),
+        M.pack({"pv": good})[:-9],
+        M.pack([1]),
+        None,
+        M.pack({"pv": {"v": None, "l": [1, None]}}),
+    ]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, value binary").coalesce(1)
+    got = {r.i: r for r in E.decode_msgpack(df, kind).collect()}
+    assert [got[i].error is None for i in range(8)] == [True, False, False, True, False, False, False, True]
+    assert [got[i].data is None for i in range(8)] == [False, True, True, False, True, True, True, False]
+    d = got[0].data
+    assert (d.v, d.s.x, d.l, d.u._tag, d.u.a, d.u.b) == (1, 2.0, [1, 2], "b", None, "t") and [(u._tag, u.a, u.b) for u in d.us] == [("a", 1, None), ("b", None, "e")]
+    d = got[3].data
+    assert (d.v, d.s.x, d.l, d.u) == (7, None, [], None)
+    assert got[7].data.l == [1, None] and "int" in got[1].error
+
+
+def test_union_round_trip_and_other_forms(spark):
+    kind = PK.union_type(a="INT", b="STRING", c="STRUCT<x: DOUBLE>")
+    rows = [(1, (("a", 99, None, None), [("a", 1, None, None), ("b", None, "test", None)])), (2, (("c", None, None, (1.5,)), [])), (3, (None, None))]
+    text = kind.simpleString()
+    df = spark.createDataFrame(rows, f"seq int, data struct<value:{text},list:array<{text}>>").withColumn("pv_name", F.lit("pv"))
+    packed = E.encode_msgpack(df)
+    assert bytes(packed.where("seq = 1").first().value) == M.pack({"pv": {"value": {"a": 99}, "list": [{"a": 1}, {"b": "test"}]}})
+    back = E.decode_msgpack(packed, df.schema["data"].dataType)
+    assert sorted(map(str, back.select("seq", "data").collect())) == sorted(map(str, df.select("seq", "data").collect()))
+    as_json = df.select("seq", E.encode_json(F.col("pv_name"), E.encode_union(F.col("data"), df.schema["data"].dataType)).alias("j"))
+    assert {r.seq: r.j for r in as_json.collect()} == {1: '{"pv":{"value":"99"}}', 2: '{"pv":{"value":"{\\"x\\":1.5}"}}', 3: '{"pv":{}}'}
+    assert bytes(E.encode_msgpack(df, compact=True).where("seq = 1").first().value) == M.pack(["pv"])
+
+
+def test_interval_join_equals_nested_loops(spark):
+    rng = random.Random(1)
+    points = [(rng.choice("ab"), rng.randrange(5000), i) for i in range(800)] + [("c", 5, 900), ("a", None, 901), (None, 5, 902)]
+    spans = []
+    for i in range(90):
+        start = rng.randrange(5000)
+        spans.append((rng.choice("ab"), start, rng.choice([None, start, start + rng.choice([1, 5, 50, 3000])]), i))
+    spans += [("z", 0, None, 200), (None, 0, None, 201)]
+    left = spark.createDataFrame(points, "k string, ts_us long, seq long")
+    right = spark.createDataFrame(spans, "k string, start_us long, stop_us long, run int")
+    want = sorted((q, r) for k, t, q in points for of, a, b, r in spans if k == of and k and t is not None and a <= t and (b is None or t < b))
+    for width in (1, 7, 300, 10**6, IV.interval_width(right, "start_us", "stop_us")):
+        got = IV.interval_join(left, right, ["k"], width=width)
+        assert sorted((r.seq, r.run) for r in got.collect()) == want, width
+    assert IV.interval_join(left.where("false"), right, ["k"], width=5).count() == 0
+    assert IV.interval_join(left, right.where("false"), ["k"], width=5).count() == 0
+
+
+def test_hot_keys_alone_are_salted(spark):
+    big = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v")
+    small = spark.range(500).selectExpr("id AS k", "id * 2 AS w")
+    assert len(J.hot_keys(big, ["k"])) == 1 and J.hot_keys(spark.range(30_000).selectExpr("id AS k"), ["k"]) == []
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = big.join(small, "k", how)
+        got = J.lookup_join(big, small, ["k"], how, max_rows=0, salts=5).select(want.columns)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    wide = small.withColumn("text", F.repeat(F.lit("x"), 1000))
+    assert J.measured(wide).bytes > 500_000 and J.measured(wide).rows == 500
+
+
+def test_commands_to_frames(spark, ramp):
+    """Start, trigger and stop, restarts and runs still open, of all four kinds."""
+    at = lambda s: s * 1_000_000
+    rows = [("q1", at(2), 1, "start", "Normal", False), ("q1", at(11), 2, "stop", None, None), ("q1", at(20), 3, "start", "Normal", False),
+            ("q2", at(0), 4, "start", "TimedBuffered", False), ("q2", at(6), 5, "stop", None, None),
+            ("q3", at(1), 6, "start", "Normal", True), ("q3", at(5), 7, "trigger", None, None), ("q3", at(9), 8, "stop", None, None),
+            ("q3", at(10), 9, "trigger", None, None), ("q4", at(3), 10, "start", "TimedBuffered", True), ("q4", at(8), 11, "trigger", None, None)]
+    kind = "queue_name string, ts_us long, seq long, kind string, snapshot_type string, triggered boolean"
+    commands = spark.createDataFrame(rows, kind).withColumns(
+        {
+            "snapshot_name": F.upper("queue_name"), "start_error": F.lit(0), "start_message": F.lit("ok"), "time_window_msec": F.lit(4000).cast("bigint"),
+            "sub_push_delay_msec": F.lit(0).cast("bigint"), "serialization": F.lit("json"), "pv_name_list": F.array(F.lit("pva://ramp"), F.lit("ca://ramp.HIHI")),
+        }
+    )
+    replies = snap.lifecycle(commands, width=0).cache()
+    told = {r.seq: (r.outcome, r.message, r.publishing_topic) for r in snap.lifecycle_replies(replies).collect()}
+    assert told[1] == ("started", "ok", "q1") and told[2] == ("stopped", "Snapshot 'Q1' has been stopped", "") and told[9][1] == "Snapshot 'Q3' has not been found"
+    out = snap.command_frames(ramp, replies, width=0).collect()
+    data = lambda q: sorted((r.start_us // 10**6, r.iter_index, r.seq) for r in out if r.queue_name == q and r.message_type == 1)
+    ends = lambda q: sorted((r.start_us // 10**6, r.iter_index) for r in out if r.queue_name == q and r.message_type == 2)
+    # 2-6-10-(11), then 20-24-..-36: the newest event is at 39, so the window up to 40 is not finished
+    assert data("q1") == [(2, 1, 5), (2, 2, 9), (2, 3, 10), (20, 1, 23), (20, 2, 27), (20, 3, 31), (20, 4, 35)]
+    assert ends("q1") == [(2, 1), (2, 2), (2, 3), (20, 1), (20, 2), (20, 3), (20, 4)]
+    assert data("q2") == [(0, 1, s) for s in range(4)] + [(0, 2, s) for s in (4, 5)]
+    assert data("q3") == [(1, 1, 5), (1, 2, 8)] and ends("q3") == [(1, 1), (1, 2)]
+    assert data("q4") == [(3, 1, s) for s in range(4, 9)] and ends("q4") == [(3, 1)]
+
+
+def test_topic_log(spark, tmp_path):
+    """Positions without gaps over batches; repeated batches and half-written ones leave nothing."""
+    path, schema = str(tmp_path / "log"), "n int, v string"
+    rng = random.Random(3)
+    batches = [[(rng.choice("aab"), rng.randrange(1000) * 10 + i % 10, f"{b}-{i}") for i in range(200)] for b in range(3)]
+    frame = lambda rows: spark.createDataFrame(rows, "topic string, n int, v string").repartition(4)
+    for b, rows in enumerate(batches):
+        topics.append(frame(rows), path, ["n", "v"], b)
+        topics.append(frame(rows), path, ["n", "v"], b)  # a repeated batch
+    frame(batches[0]).withColumn("_place", F.lit(1)).write.partitionBy("topic").parquet(f"{path}/data/batch=3/attempt=lost")
+    topics.append(frame([]), path, ["n", "v"], 4)
+    topics.append(frame([(None, 1, "nowhere")]), path, ["n", "v"], 5)
+    got = sorted((r.topic, r.ord, r.n, r.v) for r in topics.read(spark, path, schema).collect())
+    want = []
+    for topic in "ab":
+        lines = [x for rows in batches for x in sorted((n, v) for t, n, v in rows if t == topic)]
+        want += [(topic, i, n, v) for i, (n, v) in enumerate(lines)]
+    assert got == want
