@@ -27,6 +27,8 @@ MOST_PASSES = 2
 BLOCK = 32
 #: Slots of an output shard.
 SHARD_SLOTS = 4096
+#: Shards whose counts are summed up in one window.
+SHARD_RUN = 1024
 #: Parts of a source's stream whose running sums are taken apart.
 LANES = 256
 #: The table of sources is planned on the driver, so their number is bounded.
@@ -81,14 +83,9 @@ def permuted(index: np.ndarray, n: int, seed: np.ndarray | int, rounds: int = 32
     return x.astype(np.int64)
 
 
-def drawn(shard: int, slots: int, shares: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Slots of each source in one shard: the whole part of the expected number, and a multinomial draw of the rest."""
-    expected = slots * shares
-    sure = np.floor(expected).astype(np.int64)
-    rest, left = expected - sure, slots - int(sure.sum())
-    if left <= 0:
-        return sure
-    return sure + np.random.default_rng([seed, shard]).multinomial(left, rest / rest.sum())
+def drawn(shard: int, slots: int, shares: np.ndarray, turn: int = 0, seed: int = SEED) -> np.ndarray:
+    """How many of the ``slots`` of a shard each source fills: one multinomial draw, the same for every run."""
+    return np.random.default_rng([seed, turn, shard]).multinomial(slots, shares)
 
 
 def word_count(text: Column) -> Column:
@@ -109,32 +106,72 @@ def _source_table(sized: DataFrame, block: int) -> list[dict]:
     return table
 
 
-def _taken_blocks(spark, table: list[dict]) -> DataFrame:
-    """(sid, block, slot, shard): every filled slot of the mix."""
-    weights = np.array([t["slots"] for t in table])
-    total = int(round(weights.sum()))
-    shards = -(-total // SHARD_SLOTS)
-    shares = weights / weights.sum() if total else weights
-    blocks = [t["blocks"] for t in table]
+def _numbered(counts: DataFrame) -> DataFrame:
+    """``counts`` (shard, sid, n) with ``first``: how many slots of the source the shards before hold.
 
+    Two levels of sums, so that no window runs over all shards of a source.
+    """
+    runs = counts.withColumn("run", F.expr(f"shard div {SHARD_RUN}"))
+    sums = runs.groupBy("sid", "run").agg(F.sum("n").alias("run_n"))
+    before = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("sid", "run", F.coalesce(F.sum("run_n").over(before), F.lit(0)).alias("run_first"))
+    inside = Window.partitionBy("sid", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("run_first") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return runs.join(sums, ["sid", "run"]).select("shard", "sid", "n", first.alias("first"))
+
+
+def _drawn(open_slots: DataFrame, shares: np.ndarray, turn: int) -> DataFrame:
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            counts = [drawn(s, min(SHARD_SLOTS, total - s * SHARD_SLOTS), shares) for s in ids]
-            sids = np.tile(np.arange(len(shares)), len(ids))
-            arrays = [pa.array(np.repeat(np.array(ids, np.int64), len(shares))), pa.array(sids), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "sid", "n"])
+            for shard, slots in zip(batch.column("shard").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+                n = drawn(shard, slots, shares, turn)
+                sid = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid), shard)), pa.array(sid), pa.array(n[sid])], names=["shard", "sid", "n"])
+
+    return open_slots.select("shard", "slots").mapInArrow(draw, "shard bigint, sid bigint, n bigint")
+
 
-    counts = spark.range(shards).mapInArrow(draw, "shard bigint, sid bigint, n bigint").where("n > 0")
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+def draw_counts(spark, weights: np.ndarray, most: list[int]) -> DataFrame:
+    """(shard, sid, n, first): multinomial counts of every shard, no source above ``most`` slots altogether.
+
+    Slots that a source has drawn beyond its limit are drawn again, in their shards, among the sources that have
+    room; so every slot is filled while any source has room.
+    """
+    total = min(int(round(weights.sum())), sum(most))
+    shards = -(-total // SHARD_SLOTS)
+    open_slots = spark.range(shards).select(
+        F.col("id").alias("shard"), F.least(F.lit(SHARD_SLOTS), F.lit(total) - F.col("id") * SHARD_SLOTS).cast("bigint").alias("slots")
+    )
+    room = spark.createDataFrame([(i, int(m)) for i, m in enumerate(most)], "sid bigint, most bigint")
+    counts, free, turn = None, (weights > 0) & (np.array(most) > 0), 0
+    while total and free.any():
+        shares = np.where(free, weights, 0.0)
+        new = _drawn(open_slots, shares / shares.sum(), turn)
+        counts = new if counts is None else counts.unionByName(new).groupBy("shard", "sid").agg(F.sum("n").alias("n"))
+        kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("most") - F.col("first")))
+        limited = _numbered(counts).join(F.broadcast(room), "sid").select("shard", "sid", "n", kept.alias("kept"))
+        limited = durable(limited, "draws")
+        lost = limited.where("kept < n").groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("slots"))
+        full = {r.sid for r in limited.groupBy("sid").agg(F.sum("kept").alias("k")).join(F.broadcast(room), "sid").where("k >= most").select("sid").collect()}
+        counts = limited.where("kept > 0").select("shard", "sid", F.col("kept").alias("n"))
+        if limited.where("kept < n").isEmpty():
+            break
+        free, open_slots, turn = free & ~np.isin(np.arange(len(most)), sorted(full)), lost, turn + 1
+    if counts is None:
+        return spark.createDataFrame([], "shard bigint, sid bigint, n bigint, first bigint")
+    return _numbered(counts)
+
+
+def _taken_blocks(spark, table: list[dict]) -> DataFrame:
+    """(sid, block, slot, shard): every filled slot of the mix."""
+    blocks = [t["blocks"] for t in table]
+    counts = draw_counts(spark, np.array([t["slots"] for t in table]), [MOST_PASSES * b for b in blocks])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, sid, n, first = (batch.column(c)[i].as_py() for c in ("shard", "sid", "n", "first"))
                 slot = np.arange(first, first + n)
-                slot = slot[slot < MOST_PASSES * blocks[sid]]  # a slot beyond the last allowed pass stays empty
                 turn = slot // blocks[sid]
                 block = permuted(slot % blocks[sid], blocks[sid], turn * len(blocks) + sid + SEED)
                 arrays = [np.full(len(slot), sid, np.int64), block, slot, np.full(len(slot), shard, np.int64)]

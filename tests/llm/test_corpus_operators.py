@@ -129,6 +129,33 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_counts_are_multinomial():
+    """Mean and variance of the slots of a source over many shards, and the covariance of two."""
+    shares = np.array([0.5, 0.3, 0.2])
+    n = np.array([mixing.drawn(s, 400, shares) for s in range(4000)])
+    assert (n.sum(axis=1) == 400).all() and np.allclose(n.mean(axis=0), 400 * shares, rtol=0.01)
+    assert np.allclose(n.var(axis=0), 400 * shares * (1 - shares), rtol=0.08)
+    assert np.isclose(np.cov(n[:, 0], n[:, 1])[0, 1], -400 * 0.5 * 0.3, rtol=0.1)
+
+
+def test_every_slot_is_drawn_again_until_it_is_filled(llm, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    monkeypatch.setattr(mixing, "SHARD_RUN", 4)
+    most = [100, 20, 60, 0]
+    rows = mixing.draw_counts(llm, np.array([80.0, 30.0, 40.0, 5.0]), most).collect()
+    got = Counter()
+    by_shard = Counter()
+    for r in sorted(rows, key=lambda r: r.shard):
+        assert r.first == got[r.sid]
+        got[r.sid] += r.n
+        by_shard[r.shard] += r.n
+    assert sum(got.values()) == 155 and all(got[i] <= m for i, m in enumerate(most)) and got[1] == 20
+    assert all(n == 16 for s, n in by_shard.items() if s < 9) and len(by_shard) == 10
+    full = mixing.draw_counts(llm, np.array([500.0, 500.0]), [10, 12]).collect()
+    assert sum(r.n for r in full) == 22
+    assert mixing.draw_counts(llm, np.array([0.0]), [0]).collect() == []
+
+
 def test_mixed_pieces_are_the_counted_words(docs, empty):
     rows = mixing.mixed_pieces(docs).collect()
     whole = Counter()
