@@ -103,3 +103,19 @@ def replay_range(spark, sf):
     sinks.write_index(A.snapshot_index(rows), f"{path}/index")
     out = A.replay(spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/blobs"), _FROM, _TO)
     return out.select("snapshot_id", "snapshot_us", "pv_name", "ts_us", "seq", "value")
+
+
+_CHOSEN = ["user:3", "user:17", "user:42", "user:17000000"]
+
+
+@query("replay_pvs", with_ctes(S.SPARSE, body=f"""
+SELECT pv_name AS pv, ts_us, seq, value FROM pv WHERE event_type = 'Data' AND pv_name IN ({", ".join(f"'{n}'" for n in _CHOSEN)}) AND ts_us BETWEEN {_FROM} AND {_TO}"""))
+def replay_pvs(spark, sf):
+    """A few PVs out of the value archive, by an index of its files."""
+    path = work_dir(spark, "pv_replay")
+    values = A.pv_values(T.data_events(spark, sf), "monitor")
+    sinks.write_pv_values(values, f"{path}/values")
+    schema = values.schema.toDDL()
+    A.file_index(spark.read.schema(schema).parquet(f"{path}/values")).write.parquet(f"{path}/files")
+    out = A.replay_pvs(spark, f"{path}/values", schema, spark.read.parquet(f"{path}/files"), _CHOSEN, _FROM, _TO)
+    return out.select("pv", "ts_us", "seq", "value")

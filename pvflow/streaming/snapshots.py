@@ -21,7 +21,8 @@ class WindowEnds(StatefulProcessor):
     State: the next window to emit with the value carried so far, and the last value of every window that is
     still open. With ``carry`` a window without an event repeats the value before it, else it is left out. Events
     of a window whose end the watermark has passed are late and dropped; until a first window is emitted,
-    an event of an earlier one moves the start back. After the last window of a run all of its state goes.
+    an event of an earlier one moves the start back. After the last window of a run all of its state goes; without
+    ``carry`` it also goes while a PV is silent, so an open run then holds no timer.
     """
 
     def __init__(self, carry: bool):
@@ -74,10 +75,14 @@ class WindowEnds(StatefulProcessor):
                 out.append((key[0], key[1], key[2], i, end_us, ts_us, seq, value))
             ended = stop_us is not None and end_us >= stop_us
             i += 1
+        waiting = () if self.carry or ended else [k[0] for k in self.open.keys()]
         if ended:
             self.carried.clear()
             self.open.clear()
+        elif not self.carry and not waiting:
+            self.carried.clear()  # nothing to say until the next event, which starts anew
         elif i != first:
+            i = i if self.carry else min(waiting)
             self.carried.update((i, ts_us, seq, value, window_us, stop_us))
             self.handle.registerTimer(self._end_ms(key, i, window_us, stop_us))
         if out:

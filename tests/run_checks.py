@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 import traceback
@@ -15,7 +16,7 @@ from pvflow.session import local_session  # noqa: E402
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = local_session()
+    spark = local_session(cores=os.environ.get("CHECK_CPUS", "8"))
     con = connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
     names = sys.argv[2:] or list(queries)
