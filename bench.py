@@ -39,6 +39,16 @@ HEADLINES = [
     "decode_job",
     "archive_pv_values",
     "replay_range",
+    "pipeline_snapshot",
+    "pipeline_monitor",
+    "frame_sink",
+    "fanout_msgpack",
+    "put_validate",
+    "replay_pvs",
+    "window_code",
+    "stream_fanout",
+    "stream_normal",
+    "stream_topics",
 ]
 
 

@@ -220,6 +220,22 @@ def value_hex(value: Column, kind: T.DataType) -> Column:
     return cells.bound(part)
 
 
+def filtered_hex(value: Column, kind: T.StructType, wanted: Column) -> Column:
+    """The form of a struct with only the fields named in the array ``wanted``, which are left out, not nil; none named keeps all."""
+    cells = _Cells()
+    parts = [(f.name, _walk(value[f.name], f.dataType, cells)) for f in kind.fields]
+
+    def body(done: Column) -> Column:
+        def kept(names: Column) -> Column:
+            fields = [F.when((F.size(names) == 0) | F.array_contains(names, n), F.concat(F.lit(literal_hex(n)), p(done))) for n, p in parts]
+            present = F.filter(F.array(*fields), lambda x: x.isNotNull())
+            return let(present, lambda x: F.concat(map_head(F.size(x)), F.array_join(x, "")))
+
+        return F.when(value.isNull(), NIL).otherwise(kept(wanted))
+
+    return cells.bound(body)
+
+
 def _leaves(value: Column, kind: T.DataType, cells: _Cells) -> list[Part]:
     """Per leaf, or list of leaves, an array of forms."""
     if is_union(kind) or (isinstance(kind, T.ArrayType) and is_union(kind.elementType)):

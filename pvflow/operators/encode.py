@@ -60,8 +60,10 @@ def encode_union(value: Column, kind: T.DataType) -> Column:
     return value
 
 
-def msgpack_message(pv_name: Column, data: Column, kind: T.DataType, *, compact: bool = False, reply_id: Column | None = None) -> Column:
-    """MsgPack bytes of one PV value.
+def msgpack_message(
+    pv_name: Column, data: Column, kind: T.DataType, *, compact: bool = False, reply_id: Column | None = None, wanted: Column | None = None
+) -> Column:
+    """MsgPack bytes of one PV value, in the full form with only the top-level fields ``wanted`` if that is given.
 
     Full form: a map ``{[reply_id], pv: {...}}``. Compact form: an array ``[[reply_id], pv, leaf...]`` with the leaves
     in depth-first order. An empty or null reply id is left out.
@@ -75,7 +77,8 @@ def msgpack_message(pv_name: Column, data: Column, kind: T.DataType, *, compact:
     head = F.lit("81")
     if told is not None:
         head = F.when(told, F.concat(F.lit("82" + P.literal_hex("reply_id")), P.text_hex(reply_id))).otherwise(head)
-    return F.unhex(F.concat(head, P.text_hex(pv_name), P.value_hex(data, kind)))
+    body = P.value_hex(data, kind) if wanted is None else P.filtered_hex(data, kind, wanted)
+    return F.unhex(F.concat(head, P.text_hex(pv_name), body))
 
 
 def encode_msgpack(df: DataFrame, data: str = "data", *, compact: bool = False, reply_id: str | None = None) -> DataFrame:

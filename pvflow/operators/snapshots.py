@@ -14,6 +14,7 @@ window that the newest event has passed, as only a stop flushes an unfinished on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,10 +126,14 @@ def route(events: DataFrame, members: DataFrame, known: Span | None = None) -> D
     return routed.where("ts_us >= start_us AND (stop_us IS NULL OR ts_us < stop_us)")
 
 
-def buffered(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
-    """Every event of every window, each once, with its iteration and sub-window push."""
+def buffered(events: DataFrame, members: DataFrame, known: Span | None = None, routed: DataFrame | None = None) -> DataFrame:
+    """Every event of every window, each once, with its iteration and sub-window push.
+
+    Here and below ``routed`` is the outcome of ``route`` where it is at hand already.
+    """
     push_us = F.greatest(push_delay_msec() * 1000, F.lit(1))
-    rows = route(events, members, known).withColumn("iter_index", iteration())
+    rows = route(events, members, known) if routed is None else routed
+    rows = rows.withColumn("iter_index", iteration())
     return rows.withColumn("sub_index", F.call_function("div", F.col("ts_us") - window_start(), push_us))
 
 
@@ -137,9 +142,10 @@ def _latest(routed: DataFrame, keys: list[str], payload: list[str]) -> DataFrame
     return routed.groupBy(*keys).agg(best).select(*keys, "latest.*")
 
 
-def _latest_per_window(events: DataFrame, members: DataFrame, known: Span) -> DataFrame:
+def _latest_per_window(events: DataFrame, members: DataFrame, known: Span, routed: DataFrame | None = None) -> DataFrame:
     """Last event per (run, PV, window) with the run's columns, grouped on the short key only."""
-    routed = route(events, members, known).withColumn("iter_index", iteration())
+    routed = route(events, members, known) if routed is None else routed
+    routed = routed.withColumn("iter_index", iteration())
     latest = _latest(routed, [*RUN, "pv_name", "iter_index"], ["ts_us", "seq", "value"])
     about = runs(members).select(*RUN, "snapshot_name", "stop_us", "time_window_msec")
     return lookup_join(latest, about, RUN, rows=known.rows)
@@ -159,14 +165,14 @@ def _fill(latest: DataFrame, keys: list[str], last_iter: Column, width: int) ->
     return explode_range(filled, F.col("from_iter"), upto, "iter_index").drop("next_iter")
 
 
-def normal(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
+def normal(events: DataFrame, members: DataFrame, known: Span | None = None, routed: DataFrame | None = None) -> DataFrame:
     """Per iteration the last value of every PV seen so far (carried forward).
 
     Only the last event per (PV, window) is shuffled; the dense result is
     written from it without a grid join. ``carried`` marks repeated values.
     """
     members, known = until_newest(events, members, known)
-    latest = _latest_per_window(events, members, known)
+    latest = _latest_per_window(events, members, known, routed)
     filled = _fill(latest, [*RUN, "pv_name"], iteration_count(), _iteration_slice(known))
     return filled.withColumn("carried", F.col("iter_index") > F.col("from_iter")).drop("from_iter")
 
@@ -245,14 +251,15 @@ def number_triggers(triggers: DataFrame, members: DataFrame, plan: Plan, flush_o
     return running_sum(fired, RUN, "trigger_us", ["_seq"], one, "iter_index", width=plan.width)
 
 
-def assign_triggers(events: DataFrame, members: DataFrame, fired: DataFrame, plan: Plan) -> DataFrame:
+def assign_triggers(events: DataFrame, members: DataFrame, fired: DataFrame, plan: Plan, routed: DataFrame | None = None) -> DataFrame:
     """Each routed event with the next trigger of its run; events after the last one are left out.
 
     ``newest_us`` is the time of the last event before that trigger. Events and
     triggers of a (run, time slice) meet in one shuffle and two scans of it: one
     forward for the newest event, one backward for the next trigger.
     """
-    routed = route(events, members, plan.members).select(*RUN, "pv_name", "ts_us", "seq", "value", F.lit(0).alias("_side"))
+    routed = route(events, members, plan.members) if routed is None else routed
+    routed = routed.select(*RUN, "pv_name", "ts_us", "seq", "value", F.lit(0).alias("_side"))
     marks = fired.select(
         *RUN,
         F.col("trigger_us").alias("ts_us"),
@@ -322,22 +329,38 @@ def _trigger_heads(routed: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame
 
 
 def triggered_buffered(
-    events: DataFrame, members: DataFrame, triggers: DataFrame, *, plan: Plan | None = None, flush_on_stop: bool = True
+    events: DataFrame,
+    members: DataFrame,
+    triggers: DataFrame,
+    *,
+    plan: Plan | None = None,
+    flush_on_stop: bool = True,
+    fired: DataFrame | None = None,
+    routed: DataFrame | None = None,
 ) -> DataFrame:
     """Events since the previous trigger, no older than the window before the last of them."""
     plan = plan or plan_triggers(events, members, triggers)
-    fired = number_triggers(triggers, members, plan, flush_on_stop)
-    assigned = assign_triggers(events, members, fired, plan)
+    if fired is None:
+        fired = number_triggers(triggers, members, plan, flush_on_stop)
+    assigned = assign_triggers(events, members, fired, plan, routed)
     return assigned.where(F.col("ts_us") >= F.col("newest_us") - window_us()).drop("newest_us")
 
 
 def triggered_normal(
-    events: DataFrame, members: DataFrame, triggers: DataFrame, *, plan: Plan | None = None, flush_on_stop: bool = True
+    events: DataFrame,
+    members: DataFrame,
+    triggers: DataFrame,
+    *,
+    plan: Plan | None = None,
+    flush_on_stop: bool = True,
+    fired: DataFrame | None = None,
+    routed: DataFrame | None = None,
 ) -> DataFrame:
     """At each trigger the last value of every PV seen so far."""
     plan = plan or plan_triggers(events, members, triggers)
-    fired = number_triggers(triggers, members, plan, flush_on_stop)
-    assigned = assign_triggers(events, members, fired, plan)
+    if fired is None:
+        fired = number_triggers(triggers, members, plan, flush_on_stop)
+    assigned = assign_triggers(events, members, fired, plan, routed)
     latest = _latest(assigned, [*RUN, "snapshot_name", "pv_name", "iter_index"], ["ts_us", "seq", "value"])
     counts = fired.groupBy(*RUN).agg(F.max("iter_index").alias("last_iter"))
     latest = lookup_join(latest, counts, RUN, rows=plan.members.rows)
@@ -392,27 +415,27 @@ def frames(data: DataFrame, stamps: DataFrame) -> DataFrame:
     return body.unionByName(header, allowMissingColumns=True).unionByName(tail, allowMissingColumns=True)
 
 
-def normal_frames(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
+def normal_frames(events: DataFrame, members: DataFrame, known: Span | None = None, routed: DataFrame | None = None) -> DataFrame:
     members, known = until_newest(events, members, known)
-    data = normal(events, members, known).withColumn("sub_index", F.lit(0).cast("bigint")).withColumn("to_us", window_end())
+    data = normal(events, members, known, routed).withColumn("sub_index", F.lit(0).cast("bigint")).withColumn("to_us", window_end())
     return frames(data, windows(members))
 
 
-def buffered_frames(events: DataFrame, members: DataFrame, known: Span | None = None) -> DataFrame:
+def buffered_frames(events: DataFrame, members: DataFrame, known: Span | None = None, routed: DataFrame | None = None) -> DataFrame:
     members, known = until_newest(events, members, known)
-    return frames(buffered(events, members, known).withColumn("to_us", window_end()), windows(members))
+    return frames(buffered(events, members, known, routed).withColumn("to_us", window_end()), windows(members))
 
 
 def triggered_frames(
-    events: DataFrame, members: DataFrame, triggers: DataFrame, buffer: bool, *, plan: Plan | None = None
+    events: DataFrame, members: DataFrame, fired: DataFrame, buffer: bool, plan: Plan, routed: DataFrame | None = None
 ) -> DataFrame:
-    """One iteration per trigger, stamped with its time; the stop of a run fires a last time."""
-    plan = plan or plan_triggers(events, members, triggers)
+    """One iteration per trigger, stamped with its time; ``fired`` out of ``number_triggers``, whose stops fire a last time."""
     snapshot = triggered_buffered if buffer else triggered_normal
     zero = F.lit(0).cast("bigint")
-    data = snapshot(events, members, triggers, plan=plan).withColumn("sub_index", zero).withColumn("to_us", F.col("trigger_us"))
-    fired = number_triggers(triggers, members, plan, True).select(*RUN, "iter_index", F.col("trigger_us").alias("to_us"))
-    return frames(data, lookup_join(fired, runs(members).select(*RUN, "snapshot_name"), RUN, rows=plan.members.rows))
+    data = snapshot(events, members, fired, plan=plan, fired=fired, routed=routed)
+    data = data.withColumn("sub_index", zero).withColumn("to_us", F.col("trigger_us"))
+    stamps = fired.select(*RUN, "iter_index", F.col("trigger_us").alias("to_us"))
+    return frames(data, lookup_join(stamps, runs(members).select(*RUN, "snapshot_name"), RUN, rows=plan.members.rows))
 
 
 def once(events: DataFrame, requests: DataFrame, *, width: int | None = None) -> DataFrame:
@@ -556,26 +579,34 @@ def members_of(runs_: DataFrame) -> DataFrame:
     return runs_.withColumn("pv_name", F.explode(names)).drop("pv_name_list")
 
 
-def command_frames(events: DataFrame, replies: DataFrame, *, width: int | None = None) -> DataFrame:
+def command_frames(events: DataFrame, replies: DataFrame, *, save: Callable[[DataFrame, str], DataFrame], width: int | None = None) -> DataFrame:
     """Frames of all snapshots that a history of commands starts, stops and triggers.
 
     replies: out of ``lifecycle``, with the columns of the definitions (``pv_name_list``, ``time_window_msec``,
-    ``sub_push_delay_msec``, ``triggered``, ``snapshot_type``, ``serialization``). It is read several times; pass a written table. The
+    ``sub_push_delay_msec``, ``triggered``, ``snapshot_type``, ``serialization``); a written table, as it is read several times. The
     frames of timed and triggered, last-value and buffered runs come as one table, with the run's ``serialization``.
+    Events meet the runs of all kinds in one interval join; ``save`` writes a table and reads it back.
     """
-    started = run_intervals(replies, width=width)
-    every = members_of(started)
+    kept = ["snapshot_name", *RUN, "stop_us", "time_window_msec", "sub_push_delay_msec", "triggered", "snapshot_type", "serialization", "pv_name_list"]
+    started = save(run_intervals(replies, width=width).select(*kept), "runs")
     slice_us = interval_width(started, "start_us", "stop_us")
+    timed, _ = until_newest(events, started.where("NOT triggered"))
+    members = save(members_of(timed.unionByName(started.where("triggered"))), "members")
+    known = span(members, slice_us)
+    routed = save(route(events, members, known), "routed")
     armed = replies.where("outcome = 'armed'").select("queue_name", F.col("ts_us").alias("trigger_us"), F.col("seq").alias("trigger_seq"))
+    fired = members.where("triggered")
+    plan = plan_triggers(events, fired, armed, known=known)
+    numbered = save(number_triggers(armed, fired, plan, True), "triggers")
     parts = []
-    for kind in ("Normal", "TimedBuffered"):
-        own = every.where(F.col("snapshot_type") == kind)
-        timed, fired = (own.where(c).drop("seq", "ts_us") for c in (~F.col("triggered"), F.col("triggered")))
-        make = buffered_frames if kind == "TimedBuffered" else normal_frames
-        parts.append(make(events, timed, span(timed, slice_us)))
-        plan = plan_triggers(events, fired, armed, known=span(fired, slice_us))
-        parts.append(triggered_frames(events, fired, armed, kind == "TimedBuffered", plan=plan))
+    for kind, make in (("Normal", normal_frames), ("TimedBuffered", buffered_frames)):
+        of = F.col("snapshot_type") == kind
+        own = members.where(of & ~F.col("triggered"))
+        parts.append(make(events, own, known._replace(to_us=known.to_us or known.from_us), routed.where(of & ~F.col("triggered"))))
+        own = fired.where(of)
+        shots = numbered.join(runs(own).select(*RUN), RUN, "left_semi")
+        parts.append(triggered_frames(events, own, shots, kind == "TimedBuffered", plan, routed.where(of & F.col("triggered"))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return lookup_join(out, started.select(*RUN, "serialization"), RUN)
+    return lookup_join(out, started.select(*RUN, "serialization"), RUN, rows=known.rows)

@@ -251,6 +251,21 @@ def encode_compact(spark, sf):
     return out.select("pv_name", "seq", F.hex("value").alias("payload"))
 
 
+_SOME = S.mp_map(value=_LEAVES[0], alarm=S.mp_map(severity=_LEAVES[1], status=_LEAVES[2], message=_LEAVES[3]))
+
+
+@query("field_filter_msgpack", with_ctes(S.SPARSE, NT, body=f"""
+SELECT seq, '81' || {S.mp_text('pv_name')} || CASE seq % 3 WHEN 0 THEN {S.mp_map(value=_LEAVES[0])} WHEN 1 THEN {_SOME} ELSE {_NT_PACK} END AS payload FROM nt"""))
+def field_filter_msgpack(spark, sf):
+    """Fields outside a row's filter are not in its payload at all."""
+    df = principal(spark, sf)
+    names = lambda *n: F.array(*[F.lit(x) for x in n])
+    wanted = F.when(F.col("seq") % 3 == 0, names("value", "missing")).when(F.col("seq") % 3 == 1, names("alarm", "value"))
+    wanted = wanted.otherwise(F.array().cast("array<string>"))
+    message = E.msgpack_message(F.col("pv_name"), F.col("data"), df.schema["data"].dataType, wanted=wanted)
+    return df.select("seq", F.hex(message).alias("payload"))
+
+
 _CHOSEN = "CASE WHEN seq % 5 = 4 THEN NULL WHEN seq % 2 = 0 THEN 'num' ELSE 'text' END"
 _UNION_SQL = f"(CASE WHEN seq % 5 = 4 THEN '81A0C0' WHEN seq % 2 = 0 THEN {S.mp_map(num=S.mp_int('status'))} ELSE {S.mp_map(text=S.mp_text('message'))} END)"
 _UNION_BODY = S.mp_map(value=_UNION_SQL, list=f"'92' || {_UNION_SQL} || {S.mp_map(num=S.mp_int('tag'))}", id=S.mp_int("seq"))

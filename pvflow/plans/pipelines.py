@@ -124,7 +124,7 @@ def pipeline_snapshot(spark, sf):
     """Command text -> runs -> windows and triggers -> frames in the runs' serialization -> ordered topics."""
     replies, width = _replies(spark, sf)
     events = T.data_events(spark, sf).drop("event_type", "source")
-    frames = snap.command_frames(events, replies, width=width)
+    frames = snap.command_frames(events, replies, save=sinks.saved, width=width)
     payload = E.frame_payload(F.col("value"), frames.schema["value"].dataType)
     rows = _published(frames, spark, "frames", [payload.alias("payload"), "serialization"])
     text = F.when(F.col("serialization") == "json", F.col("payload").cast("string")).otherwise(F.hex("payload"))

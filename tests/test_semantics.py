@@ -19,7 +19,7 @@ from pvflow.operators import metrics as MT
 from pvflow.operators import registry as R
 from pvflow.operators import snapshots as snap
 from pvflow.session import work_dir
-from pvflow.sources import readers, topics
+from pvflow.sources import readers, sinks, topics
 
 
 @pytest.mark.parametrize(
@@ -457,7 +457,7 @@ def test_commands_to_frames(spark, ramp):
     replies = snap.lifecycle(commands, width=0).cache()
     told = {r.seq: (r.outcome, r.message, r.publishing_topic) for r in snap.lifecycle_replies(replies).collect()}
     assert told[1] == ("started", "ok", "q1") and told[2] == ("stopped", "Snapshot 'Q1' has been stopped", "") and told[9][1] == "Snapshot 'Q3' has not been found"
-    out = snap.command_frames(ramp, replies, width=0).collect()
+    out = snap.command_frames(ramp, replies, save=sinks.saved, width=0).collect()
     data = lambda q: sorted((r.start_us // 10**6, r.iter_index, r.seq) for r in out if r.queue_name == q and r.message_type == 1)
     ends = lambda q: sorted((r.start_us // 10**6, r.iter_index) for r in out if r.queue_name == q and r.message_type == 2)
     # 2-6-10-(11), then 20-24-..-36: the newest event is at 39, so the window up to 40 is not finished
