@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Event time that rows wait in together.
+BUCKET_MS = 60_000
+
 
 def _plain(value):
     """A pandas cell as the Python value that state takes."""
@@ -24,7 +27,11 @@ def _plain(value):
 
 
 class InOrder(StatefulProcessor):
-    """Base of operators that see the rows of a key in order of ``order``, whose first column is ts_us."""
+    """Base of operators that see the rows of a key in order of ``order``, whose first column is ts_us.
+
+    Rows wait in buckets of event time, each an entry of its own: a batch rewrites only the buckets it adds to, and a
+    timer opens only those the watermark has passed as a whole, whatever else a busy key holds.
+    """
 
     columns: list[str]
     kinds: list[str]
@@ -33,7 +40,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", ", ".join(f"{c} {k}" for c, k in zip(self.columns, self.kinds)))
+        row = ", ".join(f"{c}: {k}" for c, k in zip(self.columns, self.kinds))
+        self.pending = handle.getMapState("pending", "bucket LONG", f"rows ARRAY<STRUCT<{row}>>")
         self.remember(handle)
 
     def remember(self, handle: StatefulProcessorHandle) -> None:
@@ -55,30 +63,31 @@ class InOrder(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs()
         new = pd.concat(list(rows), ignore_index=True)[self.columns]
         new = new[new["ts_us"] // 1000 >= passed]
-        if len(new):
-            self.pending.appendList([tuple(_plain(v) for v in r) for r in new.itertuples(index=False, name=None)])
-            self.handle.registerTimer(int(new["ts_us"].min()) // 1000 + 1)
+        for bucket, part in new.groupby(new["ts_us"] // (1000 * BUCKET_MS)):
+            at = (int(bucket),)
+            added = [tuple(_plain(v) for v in r) for r in part.itertuples(index=False, name=None)]
+            if self.pending.containsKey(at):
+                added = [tuple(r) for r in self.pending.getValue(at)[0]] + added
+            else:
+                self.handle.registerTimer((at[0] + 1) * BUCKET_MS)
+            self.pending.updateValue(at, (added,))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame(list(self.pending.get()), columns=self.columns, dtype=object)
-        ready = held[held["ts_us"].map(lambda t: t // 1000 < passed)] if len(held) else held
-        if not len(ready):
+        ready = sorted(k[0] for k in self.pending.keys() if (k[0] + 1) * BUCKET_MS <= passed)
+        if not ready:
             return
-        rest = held.drop(ready.index)
-        if len(rest):
-            self.pending.put(list(rest.itertuples(index=False, name=None)))
-            self.handle.registerTimer(int(rest["ts_us"].min()) // 1000 + 1)
-        else:
-            self.pending.clear()
         self.begin()
-        out: list[tuple] = []
-        for row in ready.sort_values(self.order).itertuples(index=False):
-            out += self.each(key, row)
+        for bucket in ready:
+            held = pd.DataFrame([tuple(r) for r in self.pending.getValue((bucket,))[0]], columns=self.columns, dtype=object)
+            self.pending.removeKey((bucket,))
+            out: list[tuple] = []
+            for row in held.sort_values(self.order).itertuples(index=False):
+                out += self.each(key, row)
+            if out:
+                yield pd.DataFrame(out, columns=self.output)
         self.end()
-        if out:
-            yield pd.DataFrame(out, columns=self.output)
 
     def close(self) -> None:
         pass
