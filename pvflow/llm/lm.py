@@ -1,305 +1,338 @@
-"""Language-model scores from a weighted backoff automaton.
-
-States are histories: the root, words, and pairs of words. A state has an arc for every n-gram that stands for enough of
-the corpus, weighted with its discounted log-probability, and a failure arc to the next shorter history, weighted so
-that the probabilities of a state add up to 1 (Katz backoff with absolute discounting). A text is scored in one
-traversal from left to right that carries the state.
-
-All words and all n-grams of all training documents are counted. The part of the model that travels to every task is
-bounded whatever the corpus: an n-gram is an arc if its count reaches a fixed share of all tokens, so there are at most 1 / share
-of each order, and higher orders are counted only where their shorter parts are arcs (they cannot reach the share otherwise).
-The counts of all other words stay a table; tokens that need them meet it in a join, since at the root
-their terms simply add to the score of their document.
+"""Language-model scores from a weighted backoff automaton that is sharded by n-gram.
+
+States are histories: the root, every word and every pair of words of the training texts. A state h has an arc for every
+word w that ever followed it, weighted with its smoothed probability
+
+    p(w | h) = (c(h w) + K p(w | h')) / (c(h) + K),
+
+where h' is h without its first word, and a failure arc to h' with weight K / (c(h) + K), which is what the formula gives a
+word that never followed. So the probabilities of a state add up to 1 whatever its counts are. At the root stands (c + 1) /
+(N + V + 1). No n-gram is left out, however rare, and none for the size of the corpus.
+
+The automaton is never in one place. Texts are dealt into chunks. Pass one lists the distinct words, pairs and triples of each
+chunk with their training counts, sorted by a 63-bit hash and cut into buckets of the hash range. Each bucket is added up
+in one task, and each chunk gets the counts of just its own n-grams back: the arcs its texts can take. Pass two meets
+each chunk with them and takes its texts through from left to right, all positions of a chunk at once: the two words before a
+position name its state, and the longest one that the counts know gives the arc. What a task holds is bounded by the
+size of a chunk (or of a single longer text) and of a bucket.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvflow.llm.common import durable
+from pvflow.llm.common import durable, parts
 from pvflow.llm.langid import held_out
 
-#: Least share of the training tokens of an n-gram (n = 1: to carry arcs at all) that becomes an arc.
-ARC_SHARE = 1e-5
-#: Least share of a word whose count travels with the automaton; all other counts are joined.
-KNOWN_SHARE = 2e-6
-LEAST_COUNT = 2
+#: Weight of the shorter history, in counts.
+K = 4.0
+#: Tokens of a chunk, and bytes of text that a bucket stands for.
+CHUNK = 1_500_000
+BUCKET_BYTES = 12_000_000
 #: The end of a text; no word holds a blank.
 END = b" "
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _KEEP = 400_000
+_EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
+ORDERS = 3
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: bytes) -> list[bytes]:
     """Words with A-Z in lower case, then the end."""
-    words = (text or "").encode().translate(_LOWER).split()  # bytes.split cuts at the six white-space bytes only
+    words = text.translate(_LOWER).split()  # bytes.split cuts at the six white-space bytes only
     words.append(END)
     return words
 
 
-def hashed(word: bytes) -> int:
-    import xxhash
+class Hasher:
+    """63-bit hashes of words, in the high bits; the lowest is free."""
+
+    def __init__(self):
+        self.cache: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> list[int]:
+        import xxhash
 
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+        cache, out = self.cache, []
+        if len(cache) > _KEEP:
+            cache.clear()
+        for w in words:
+            h = cache.get(w)
+            if h is None:
+                h = cache[w] = xxhash.xxh64_intdigest(w, 42) & 0xFFFFFFFFFFFFFFFE
+            out.append(h)
+        return out
 
 
-def _pairs(names: list[str], keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=names)
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes, in order (the finaliser of SplitMix64)."""
+    with np.errstate(over="ignore"):
+        x = a * np.uint64(0x9E3779B97F4A7C15) + (b >> np.uint64(1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))) & _EVEN
 
 
-def count_words(training: DataFrame) -> DataFrame:
-    """(h, c) of every token of ``training`` (text)."""
+class Chunk(NamedTuple):
+    """Texts one after the other: the first token of each and the keys of the n-grams that end at each token."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+    starts: np.ndarray
+    size: int
+    keys: list[np.ndarray]
+    at: list[np.ndarray]
 
-        def flush() -> pa.RecordBatch:
-            made = _pairs(["h", "c"], np.array([hashed(w) for w in seen], np.int64), np.array(list(seen.values()), np.int64))
-            seen.clear()
-            return made
 
-        for batch in batches:
-            for t in batch.column(0):
-                seen.update(tokens(t.as_py()))
-                if len(seen) > _KEEP:
-                    yield flush()
-        if seen:
-            yield flush()
+def chunk_of(hashes: list[list[int]]) -> Chunk:
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    words = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
+    place = np.arange(len(words)) - np.repeat(starts, sizes)  # of a token in its text
+    second, third = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
+    pairs = np.zeros(len(words), np.uint64)
+    pairs[second] = _joined(words[second - 1], words[second])
+    triples = _joined(pairs[third - 1], words[third])
+    return Chunk(starts, len(words), [words, pairs[second], triples], [np.arange(len(words)), second, third])
 
-    return training.select("text").mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return first
 
-@dataclass
-class Vocabulary:
-    """Known words in descending order of count: their hashes and counts; the first ``arcs`` may carry arcs."""
 
-    h: np.ndarray
-    c: np.ndarray
-    arcs: int
-    cache: dict[bytes, int] = field(default_factory=dict)
-    index: dict[int, int] = field(default_factory=dict)
+def counted(keys: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs where ``out`` (held out) is 0."""
+    marked = np.sort(keys | out)
+    base = marked & _EVEN
+    first = np.flatnonzero(_firsts(base))
+    training = (np.uint64(1) - (marked & np.uint64(1))).astype(np.uint32)
+    return base[first], np.add.reduceat(training, first).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
 
-    def ids(self, words: list[bytes]) -> list[int]:
-        """Number of each word, -1 if it is not known."""
-        if not self.index:
-            self.index = {int(h): i for i, h in enumerate(self.h)}
-        if len(self.cache) > _KEEP:
-            self.cache.clear()
-        cache, index, out = self.cache, self.index, []
-        for w in words:
-            i = cache.get(w)
-            if i is None:
-                i = cache[w] = index.get(hashed(w), -1)
-            out.append(i)
-        return out
 
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of equal rank together, so that those that are zero throughout compress to nothing."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
-def _frequent(counts: DataFrame, key: str, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of at least ``least``, the greatest first; bounded by the share that ``least`` stands for."""
-    rows = counts.where(F.col("c") >= least).toArrow()
-    k, c = (rows.column(n).to_numpy(zero_copy_only=False) for n in (key, "c"))
-    order = np.lexsort((k, -c))
-    return k[order].astype(np.int64), c[order].astype(np.int64)
 
+def unplanes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-def count_arcs(training: DataFrame, vocab: Vocabulary, below: np.ndarray | None) -> DataFrame:
-    """(k, c) of pairs of arc words (``below`` None), or of triples whose two pairs are both in the sorted array ``below``.
 
-    A pair is coded as first * arcs + second, a triple as index of its first pair * arcs + third.
-    """
-    n = vocab.arcs
-    shared = training.sparkSession.sparkContext.broadcast((vocab.h[:n], vocab.c[:n], below))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c, pairs = shared.value
-        words = Vocabulary(h, c, n)
-        found: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(found), return_counts=True)
-            found.clear()
-            return _pairs(["k", "c"], codes, counts)
-
-        for batch in batches:
-            for t in batch.column(0):
-                ids = np.array(words.ids(tokens(t.as_py())), np.int64)
-                code = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * n + ids[1:], -1)
-                if pairs is None:
-                    found.append(code[code >= 0])
-                elif len(pairs) and len(code) > 1:
-                    at = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
-                    ok = pairs[at] == code
-                    found.append((at[:-1] * n + ids[2:])[ok[:-1] & ok[1:]])
-            if sum(map(len, found)) > 2_000_000:
-                yield flush()
-        if found:
-            yield flush()
-
-    return training.select("text").mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Automaton:
-    """Arcs (state, word) -> (log10 p, next state), failure arcs, and log10 p of the known words at the root."""
-
-    words: int
-    arc: dict[int, tuple[float, int]]
-    fail: list[int]
-    weight: list[float]
-    root: list[float]
-
-    def traverse(self, ids: list[int]) -> float:
-        """Score of a text without the root terms of unknown words, which the caller adds."""
-        state, total, arcs, n = 0, 0.0, self.arc, self.words
-        for i in ids:
-            if i < 0 or i >= n:  # never on an arc: fall to the root
-                while state:
-                    total += self.weight[state]
-                    state = self.fail[state]
-                if i >= 0:
-                    total += self.root[i]
-                continue
-            while True:
-                hit = arcs.get(state * n + i)
-                if hit is not None:
-                    total += hit[0]
-                    state = hit[1]
-                    break
-                if not state:
-                    total += self.root[i]
-                    break
-                total += self.weight[state]
-                state = self.fail[state]
-        return total
-
-
-def build(vocab: Vocabulary, total: int, distinct: int, discount: float, pairs, pair_counts, triples, triple_counts) -> Automaton:
-    """The automaton of the counted n-grams; ``pairs`` is sorted, codes are those of ``count_arcs``."""
-    n = max(vocab.arcs, 1)
-    root_p = (vocab.c - discount) / max(total, 1)
-    firsts, seconds = pairs // n, pairs % n
-    # states: root 0, a word w that begins a pair, a pair that begins a triple
-    word_state = {int(w): 1 + i for i, w in enumerate(np.unique(firsts))}
-    begun = np.unique(triples // n)
-    pair_state = {int(p): 1 + len(word_state) + i for i, p in enumerate(begun)}
-    size = 1 + len(word_state) + len(pair_state)
-    fail, weight = [0] * size, [0.0] * size
-    arc: dict[int, tuple[float, int]] = {}
-    for w, s in word_state.items():  # from the root a word leads to its own state
-        arc[w] = (float(np.log10(root_p[w])), s)
-
-    p2 = (pair_counts - discount) / vocab.c[firsts] if len(pairs) else np.zeros(0)
-    mass, lower = np.zeros(size), np.zeros(size)
-    for j, (u, w) in enumerate(zip(firsts.tolist(), seconds.tolist())):
-        s = word_state[u]
-        arc[s * n + w] = (float(np.log10(p2[j])), pair_state.get(j, word_state.get(w, 0)))
-        mass[s] += p2[j]
-        lower[s] += root_p[w]
-    index = {int(p): j for j, p in enumerate(pairs)}
-    for j, c in zip(triples.tolist(), triple_counts.tolist()):
-        pair, w = divmod(j, n)
-        s, v = pair_state[pair], int(seconds[pair])
-        p3 = (c - discount) / pair_counts[pair]
-        after = index[v * n + w]
-        arc[s * n + w] = (float(np.log10(p3)), pair_state.get(after, word_state.get(w, 0)))
-        mass[s] += p3
-        lower[s] += p2[after]
-    for p, s in pair_state.items():
-        fail[s] = word_state.get(int(seconds[p]), 0)
-    for s in range(1, size):
-        weight[s] = float(np.log10(max(1 - mass[s], 1e-12) / max(1 - lower[s], 1e-12)))
-    return Automaton(n, arc, fail, weight, np.log10(root_p).tolist())
-
-
-def _traversed(docs: DataFrame, vocab: Vocabulary, model: Automaton, base: np.ndarray) -> DataFrame:
-    """Per row of ``docs`` its sums over known words, and the unknown words that still need their counts."""
-    parts = (vocab.h, vocab.c, vocab.arcs, list(model.arc.keys()), list(model.arc.values()), model.fail, model.weight, model.root, model.words, base)
-    shared = docs.sparkSession.sparkContext.broadcast({"parts": parts})
-    kinds = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+def _written(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _read(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
 
+
+class Gathered(NamedTuple):
+    name: str
+    ids: list
+    out: list[bool]
+    texts: list[bytes]
+    hashes: list[list[int]]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Gathered]:
+    """The rows of a partition in chunks of at least ``CHUNK`` tokens, named by what is in them."""
+    import xxhash
+
+    hasher, held, size = Hasher(), Gathered("", [], [], [], []), 0
+
+    def named() -> Gathered:
+        digest = xxhash.xxh3_128()
+        for text, out in zip(held.texts, held.out, strict=True):
+            digest.update(len(text).to_bytes(8, "big") + bytes([out]) + text)
+        return held._replace(name=digest.hexdigest())
+
+    for batch in batches:
+        for i, out, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")], strict=True):
+            raw = (text or "").encode()
+            hashes = hasher(tokens(raw))
+            for part, value in zip(held[1:], (i, out, raw, hashes), strict=True):
+                part.append(value)
+            size += len(hashes)
+            if size >= CHUNK:
+                yield named()
+                held, size = Gathered("", [], [], [], []), 0
+    if held.ids:
+        yield named()
+
+
+_ASKED = "kind int, ord int, bucket bigint, chunk string, keys binary, counts binary"
+
+
+def _ask(buckets: int):
+    """The distinct n-grams of each chunk by order and bucket, with their training counts."""
+    edges = np.array([-(-j * (1 << 63) // buckets) * 2 for j in range(1, buckets)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches):
+            chunk = chunk_of(held.hashes)
+            out = np.repeat(np.array(held.out, np.uint64), [len(h) for h in held.hashes])
+            for ord_ in range(ORDERS):
+                keys, counts = counted(chunk.keys[ord_], out[chunk.at[ord_]])
+                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                rows = [(j, a, b) for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                made = {
+                    "kind": pa.array([0] * len(rows), pa.int32()),
+                    "ord": pa.array([ord_] * len(rows), pa.int32()),
+                    "bucket": pa.array([j for j, _, _ in rows], pa.int64()),
+                    "chunk": pa.array([held.name] * len(rows), pa.string()),
+                    "keys": pa.array([_written(keys[a:b]) for _, a, b in rows], pa.binary()),
+                    "counts": pa.array([planes(counts[a:b]) for _, a, b in rows], pa.binary()),
+                }
+                yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    return run
+
+
+_TOLD = "kind int, ord int, bucket bigint, chunk string, counts binary, total bigint, known bigint"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Runs of rows with equal keys, a run at a time."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if key != now:
+                if rows:
+                    yield now, rows
+                now, rows = key, []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's counts over all chunks, back to each chunk in the order of its own keys."""
+    for (ord_, bucket), rows in _grouped(batches, ["ord", "bucket"]):
+        keys = [_read(r["keys"]) for r in rows]
+        every = np.concatenate(keys)
+        order = np.argsort(every)
+        first = _firsts(every[order])
+        sums = np.add.reduceat(np.concatenate([unplanes(r["counts"], np.uint32) for r in rows]).astype(np.uint64)[order], np.flatnonzero(first))
+        found = np.empty(len(every), np.uint64)
+        found[order] = sums[np.cumsum(first) - 1]
+        ends = np.cumsum([len(k) for k in keys])
+        n = len(rows)
+        made = {
+            "kind": pa.array([0] * n, pa.int32()),
+            "ord": pa.array([ord_] * n, pa.int32()),
+            "bucket": pa.array([bucket] * n, pa.int64()),
+            "chunk": pa.array([r["chunk"] for r in rows], pa.string()),
+            "counts": pa.array([planes(found[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)], pa.binary()),
+            "total": pa.array([int(sums.sum())] + [0] * (n - 1), pa.int64()),
+            "known": pa.array([int((sums > 0).sum())] + [0] * (n - 1), pa.int64()),
+        }
+        yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+
+_TEXTS = "kind int, ord int, bucket bigint, chunk string, ids array<bigint>, held array<boolean>, sizes array<bigint>, body binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    for held in _chunks(batches):
+        made = {
+            "kind": pa.array([1], pa.int32()),
+            "ord": pa.array([0], pa.int32()),
+            "bucket": pa.array([0], pa.int64()),
+            "chunk": pa.array([held.name], pa.string()),
+            "ids": pa.array([held.ids], pa.list_(pa.int64())),
+            "held": pa.array([held.out], pa.list_(pa.bool_())),
+            "sizes": pa.array([[len(t) for t in held.texts]], pa.list_(pa.int64())),
+            "body": pa.array([packer.compress(b"".join(held.texts))], pa.binary()),
+        }
+        yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+
+def traverse(chunk: Chunk, counts: list[np.ndarray], total: int, known: int, k: float = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: known tokens, sum of the root's log10 probabilities, and log10 probability under the automaton.
+
+    ``counts`` are those of the chunk's distinct n-grams by order, in the order of their keys.
+    """
+    found = []
+    for keys, values in zip(chunk.keys, counts, strict=True):
+        order = np.argsort(keys)
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.cumsum(_firsts(keys[order])) - 1
+        found.append(values[at].astype(np.float64))
+    one, second, third = found[0], chunk.at[1], chunk.at[2]
+    two = np.zeros(chunk.size)
+    two[second] = found[1]
+    root = (one + 1) / (total + known + 1)
+    p = root.copy()
+    p[second] = (two[second] + k * root[second]) / (one[second - 1] + k)
+    p[third] = (found[2] + k * p[third]) / (two[third - 1] + k)
+    sums = lambda x: np.add.reduceat(x, chunk.starts)
+    return sums((one > 0).astype(np.int64)), sums(np.log10(root)), sums(np.log10(p))
+
+
+_SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _score(total: int, known: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        held = shared.value
-        if "ready" not in held:  # once per worker
-            h, c, arcs, keys, values, fail, weight, root, words, base = held["parts"]
-            held["ready"] = (Vocabulary(h, c, arcs), Automaton(words, dict(zip(keys, values)), fail, weight, root), base)
-        words, machine, base = held["ready"]
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("row", "n_tokens", "n_known", "base", "score", "rest")}
-            for t in batch.column("text"):
-                toks = tokens(t.as_py())
-                ids = words.ids(toks)
-                known = np.array(ids, np.int64)
-                known = known[known >= 0]
-                rest = Counter(w for w, i in zip(toks, ids) if i < 0) if len(known) < len(ids) else {}
-                out["row"].append(row)
-                out["n_tokens"].append(len(ids))
-                out["n_known"].append(len(known))
-                out["base"].append(float(base[known].sum()))
-                out["score"].append(machine.traverse(ids))
-                out["rest"].append([{"h": hashed(w), "n": k} for w, k in rest.items()])
-                row += 1
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), kinds]
-            made = [pa.array(v, k) for v, k in zip(out.values(), types)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names=["doc_id", "held_out", *out])
-
-    schema = "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<struct<h:bigint,n:bigint>>"
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+        import zstandard
+
+        hasher, names = Hasher(), [c.split()[0] for c in _SCORES.split(", ")]
+        for (name,), rows in _grouped(batches, ["chunk"]):
+            told = {(r["ord"], r["bucket"]): r["counts"] for r in rows if not r["kind"]}  # equal chunks are told the same
+            counts = [np.concatenate([unplanes(told[at], np.uint64) for at in sorted(told) if at[0] == o] or [np.zeros(0, np.uint64)]) for o in range(ORDERS)]
+            for row in (r for r in rows if r["kind"]):
+                body, at, hashes = zstandard.ZstdDecompressor().decompress(row["body"]), 0, []
+                for size in row["sizes"]:
+                    hashes.append(hasher(tokens(body[at : at + size])))
+                    at += size
+                chunk = chunk_of(hashes)
+                if not told or len(counts[0]) != len(np.unique(chunk.keys[0])):
+                    raise ValueError(f"chunk {name} was not counted: the input gave its rows in another order; write it first")
+                n_known, base, score = traverse(chunk, counts, total, known)
+                n = len(hashes)
+                arrays = [
+                    pa.array(row["ids"], pa.int64()),
+                    pa.array(row["held"], pa.bool_()),
+                    pa.array([len(h) for h in hashes], pa.int64()),
+                    pa.array(n_known, pa.int64()),
+                    pa.array(np.full(n, total, np.int64)),
+                    pa.array(base),
+                    pa.array(score),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return run
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
-    A null text is empty (its only token is the end), a null id counts as the empty text in the checksum. Words that
-    training has not seen share the probability that discounting leaves over. Repeated rows are scored and counted
-    each. Without training documents every probability is 1 and every score 0. Words are told apart by 64-bit hashes.
+    ``docs`` is read twice and has to give its rows in the same order both times, as files and written tables do; if it
+    does not, the job ends with an error. A null text is empty (its only token is the end), a null id counts as the empty
+    text in the checksum. Repeated rows are scored and counted each. Without training documents every probability
+    is 1 and every score 0; an empty table gives no rows. Words and n-grams are told apart by 63-bit hashes. Further
+    columns, of whatever name, are left out.
     """
+    spark = docs.sparkSession
     flagged = docs.select("doc_id", "text", held_out(mod=7, rest=2).alias("held_out"))
-    training = flagged.where("NOT held_out")
-    counts = durable(count_words(training), "word-counts")
-    stats = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("bigint")), F.sum((F.col("c") == 2).cast("bigint"))).first()
-    total, distinct, once, twice = (int(x or 0) for x in stats)
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-
-    h, c = _frequent(counts, "h", KNOWN_SHARE * total)
-    least = max(LEAST_COUNT, ARC_SHARE * total)
-    vocab = Vocabulary(h, c, int((c >= least).sum()))
-    pairs, pair_counts = _frequent(count_arcs(training, vocab, None), "k", least)
-    order = np.argsort(pairs)
-    pairs, pair_counts = pairs[order], pair_counts[order]
-    triples, triple_counts = _frequent(count_arcs(training, vocab, pairs), "k", least)
-    model = build(vocab, total, distinct, discount, pairs, pair_counts, triples, triple_counts)
-    room = total + distinct + 1
-    scored = durable(_traversed(flagged, vocab, model, np.log10((c + 1) / room)), "traversed")
-
-    # the words that did not travel: their terms at the root
-    unseen = np.log10(discount * distinct / total) if total else 0.0
-    rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.h", "r.n")
-    rest = rest.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    smooth = F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / max(total, 1))).otherwise(F.lit(float(unseen)))
-    added = rest.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 1) / room)).alias("more_base"),
-        F.sum(F.col("n") * smooth).alias("more_score"),
-    )
-    rows = scored.drop("rest").join(added, "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return rows.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        plus("n_known", "more_known").alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        plus("base", "more_base").alias("base_score"),
-        plus("score", "more_score").alias("score"),
-    )
+    size = flagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = parts(spark)
+    asked = flagged.mapInArrow(_ask(max(1, -(-size // BUCKET_BYTES))), _ASKED)
+    told = asked.repartition(n, "ord", "bucket").sortWithinPartitions("ord", "bucket", "chunk").mapInArrow(_add_up, _TOLD)
+    told = durable(told, "counts")
+    total, known = told.where("ord = 0").agg(F.sum("total"), F.sum("known")).first()
+    texts = flagged.mapInArrow(_pack, _TEXTS)
+    met = told.drop("total", "known").unionByName(texts, allowMissingColumns=True)
+    met = met.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "ord", "bucket")
+    return met.mapInArrow(_score(total or 0, known or 0), _SCORES)

@@ -203,36 +203,75 @@ def test_only_held_out_documents(docs):
     assert rows and all((r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0) for r in rows)
 
 
-def test_states_add_up_to_one(docs):
-    """Every state gives the known words and the unknown one a total probability of 1."""
-    training = docs.select("text")
-    counts = lm.count_words(training).toPandas()
-    total, distinct, discount = int(counts.c.sum()), len(counts), 0.6
-    order = np.lexsort((counts.h, -counts.c))
-    h, c = counts.h.to_numpy()[order], counts.c.to_numpy()[order]
-    vocab = lm.Vocabulary(h, c, int((c >= 4).sum()))
-    grams = []
-    for below in (None, "pairs"):
-        k, n = lm._frequent(lm.count_arcs(training, vocab, grams[0][0] if below else None), "k", 4)
-        by = np.argsort(k)
-        grams.append((k[by], n[by]))
-    model = lm.build(vocab, total, distinct, discount, *grams[0], *grams[1])
-    assert len(grams[0][0]) > 50 and len(grams[1][0]) > 5 and len(model.fail) > 50
-    unknown = discount * distinct / total
-    assert math.isclose(sum(10**x for x in model.root) + unknown, 1.0)
-
-    def probability(state, word):
-        log = 0.0
-        while True:
-            hit = model.arc.get(state * model.words + word) if 0 <= word < model.words else None
-            if hit and (state or True):
-                return 10 ** (log + hit[0])
-            if not state:
-                return 10**log * (unknown if word < 0 else 10 ** model.root[word])
-            log, state = log + model.weight[state], model.fail[state]
-
-    for state in list(range(0, len(model.fail), 7)) + [len(model.fail) - 1]:
-        assert math.isclose(sum(probability(state, w) for w in range(-1, len(h))), 1.0, rel_tol=1e-6)
+def grams(text):
+    toks = tokens(text)
+    return [(tuple(toks[i - n + 1 : i + 1]), i) for i in range(len(toks)) for n in (1, 2, 3) if i - n + 1 >= 0]
+
+
+def brute_scores(rows):
+    """Plain backoff over all n-grams: from the root to the longest history that training has seen."""
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c = Counter(g for i, text in rows if not out(i) for g, _ in grams(text))
+    total, known = sum(n for g, n in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+    def p(history, w):
+        if not history:
+            return (c[(w,)] + 1) / (total + known + 1)
+        n, lower = c[history], p(history[1:], w)
+        if c[(*history, w)]:  # an arc
+            return (c[(*history, w)] + lm.K * lower) / (n + lm.K)
+        return lm.K / (n + lm.K) * lower  # the failure arc
+
+    def score(text):
+        toks = tokens(text)
+        return sum(math.log10(p(tuple(toks[max(0, i - 2) : i]), w)) for i, w in enumerate(toks))
+
+    return Counter((i, round(score(text), 6)) for i, text in rows)
+
+
+def test_scores_equal_plain_backoff_at_any_size(llm, docs, monkeypatch):
+    """All n-grams count, however rare, on a table and on one four times as large, in small chunks and buckets."""
+    given = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    more = given + [(None if i is None else i + 1000 * k, f"{t or ''} river {k}") for k in (1, 2, 3) for i, t in given]
+    for rows, chunk, bucket in ((given, 1_500_000, 12_000_000), (given, 700, 3_000), (more, 5_000, 20_000)):
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        monkeypatch.setattr(lm, "BUCKET_BYTES", bucket)
+        df = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(5).cache()
+        assert Counter((r.doc_id, round(r.score, 6)) for r in lm.score_documents(df).collect()) == brute_scores(rows)
+
+
+def test_probabilities_of_a_state_add_up_to_one():
+    """Over all words and the unknown one, after histories of every kind."""
+    texts = [samples.prose(samples.EN, 60, i) for i in range(4)]
+    hasher = lm.Hasher()
+    train = lm.chunk_of([hasher(lm.tokens(t.encode())) for t in texts])
+    model = [dict(zip(*map(np.ndarray.tolist, lm.counted(k, np.zeros(len(k), np.uint64))), strict=True)) for k in train.keys]
+    total, known = sum(model[0].values()), len(model[0])
+    words = sorted({w for t in texts for w in lm.tokens(t.encode())})
+    first = lm.tokens(texts[0].encode())
+    for history in ([], first[3:4], first[4:6], [b"never"], [b"never", first[0]], [first[2], first[9]]):
+        ends = words + [b"unknown"]
+        chunk = lm.chunk_of([hasher([*history, w]) for w in ends])
+        keys = [np.unique(k) for k in chunk.keys]
+        counts = [np.array([m.get(x, 0) for x in k.tolist()], np.uint64) for m, k in zip(model, keys, strict=True)]
+        _, _, whole = lm.traverse(chunk, counts, total, known)
+        if history:
+            before = lm.chunk_of([hasher(history)] * len(ends))
+            keys = [np.unique(k) for k in before.keys]
+            counts = [np.array([m.get(x, 0) for x in k.tolist()], np.uint64) for m, k in zip(model, keys, strict=True)]
+            whole = whole - lm.traverse(before, counts, total, known)[2]
+        assert math.isclose(sum(10**x for x in whole), 1.0, rel_tol=1e-9), history
+
+
+def test_keys_survive_their_written_form():
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64) << np.uint64(1))
+    assert (lm._read(lm._written(keys)) == keys).all()
+    out = rng.integers(0, 2, 5000, dtype=np.uint64)
+    some = rng.choice(keys[:50], 5000)
+    got_keys, got = lm.counted(some, out)
+    want = Counter(some[out == 0].tolist())
+    assert got_keys.tolist() == sorted(set(some.tolist())) and got.tolist() == [want[k] for k in got_keys.tolist()]
 
 
 def plain_components(rows):
