@@ -210,7 +210,10 @@ def mixed_pieces(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     A piece is the text from the first to the last word that a block takes of a document, blanks between them included;
     ``n_chars`` is its length. A block that is taken twice gives its pieces twice, in different shards or slots. Together
-    the pieces of a document hold its words as often as ``mix`` counts them.
+    the pieces of a document hold its words as often as ``mix`` counts them. Null and empty texts give no pieces, an empty
+    table none at all. Rows of equal id and size but other text follow one another in any order, so which words of them share
+    a block may change between runs. Columns of ``docs`` named shard, slot, block, sid, start, size or name would meet
+    those made here; rename them first.
     """
     spark = docs.sparkSession
     columns = docs.columns
@@ -239,14 +242,16 @@ def mixed_pieces(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([made[n] for n in names], names=names)
 
     pieces = placed.select(*[f.name for f in fields], "sid", "start").mapInArrow(cut, schema)
-    return pieces.join(_taken_blocks(spark, table), ["sid", "block"]).select("shard", "slot", *columns)
+    # a merge join: the slots come out of few rows, so Spark's estimate would send them all to every task
+    return pieces.join(_taken_blocks(spark, table).hint("merge"), ["sid", "block"]).select("shard", "slot", *columns)
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source).
 
     A null text has no words, a null source is a source of its own. Documents without words are taken 0 times; rows
-    that repeat are documents of their own. An empty table gives an empty result; reruns agree.
+    that repeat are documents of their own. An empty table gives an empty result; reruns agree. Further columns, of
+    whatever name, are left out.
     """
     spark = docs.sparkSession
     sized = durable(docs.select("doc_id", "source", word_count(text_of()).alias("size")), "sizes")
@@ -259,7 +264,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spans = placed.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.floor(last / block).cast("bigint"))))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     # a document is known by its place in its source's stream
-    taken = spans.join(uses, ["sid", "block"], "left").groupBy("sid", "start", "doc_id", "size")
+    taken = spans.join(uses.hint("merge"), ["sid", "block"], "left").groupBy("sid", "start", "doc_id", "size")
     taken = taken.agg(F.sum(words * F.coalesce("uses", F.lit(0))).alias("taken")).select("doc_id", "size", "sid", "taken")
     empty = sized.where("size = 0").join(F.broadcast(_facts(spark, table)), F.col("source").eqNullSafe(F.col("name")))
     empty = empty.select("doc_id", "size", "sid", F.lit(0).cast("bigint").alias("taken"))
