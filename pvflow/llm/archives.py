@@ -338,7 +338,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as ARC, convert the files to WARC, and return what the WARC files hold.
 
     One row per row of ``pages``; null ids, urls and html, empty and very long pages and repeated rows pass through as
-    the functions above say. An empty table gives an empty result.
+    the functions above say. An empty table gives an empty result. Further columns, of whatever name, are left out.
     """
     spark = pages.sparkSession
     arc, warc = work_dir(spark, "arc"), work_dir(spark, "warc")

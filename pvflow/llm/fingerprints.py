@@ -142,7 +142,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third (whole code points, rounded down) replaced by as many code points, or all
     there are, from the start of the next document. Null texts count as empty; an empty text has no sketch, and two
-    such texts are alike (1.0). Equal texts have equal fingerprints. A lone document is its own next.
+    such texts are alike (1.0). Equal texts have equal fingerprints. A lone document is its own next. An empty table gives
+    an empty one; repeated rows each return a row. Further columns, of whatever name, are left out.
     """
     narrow = docs.select("doc_id", text_of().alias("text"))
     rows = with_next(narrow, ["text", "sketch"], lambda d: d.withColumn("sketch", sketch(F.col("text"))))

@@ -33,12 +33,12 @@ from pvflow.llm.langid import held_out
 #: Weight of the shorter history, in counts.
 K = 4.0
 #: Tokens of a chunk, and bytes of text that a bucket stands for.
-CHUNK = 1_500_000
-BUCKET_BYTES = 12_000_000
+CHUNK = 1_000_000
+BUCKET_BYTES = 6_000_000
 #: The end of a text; no word holds a blank.
 END = b" "
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_KEEP = 400_000
+_KEEP = 200_000
 _EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 ORDERS = 3
 
@@ -56,7 +56,7 @@ class Hasher:
     def __init__(self):
         self.cache: dict[bytes, int] = {}
 
-    def __call__(self, words: list[bytes]) -> list[int]:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
         cache, out = self.cache, []
@@ -67,7 +67,7 @@ class Hasher:
             if h is None:
                 h = cache[w] = xxhash.xxh64_intdigest(w, 42) & 0xFFFFFFFFFFFFFFFE
             out.append(h)
-        return out
+        return np.array(out, np.uint64)
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,10 +88,10 @@ class Chunk(NamedTuple):
     at: list[np.ndarray]
 
 
-def chunk_of(hashes: list[list[int]]) -> Chunk:
+def chunk_of(hashes: list[np.ndarray]) -> Chunk:
     sizes = np.array([len(h) for h in hashes], np.int64)
     starts = np.cumsum(sizes) - sizes
-    words = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
+    words = np.concatenate(hashes)
     place = np.arange(len(words)) - np.repeat(starts, sizes)  # of a token in its text
     second, third = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
     pairs = np.zeros(len(words), np.uint64)
@@ -116,13 +116,16 @@ def counted(keys: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Bytes of equal rank together, so that those that are zero throughout compress to nothing."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Whole numbers in as many bytes as the largest needs (first byte), bytes of equal rank together, as those compress best."""
+    size = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([size]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
 
 
-def unplanes(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def unplanes(raw: bytes) -> np.ndarray:
+    ranks = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((ranks.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = ranks.T
+    return out.view("<u8").ravel()
 
 
 def _written(keys: np.ndarray) -> bytes:
@@ -130,41 +133,40 @@ def _written(keys: np.ndarray) -> bytes:
 
 
 def _read(raw: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
+    return np.cumsum(unplanes(raw), dtype=np.uint64)
 
 
 class Gathered(NamedTuple):
+    """Rows of a chunk: its name, ids, held-out flags, and of each text its hashed tokens or its bytes."""
+
     name: str
     ids: list
     out: list[bool]
-    texts: list[bytes]
-    hashes: list[list[int]]
+    texts: list
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Gathered]:
+def _chunks(batches: Iterator[pa.RecordBatch], hashed: bool) -> Iterator[Gathered]:
     """The rows of a partition in chunks of at least ``CHUNK`` tokens, named by what is in them."""
     import xxhash
 
-    hasher, held, size = Hasher(), Gathered("", [], [], [], []), 0
-
-    def named() -> Gathered:
-        digest = xxhash.xxh3_128()
-        for text, out in zip(held.texts, held.out, strict=True):
-            digest.update(len(text).to_bytes(8, "big") + bytes([out]) + text)
-        return held._replace(name=digest.hexdigest())
-
+    hasher, ids, held, texts, size, digest = Hasher(), [], [], [], 0, xxhash.xxh3_128()
     for batch in batches:
         for i, out, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")], strict=True):
             raw = (text or "").encode()
-            hashes = hasher(tokens(raw))
-            for part, value in zip(held[1:], (i, out, raw, hashes), strict=True):
-                part.append(value)
-            size += len(hashes)
+            words = tokens(raw)
+            ids.append(i)
+            held.append(out)
+            texts.append(hasher(words) if hashed else raw)
+            digest.update(len(raw).to_bytes(8, "big") + bytes([out]))
+            digest.update(raw)
+            size += len(words)
             if size >= CHUNK:
-                yield named()
-                held, size = Gathered("", [], [], [], []), 0
-    if held.ids:
-        yield named()
+                full = Gathered(digest.hexdigest(), ids, held, texts)
+                ids, held, texts, size, digest = [], [], [], 0, xxhash.xxh3_128()
+                yield full
+                del full
+    if ids:
+        yield Gathered(digest.hexdigest(), ids, held, texts)
 
 
 _ASKED = "kind int, ord int, bucket bigint, chunk string, keys binary, counts binary"
@@ -175,9 +177,10 @@ def _ask(buckets: int):
     edges = np.array([-(-j * (1 << 63) // buckets) * 2 for j in range(1, buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _chunks(batches):
-            chunk = chunk_of(held.hashes)
-            out = np.repeat(np.array(held.out, np.uint64), [len(h) for h in held.hashes])
+        for held in _chunks(batches, True):
+            chunk = chunk_of(held.texts)
+            out = np.repeat(np.array(held.out, np.uint64), [len(h) for h in held.texts])
+            held.texts.clear()
             for ord_ in range(ORDERS):
                 keys, counts = counted(chunk.keys[ord_], out[chunk.at[ord_]])
                 cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
@@ -191,6 +194,7 @@ def _ask(buckets: int):
                     "counts": pa.array([planes(counts[a:b]) for _, a, b in rows], pa.binary()),
                 }
                 yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+            del chunk, out, made, keys, counts  # before the next chunk is gathered
 
     return run
 
@@ -220,7 +224,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(keys)
         order = np.argsort(every)
         first = _firsts(every[order])
-        sums = np.add.reduceat(np.concatenate([unplanes(r["counts"], np.uint32) for r in rows]).astype(np.uint64)[order], np.flatnonzero(first))
+        sums = np.add.reduceat(np.concatenate([unplanes(r["counts"]) for r in rows])[order], np.flatnonzero(first))
         found = np.empty(len(every), np.uint64)
         found[order] = sums[np.cumsum(first) - 1]
         ends = np.cumsum([len(k) for k in keys])
@@ -244,7 +248,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=3)
-    for held in _chunks(batches):
+    for held in _chunks(batches, False):
         made = {
             "kind": pa.array([1], pa.int32()),
             "ord": pa.array([0], pa.int32()),
@@ -290,7 +294,7 @@ def _score(total: int, known: int):
         hasher, names = Hasher(), [c.split()[0] for c in _SCORES.split(", ")]
         for (name,), rows in _grouped(batches, ["chunk"]):
             told = {(r["ord"], r["bucket"]): r["counts"] for r in rows if not r["kind"]}  # equal chunks are told the same
-            counts = [np.concatenate([unplanes(told[at], np.uint64) for at in sorted(told) if at[0] == o] or [np.zeros(0, np.uint64)]) for o in range(ORDERS)]
+            counts = [np.concatenate([unplanes(told[at]) for at in sorted(told) if at[0] == o] or [np.zeros(0, np.uint64)]) for o in range(ORDERS)]
             for row in (r for r in rows if r["kind"]):
                 body, at, hashes = zstandard.ZstdDecompressor().decompress(row["body"]), 0, []
                 for size in row["sizes"]:
@@ -311,6 +315,8 @@ def _score(total: int, known: int):
                     pa.array(score),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+                del body, hashes, chunk, arrays
+            del told, counts, rows
 
     return run
 

@@ -143,7 +143,9 @@ def judge(docs: DataFrame, trusted: DataFrame, given_up: float = GIVEN_UP) -> Da
     ``trusted`` has the doc_id of the documents that the target multinomial and the threshold are learned from; ids that
     are null or unknown are of no use there. Raw counts cover all documents. A document is kept if it passes the base
     rules and its score reaches the threshold.
-    Without trusted documents every score is 0 and the base rules decide alone.
+    Without trusted documents every score is 0 and the base rules decide alone. A null text has no words and fails; a
+    document without id is judged but never trusted. Equal texts are judged alike, repeated rows each. An empty table gives an
+    empty one. Further columns of either table, of whatever name, are left out.
     """
     narrow = docs.select("doc_id", "text")
     sure = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()

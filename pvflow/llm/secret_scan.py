@@ -117,7 +117,11 @@ def find_secrets(docs: DataFrame, text: str = "text", threshold: float = NOVELTY
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` (of the columns of documents) with every found span replaced by ``mark``; n_chars follows."""
+    """``docs`` (of the columns of documents) with every found span replaced by ``mark``; n_chars follows.
+
+    Rows stay where they are: null and empty texts stay as they are, repeated rows are treated alike, an empty table stays
+    empty. Columns with the names that ``find_secrets`` adds are replaced.
+    """
     columns = docs.columns
 
     def hide(texts: pa.Array, spans: pa.Array, n_chars: pa.Array) -> dict[str, pa.Array]:
