@@ -12,14 +12,16 @@ from pvflow.session import configure, work_dir
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch: bounds what a Python worker holds at once.
+#: Rows and bytes of an Arrow batch: bound what a Python worker holds at once, however long the texts that meet.
 BATCH_ROWS = 256
+BATCH_BYTES = 8 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
     """The session with the settings the operators rely on."""
     spark = configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
