@@ -47,7 +47,7 @@ HEADLINES = [
     "replay_pvs",
     "window_code",
     "stream_fanout",
-    "stream_normal",
+    "stream_buffered",
     "stream_topics",
 ]
 
