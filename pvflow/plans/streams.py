@@ -39,10 +39,15 @@ PARTS = 12
 DELAY = "75 hours"
 
 
+#: Rows of a file of a part.
+FILE_ROWS = 125_000
+
+
 def _scattered(spark, rows, name, files=PARTS, delay=DELAY, beat=()):
-    """The rows as a stream of many files, one a batch, in a jittered order; a heartbeat past the last stop ends it.
+    """The rows as a stream in a jittered order, a part a batch; a heartbeat past the last stop ends it.
 
     Watermarked on ts, but for a ``delay`` of None. ``beat`` are text columns of the heartbeat that let it through filters.
+    A part takes more files where it has more rows, and a batch as many of them: batches grow with the rows, their number does not.
 
     rows: ts, ts_us, seq, pv_name and more. A row goes to the part of its time plus up to twelve hours.
     """
@@ -52,14 +57,16 @@ def _scattered(spark, rows, name, files=PARTS, delay=DELAY, beat=()):
     part = F.least(F.greatest(F.floor((late - T.START_US) * files / span), F.lit(0)), F.lit(files - 1))
     rows.withColumn("_part", part).write.partitionBy("_part").parquet(f"{path}-parts")  # the input is read once
     cut = rows.sparkSession.read.schema(f"{rows.schema.toDDL()}, _part INT").parquet(f"{path}-parts")
+    most = cut.groupBy("_part").count().agg(F.max("count")).first()[0] or 1
+    each = -(-most // FILE_ROWS)
     for i in range(files):
-        cut.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(f"{path}/{i}")
+        cut.where(F.col("_part") == i).drop("_part").repartition(each).write.mode("append").parquet(f"{path}/{i}")
     # only ts is past the stop: filters on ts_us run before the watermark is taken
     end = F.timestamp_micros(F.lit(T.STOP_US + 6 * T.DAY_US))
     last = spark.range(1).select(end.alias("ts"), F.lit(T.START_US).alias("ts_us"), F.lit("").alias("pv_name"), *[F.lit("beat").alias(c) for c in beat])
     beat = rows.limit(0).unionByName(last, allowMissingColumns=True).coalesce(1)
     beat.write.mode("append").parquet(f"{path}/{files}")
-    stream = readers.file_stream(spark, f"{path}/*", rows.schema, max_files=1)
+    stream = readers.file_stream(spark, f"{path}/*", rows.schema, max_files=each)
     return X.watched(stream, delay) if delay else stream
 
 
@@ -230,7 +237,8 @@ got AS (SELECT cmd_seq, CASE WHEN NOT good THEN -1 WHEN NOT {_IN_TIME} THEN -3 W
 SELECT cmd_seq, error, CASE error WHEN -1 THEN 'PV name malformed' WHEN -2 THEN 'Operation failed' WHEN -3 THEN 'Timeout operation' END AS message,
   CASE WHEN error = 0 THEN value END AS value, CASE WHEN error = 0 THEN seq ELSE -1 END AS seq FROM got"""))
 def stream_get(spark, sf):
-    """Outer join of the command stream with the event stream: the first event in time answers, else the time-out."""
+    """Commands and events as one keyed stream: the first event in time answers, else the time-out."""
+    X.use_rocksdb(spark)
     out = XR.get_stream(_command_stream(spark, sf, "get"), _state_stream(spark, sf), _WAIT, DELAY)
     done = X.drain(out.drop("reply_topic"), work_dir(spark, "stream_get")).where("cmd_seq IS NOT NULL")  # but the heartbeat
     return done.select("cmd_seq", "error", "message", "value", F.coalesce("seq", F.lit(-1)).alias("seq"))
@@ -240,6 +248,7 @@ def stream_get(spark, sf):
 c AS (SELECT * FROM put WHERE reply_topic <> '' AND reply_id <> '')""", body=f"""
 SELECT cmd_seq, CASE WHEN error <> 0 THEN error WHEN NOT {_IN_TIME} THEN -3 WHEN pv.event_type = 'Fail' THEN -2 ELSE 0 END AS error FROM c {_FIRST}"""))
 def stream_put(spark, sf):
+    X.use_rocksdb(spark)
     out = XR.put_stream(_command_stream(spark, sf, "put", "put_value", "reply_id"), _state_stream(spark, sf), _WAIT, DELAY)
     return X.drain(out.select("cmd_seq", "error"), work_dir(spark, "stream_put")).where("cmd_seq IS NOT NULL")
 
