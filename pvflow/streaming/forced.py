@@ -2,151 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pvflow.operators import snapshots as snap
-
-RUN = snap.RUN
+from pvflow.streaming.snapshots import RUN, WindowEnds, ending, run, window_rows
 
 
-class Silence(StatefulProcessor):
+class Silence(WindowEnds):
     """Per (run, PV): when a window ends without an event, the last value known is fed into the next window.
 
     A fed value counts as an event of the window it goes to, so while a PV stays silent every second window is fed.
-    State: the windows that had an event and have not ended, and of the past ones only the last value, its window,
-    and whether the window before the next was fed. One timer stands for the next end of a window; after the last
-    window of a run all of its state goes. Nothing is fed before a first event.
+    Nothing is fed before a first event.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.past = handle.getValueState("past", "next_iter LONG, fed BOOLEAN, ts_us LONG, seq LONG, value DOUBLE, window_us LONG, stop_us LONG")
-        self.open = handle.getMapState("open", "iter_index LONG", "ts_us LONG, seq LONG, value DOUBLE")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        first = None
-        for pdf in rows:
-            newest = pdf.sort_values(["ts_us", "seq"]).groupby("iter_index").tail(1)
-            for r in newest.itertuples(index=False):
-                i, window_us, stop = int(r.iter_index), int(r.window_us), r.stop_us
-                stop_us = None if pd.isna(stop) else int(stop)
-                if self._end_ms(key, i, window_us, stop_us) <= passed:
-                    continue  # late: what its window gave has been said
-                at = (int(r.ts_us), int(r.seq), float(r.value))
-                old = self.open.getValue((i,)) if self.open.containsKey((i,)) else None
-                if old is None or (old[0], old[1]) < at[:2]:
-                    self.open.updateValue((i,), at)
-                first = (i, window_us, stop_us) if first is None or i < first[0] else first
-        if first is not None:
-            past = tuple(self.past.get()) if self.past.exists() else None
-            if past is None or (past[2] is None and first[0] < past[0]):
-                i, window_us, stop_us = first
-                self.past.update((i, False, None, None, None, window_us, stop_us))
-                self.handle.registerTimer(self._end_ms(key, i, window_us, stop_us))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.past.exists():
-            return
-        passed = timerValues.getCurrentWatermarkInMs()
-        i, fed, ts_us, seq, value, window_us, stop_us = self.past.get()
-        first, out, ended = i, [], False
-        while not ended and self._end_ms(key, i, window_us, stop_us) <= passed:
-            end_us = self._end_us(key, i, window_us, stop_us)
-            ended = stop_us is not None and end_us >= stop_us
-            if self.open.containsKey((i,)):
-                ts_us, seq, value = self.open.getValue((i,))
-                self.open.removeKey((i,))
-                fed = False
-            elif ts_us is not None:
-                fed = not fed
-                if fed and not ended:
-                    out.append((key[0], key[1], key[2], i + 1, ts_us, seq, value))
-            i += 1
-        if ended:
-            self.past.clear()
-            self.open.clear()
-        elif i != first:
-            self.past.update((i, fed, ts_us, seq, value, window_us, stop_us))
-            self.handle.registerTimer(self._end_ms(key, i, window_us, stop_us))
-        if out:
-            yield pd.DataFrame(out, columns=["queue_name", "start_us", "pv_name", "iter_index", "ts_us", "seq", "value"])
+    output = ["queue_name", "start_us", "pv_name", "iter_index", "ts_us", "seq", "value"]
 
-    def close(self) -> None:
-        pass
-
-    def _end_us(self, key, i: int, window_us: int, stop_us: int | None) -> int:
-        end = int(key[1]) + i * window_us
-        return end if stop_us is None else min(end, stop_us)
-
-    def _end_ms(self, key, i: int, window_us: int, stop_us: int | None) -> int:
-        return -(-self._end_us(key, i, window_us, stop_us) // 1000)
+    def say(self, held, window):
+        silent = window - held["iter_index"]  # windows since the last one with an event
+        last = held["start_us"] + window * held["window_us"] >= held["stop_us"]
+        fed = (silent % 2 == 1) & ~last
+        yield held.assign(iter_index=window + 1)[fed]
 
 
 def forced_stream(routed: DataFrame) -> DataFrame:
     """Values fed into windows of silent PVs, from a routed stream watermarked on ts; the rows of ``snapshots.forced``."""
-    keyed = routed.select(
-        *RUN, "pv_name", "ts", "ts_us", "seq", "value", "stop_us",
-        snap.iteration().alias("iter_index"), snap.window_us().alias("window_us"),
-    )
     schema = "queue_name STRING, start_us BIGINT, pv_name STRING, iter_index BIGINT, ts_us BIGINT, seq BIGINT, value DOUBLE"
-    fed = keyed.groupBy(*RUN, "pv_name").transformWithStateInPandas(Silence(), outputStructType=schema, outputMode="append", timeMode="EventTime")
+    fed = run(window_rows(routed), Silence(), schema)
     return fed.withColumn("forced", F.lit(True))
 
 
-class Pushes(StatefulProcessor):
-    """Per (run, PV): what a push within a window holds, once the watermark has passed the end of the push.
-
-    State: the pushes that have had an event and not ended, each with a count and its first and last event; a timer
-    stands for each end. Events of a push that has left are late and dropped.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "iter_index LONG, sub_index LONG", "end_ms LONG, n LONG, first_seq LONG, last_seq LONG")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        for pdf in rows:
-            cells = pdf[pdf["end_ms"] > passed].groupby(["iter_index", "sub_index", "end_ms"])["seq"].agg(["count", "min", "max"])
-            for (i, sub, end_ms), n, low, high in cells.itertuples(name=None):
-                cell = (int(i), int(sub))
-                if self.open.containsKey(cell):
-                    _, n0, low0, high0 = self.open.getValue(cell)
-                    n, low, high = n + n0, min(low, low0), max(high, high0)
-                else:
-                    self.handle.registerTimer(int(end_ms))
-                self.open.updateValue(cell, (int(end_ms), int(n), int(low), int(high)))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        ended = [(tuple(cell), tuple(held)) for cell, held in self.open.iterator() if held[0] <= passed]
-        for cell, _ in ended:
-            self.open.removeKey(cell)
-        if ended:
-            out = [(*key, *cell, *held[1:]) for cell, held in ended]
-            yield pd.DataFrame(out, columns=["queue_name", "start_us", "pv_name", "iter_index", "sub_index", "n_events", "first_seq", "last_seq"])
-
-    def close(self) -> None:
-        pass
-
-
 def push_stream(routed: DataFrame) -> DataFrame:
     """Early pushes: per (run, PV, window, push) how many events it holds and the first and last of them.
 
-    A push leaves when it has ended, before its window has. routed: watermarked on ts, with sub_push_delay_msec.
+    A push leaves when it has ended, before its window has; state holds one row of counts for each that has not. routed: watermarked on ts, with sub_push_delay_msec.
     """
     push_us = F.greatest(snap.push_delay_msec() * 1000, F.lit(1))
     rows = routed.withColumn("iter_index", snap.iteration())
     rows = rows.withColumn("sub_index", F.call_function("div", F.col("ts_us") - snap.window_start(), push_us))
     end_us = F.least(snap.window_start() + (F.col("sub_index") + 1) * push_us, F.coalesce(snap.window_end(), F.lit(2**62)))
-    rows = rows.select(*RUN, "pv_name", "ts", "seq", "iter_index", "sub_index", F.ceil(end_us / 1000).cast("bigint").alias("end_ms"))
-    schema = "queue_name STRING, start_us BIGINT, pv_name STRING, iter_index BIGINT, sub_index BIGINT, n_events BIGINT, first_seq BIGINT, last_seq BIGINT"
-    return rows.groupBy(*RUN, "pv_name").transformWithStateInPandas(Pushes(), outputStructType=schema, outputMode="append", timeMode="EventTime")
+    keys = [*RUN, "pv_name", "iter_index", "sub_index"]
+    counts = [F.count("seq").alias("n_events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")]
+    return rows.select(*keys, ending(end_us), "seq").groupBy(*keys, "ended").agg(*counts).drop("ended")

@@ -4,122 +4,99 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pvflow.operators import snapshots as snap
-from pvflow.streaming.stateful import triggered_stream
+from pvflow.streaming.stateful import InOrder, in_order, run, triggered_stream
 
 RUN = snap.RUN
 
 
-class WindowEnds(StatefulProcessor):
-    """Per (run, PV): emit a value at the end of every window, once the watermark has passed it.
+class WindowEnds(InOrder):
+    """Per (run, PV): windows by their ends. Base of operators that say something when the watermark passes the end of a window.
 
-    State: the next window to emit with the value carried so far, and the last value of every window that is
-    still open. With ``carry`` a window without an event repeats the value before it, else it is left out. Events
-    of a window whose end the watermark has passed are late and dropped; until a first window is emitted,
-    an event of an earlier one moves the start back. After the last window of a run all of its state goes; without
-    ``carry`` it also goes while a PV is silent, so an open run then holds no timer.
+    The last event of every window that is still open waits; of past ones the last value is remembered, with its window
+    (``own``) and the next window to end. Events of a window whose end the watermark has passed are late and dropped. After
+    the last window of a run all of its state goes.
     """
 
-    def __init__(self, carry: bool):
-        self.carry = carry
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.carried = handle.getValueState(
-            "carried", "next_iter LONG, ts_us LONG, seq LONG, value DOUBLE, window_us LONG, stop_us LONG"
-        )
-        self.open = handle.getMapState("open", "iter_index LONG", "ts_us LONG, seq LONG, value DOUBLE")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        best: dict[int, tuple] = {}
-        for pdf in rows:
-            window_us = int(pdf["window_us"].iloc[0])
-            stop = pdf["stop_us"].iloc[0]
-            stop_us = None if pd.isna(stop) else int(stop)
-            newest = pdf.sort_values(["ts_us", "seq"]).groupby("iter_index").tail(1)
-            for r in newest.itertuples(index=False):
-                i, at = int(r.iter_index), (int(r.ts_us), int(r.seq), float(r.value))
-                if self._end_ms(key, i, window_us, stop_us) > passed and (i not in best or best[i][:2] < at[:2]):
-                    best[i] = at
-        if best:
-            state = tuple(self.carried.get()) if self.carried.exists() else None
-            first = min(best)
-            if state is None or (state[1] is None and first < state[0]):
-                self.carried.update((first, None, None, None, window_us, stop_us))
-                self.handle.registerTimer(self._end_ms(key, first, window_us, stop_us))
-            for i, at in best.items():
-                old = self.open.getValue((i,)) if self.open.containsKey((i,)) else None
-                if old is None or (old[0], old[1]) < at[:2]:
-                    self.open.updateValue((i,), at)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.carried.exists():
-            return
-        passed = timerValues.getCurrentWatermarkInMs()
-        i, ts_us, seq, value, window_us, stop_us = self.carried.get()
-        first, out, ended = i, [], False
-        while not ended and self._end_ms(key, i, window_us, stop_us) <= passed:
-            end_us = self._end_us(key, i, window_us, stop_us)
-            own = self.open.containsKey((i,))
-            if own:
-                ts_us, seq, value = self.open.getValue((i,))
-                self.open.removeKey((i,))
-            if own or (self.carry and ts_us is not None):
-                out.append((key[0], key[1], key[2], i, end_us, ts_us, seq, value))
-            ended = stop_us is not None and end_us >= stop_us
-            i += 1
-        waiting = () if self.carry or ended else [k[0] for k in self.open.keys()]
-        if ended:
-            self.carried.clear()
-            self.open.clear()
-        elif not self.carry and not waiting:
-            self.carried.clear()  # nothing to say until the next event, which starts anew
-        elif i != first:
-            i = i if self.carry else min(waiting)
-            self.carried.update((i, ts_us, seq, value, window_us, stop_us))
-            self.handle.registerTimer(self._end_ms(key, i, window_us, stop_us))
-        if out:
-            yield pd.DataFrame(out, columns=["queue_name", "start_us", "pv_name", "iter_index", "to_us", "ts_us", "seq", "value"])
-
-    def close(self) -> None:
-        pass
-
-    def _end_us(self, key, i: int, window_us: int, stop_us: int | None) -> int:
-        end = int(key[1]) + i * window_us
-        return end if stop_us is None else min(end, stop_us)
-
-    def _end_ms(self, key, i: int, window_us: int, stop_us: int | None) -> int:
-        return -(-self._end_us(key, i, window_us, stop_us) // 1000)
-
-
-def _window_ends(routed: DataFrame, carry: bool) -> DataFrame:
-    keyed = routed.select(
-        *RUN, "pv_name", "ts", "ts_us", "seq", "value", "stop_us",
+    keys = [*RUN, "pv_name"]
+    waiting = "queue_name string, start_us long, pv_name string, iter_index long, ts_us long, seq long, value double, window_us long, stop_us long"
+    kept = f"{waiting}, next_iter long"
+
+    def due(self, rows):
+        end = rows["start_us"].to_numpy() + rows["iter_index"].to_numpy() * rows["window_us"].to_numpy()
+        return -(-np.minimum(end, rows["stop_us"].to_numpy()) // 1000)
+
+    def arrive(self, rows):
+        rows = rows.sort_values(["ts_us", "seq"])
+        return rows.drop_duplicates([*self.keys, "iter_index"], keep="last")
+
+    def wake(self, kept):
+        return self.due(kept.assign(iter_index=kept["next_iter"]))
+
+    def work(self, ready, kept, passed):
+        ready = self.arrive(ready)
+        rows = pd.concat([kept, ready.assign(next_iter=ready["iter_index"])], ignore_index=True)
+        rows, _, ends = in_order(rows, self.keys, ["iter_index"])
+        start, window, stop = (rows[c].to_numpy() for c in ("start_us", "window_us", "stop_us"))
+        ended = stop <= passed * 1000
+        # the last window that the watermark has passed; each row holds from its window up to the next row's
+        newest = np.where(ended, -(-(stop - start) // window), (passed * 1000 - start) // window)
+        until = np.append(rows["iter_index"].to_numpy()[1:] - 1, 0)
+        until[ends] = newest[ends]
+        left = rows.iloc[ends[~ended[ends]]]
+        self.left = left.assign(next_iter=np.maximum(left["next_iter"], newest[left.index] + 1))
+        count = np.maximum(until - rows["next_iter"].to_numpy() + 1, 0)
+        at = np.repeat(np.arange(len(rows)), count)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        held = rows.iloc[at].reset_index(drop=True)
+        yield from self.say(held, held["next_iter"].to_numpy() + nth)
+
+    def say(self, held: pd.DataFrame, window: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Output for windows that have ended, each with the last value there is at its end."""
+        raise NotImplementedError
+
+
+class Carried(WindowEnds):
+    """A value at the end of every window from the first with an event on; one without repeats the value before it."""
+
+    output = ["queue_name", "start_us", "pv_name", "iter_index", "to_us", "ts_us", "seq", "value"]
+
+    def say(self, held, window):
+        end = held["start_us"] + window * held["window_us"]
+        yield held.assign(iter_index=window, to_us=np.minimum(end, held["stop_us"]))
+
+
+def window_rows(routed: DataFrame) -> DataFrame:
+    """The columns of ``WindowEnds``; a run without a stop has one far away."""
+    return routed.select(
+        *RUN, "pv_name", "ts", "ts_us", "seq", "value", F.coalesce("stop_us", F.lit(2**62)).alias("stop_us"),
         snap.iteration().alias("iter_index"), snap.window_us().alias("window_us"),
     )
-    schema = (
-        "queue_name STRING, start_us BIGINT, pv_name STRING, iter_index BIGINT, to_us BIGINT, ts_us BIGINT, seq BIGINT, value DOUBLE"
-    )
-    return keyed.groupBy(*RUN, "pv_name").transformWithStateInPandas(
-        WindowEnds(carry), outputStructType=schema, outputMode="append", timeMode="EventTime"
-    )
 
 
 def normal_stream(routed: DataFrame) -> DataFrame:
     """Repeating NORMAL snapshots of a routed, watermarked stream, window by window."""
-    return _window_ends(routed, carry=True)
+    schema = "queue_name STRING, start_us BIGINT, pv_name STRING, iter_index BIGINT, to_us BIGINT, ts_us BIGINT, seq BIGINT, value DOUBLE"
+    return run(window_rows(routed), Carried(), schema)
+
+
+def ending(end_us: Column) -> Column:
+    """The end of a window as event time ``ended``, for grouping by it: a group leaves when the watermark of ``ts`` has passed its end."""
+    return F.timestamp_micros(end_us).alias("ended", metadata={"spark.watermarkDelayMs": 0})
 
 
 def window_last(routed: DataFrame) -> DataFrame:
     """Last value per (run, PV, window) of a routed, watermarked stream; the windows are those of each run."""
-    return _window_ends(routed, carry=False)
+    rows = routed.withColumn("iter_index", snap.iteration()).withColumn("to_us", snap.window_end())
+    at = F.struct("ts_us", "seq")
+    last = F.max_by(F.struct("ts_us", "seq", "value"), at).alias("last")
+    keys = [*RUN, "pv_name", "iter_index", "to_us"]
+    return rows.select(*keys, ending(F.col("to_us")), "ts_us", "seq", "value").groupBy(*keys, "ended").agg(last).select(*keys, "last.*")
 
 
 def triggered(routed: DataFrame, triggers: DataFrame, buffered: bool) -> DataFrame:
