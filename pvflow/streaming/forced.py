@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvflow.operators import snapshots as snap
-from pvflow.streaming.snapshots import RUN, WindowEnds, ending, run, window_rows
+from pvflow.streaming.snapshots import RUN, WindowEnds, window_rows
+from pvflow.streaming.stateful import ending, run
 
 
 class Silence(WindowEnds):

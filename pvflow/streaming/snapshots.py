@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvflow.operators import snapshots as snap
-from pvflow.streaming.stateful import InOrder, in_order, run, triggered_stream
+from pvflow.streaming.stateful import InOrder, ending, in_order, run
+from pvflow.streaming.triggers import triggered_stream
 
 RUN = snap.RUN
 
@@ -85,11 +86,6 @@ def normal_stream(routed: DataFrame) -> DataFrame:
     return run(window_rows(routed), Carried(), schema)
 
 
-def ending(end_us: Column) -> Column:
-    """The end of a window as event time ``ended``, for grouping by it: a group leaves when the watermark of ``ts`` has passed its end."""
-    return F.timestamp_micros(end_us).alias("ended", metadata={"spark.watermarkDelayMs": 0})
-
-
 def window_last(routed: DataFrame) -> DataFrame:
     """Last value per (run, PV, window) of a routed, watermarked stream; the windows are those of each run."""
     rows = routed.withColumn("iter_index", snap.iteration()).withColumn("to_us", snap.window_end())
